@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, suffix
-from .common import read
+from . import bpe, decontaminate, simhash, suffix, toxicity
+from .common import held_out, read
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -52,6 +52,12 @@ FROM worded LEFT JOIN covered ON covered.doc_id = id LEFT JOIN owners ON owners.
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(read(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["until"] - s["start"])
@@ -85,6 +91,6 @@ FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_bpe, op6_decontaminate, op9_suffix)
+    f.__name__: f for f in (op1_simhash, op2_bpe, op6_decontaminate, op8_toxicity, op9_suffix)
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op9_suffix": OP9_SQL}
