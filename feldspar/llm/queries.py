@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, simhash, suffix, toxicity
+from . import bpe, chat, decontaminate, html_text, minhash, quality, simhash, suffix, toxicity, urls
 from .common import held_out, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(read(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.compare_edited(read(spark, sf_dir, "documents"))
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -57,6 +65,12 @@ FROM worded LEFT JOIN covered ON covered.doc_id = id LEFT JOIN owners ON owners.
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
@@ -124,6 +138,6 @@ FROM written GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_bpe, op5_minhash, op6_decontaminate, op8_toxicity, op9_suffix, op10_chat)
+    f.__name__: f for f in (op1_simhash, op2_bpe, op3_urls, op4_html, op5_minhash, op6_decontaminate, op7_quality, op8_toxicity, op9_suffix, op10_chat)
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op9_suffix": OP9_SQL, "op10_chat": OP10_SQL}
