@@ -3,16 +3,17 @@
 A byte is removed if a string of ``length`` (50) bytes that covers it also starts in a document with a smaller doc_id.
 
 Doubling the prefixes of *every* position would send each byte of the corpus through several sorts.  Here only
-synchronising positions are ranked: each window of ``length`` bytes is represented by the least hash among its
-``SEED``-byte substrings, which depends on the window's bytes alone, so equal windows have equal representatives.
-Consecutive windows with one representative form a run.  The rounds, at growing length:
-
-1. rank by ``SEED`` bytes: Spark sorts the runs by the representative; where all of a rank are in one document, it is
-   unique and done (most of the corpus ends here);
-2. rank pairs (seed, whole run): Spark sorts the pairs; a run that also stands, whole, in a smaller document is past
-   the threshold and removed, and only the first document of each pair goes on;
-3. where a seed's runs differ, the runs' bytes are fetched and Spark ranks (seed, ``length`` bytes) window by window,
-   on the real bytes, and removes the windows that have a smaller document.
+synchronising positions are ranked: each window of ``length`` bytes is represented by the least rank among its
+``SEED``-byte (16) substrings, which depends on the window's bytes alone, so equal windows have equal representatives.
+Consecutive windows with one representative, the seed, form a run.  The rounds, at growing offsets:
+
+1. rank 16: Spark sorts the runs by their seed; where all of a rank are in one document, it is unique and done (most
+   of the corpus ends here);
+2. rank pairs at offset 16: a window reaches at least 16 bytes beyond its seed on one side, so a run goes on only if
+   another document shares the pair (rank at the seed, rank 16 bytes after it) or (rank 16 bytes before it, rank at
+   it).  A run that stands, whole, in a smaller document is past the threshold and removed;
+3. of the runs that are left, the bytes are fetched, and Spark ranks (seed, 50 bytes) window by window, on the real
+   bytes, and removes the windows that have a smaller document.
 
 Rounds 1 and 2 share one exchange (the pairs of a seed lie in the seed's partition), and round 3 has one of the runs
 that are left, not of their windows.  Runs that repeat within one Arrow batch are resolved there, so a passage that
@@ -27,21 +28,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import BROADCAST_BYTES, broadcast_if_small, cut
 
-LENGTH = 50
-SEED = 20
+LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
 BLOCK = 1 << 20
-#: A run's place is packed in a long: start (36 bits), windows (16 bits), tag (11 bits).
-_RUN_MAX, _TAG_BITS, _LEN_BITS = (1 << 16) - 1, 11, 16
+#: A run's place is packed in a long: start (32 bits), windows (7), codes of the ranks before and after the seed (12 each).
+_COUNT, _CODE = 7, 12
+_COUNT_MAX, _CODE_MAX = (1 << _COUNT) - 1, (1 << _CODE) - 1
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two neighbouring substrings from their hashes."""
+    """A rank (a 64-bit hash) of two neighbouring substrings from their ranks."""
     h = a * _M1
     h += b
     h ^= h >> _S
@@ -49,146 +50,229 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_seeds(data: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """For each window of ``length`` bytes the least hash of its ``seed``-byte substrings, by doubling."""
-    h, size = (data.astype(np.uint64) + np.uint64(1)) * _M2, 1
-    while size < seed:
-        step = min(size, seed - size)
-        h = _join(h[:-step], h[step:])
-        size += step
-    h ^= h >> np.uint64(32)
-    span, size = length - seed + 1, 1
+def _slide(pick, h: np.ndarray, span: int) -> np.ndarray:
+    """``pick`` over each ``span`` consecutive values."""
+    size = 1
     while size < span:
         step = min(size, span - size)
-        h = np.minimum(h[:-step], h[step:])
+        h = pick(h[:-step], h[step:])
         size += step
     return h
 
 
+def ranks(data: np.ndarray, size: int) -> np.ndarray:
+    """The rank of the ``size``-byte substring at each position, by doubling."""
+    h, done = (data.astype(np.uint64) + np.uint64(1)) * _M2, 1
+    while done < size:
+        step = min(done, size - done)
+        h = _join(h[:-step], h[step:])
+        done += step
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _codes(h: np.ndarray) -> np.ndarray:
+    return (h * _M1 >> np.uint64(40)).astype(np.int64) % _CODE_MAX + 1
+
+
+def _block_runs(part: np.ndarray, n: int, open_left: bool, open_right: bool, length: int, seed: int):
+    """(seed rank, start, windows, code before, code after) of the runs of the ``n`` windows of a block; both codes 0
+    mean that they aren't known, one 0 that the document ends there."""
+    rank, span = ranks(part, seed), length - seed + 1
+    least = _slide(np.minimum, rank, span)
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    value = least[first]
+    # A position is a seed if the largest of its windows' least ranks is its own.
+    edge = np.zeros(span - 1, np.uint64)
+    where = np.flatnonzero(_slide(np.maximum, np.concatenate((edge, least, edge)), span) == rank)
+    at = rank[where]
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    before, after = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    if len(new) == len(first) and (at[new] == value).all():
+        single = np.diff(np.append(new, len(at))) == 1
+        p = where[new]
+        known = single & ~((p < seed) & open_left) & ~((p + 2 * seed > len(part)) & open_right)
+        i = known & (p >= seed)
+        before[i] = _codes(rank[p[i] - seed])
+        i = known & (p + 2 * seed <= len(part))
+        after[i] = _codes(rank[p[i] + seed])
+    count = np.diff(np.append(first, n))
+    if count.max() > _COUNT_MAX:  # cut long runs; the codes of their parts aren't known
+        parts = np.unique(np.concatenate((first, *(np.arange(s, s + c, _COUNT_MAX) for s, c in zip(first, count, strict=True) if c > _COUNT_MAX))))
+        own = np.searchsorted(first, parts, "right") - 1
+        whole = count[own] <= _COUNT_MAX
+        value, before, after = value[own], before[own] * whole, after[own] * whole
+        first, count = parts, np.diff(np.append(parts, n))
+    return value, first, count, before, after
+
+
 def runs(text: bytes, length: int = LENGTH, seed: int = SEED):
-    """Arrays (seed hash, start, windows) of a document's runs."""
+    """Arrays (seed rank, start, windows, code before, code after) of a document's runs."""
     n = len(text) - length + 1
-    keys, starts, counts = [], [], []
+    found = []
     for at in range(0, max(n, 0), BLOCK):
-        part = np.frombuffer(text, np.uint8, min(BLOCK, n - at) + length - 1, at)
-        h = window_seeds(part, length, seed)
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        long = np.diff(np.append(first, len(h)))
-        if long.max() > _RUN_MAX:
-            first = np.unique(np.concatenate((first, np.arange(0, len(h), _RUN_MAX))))
-            long = np.diff(np.append(first, len(h)))
-        keys.append(h[first])
-        starts.append(first + at)
-        counts.append(long)
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(starts).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        here = min(BLOCK, n - at)
+        part = np.frombuffer(text, np.uint8, here + length - 1, at)
+        value, first, *rest = _block_runs(part, here, at > 0, at + here < n, length, seed)
+        found.append((value, first + at, *rest))
+    if not found:
+        return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+_ROWS = "seed long, run long, doc_id long, tag long, at long, until long"
+_NAMES = ["seed", "run", "doc_id", "tag", "at", "until"]
+
+
+def _start(at):
+    return at >> (_COUNT + 2 * _CODE)
+
+
+def _until(at, length):
+    return _start(at) + ((at >> (2 * _CODE)) & _COUNT_MAX) + (length - 1)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _each(values: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(values, np.diff(np.append(firsts, n)))
 
 
 def _batch_rows(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int):
-    """(seed, run, doc, at) of the runs of a batch, without those that a smaller document of the batch has whole; and
-    the removed spans (doc, tag, start, end) of the latter, merged."""
-    keys, places, marks, docs, which = [], [], [], [], []
+    """Columns of ``_ROWS`` for the runs of a batch, without those that a smaller document of the batch has whole; and
+    the merged spans (doc, tag, start, end) of the latter."""
+    keys, places, marks, which = [], [], [], []
     digest = xxhash.xxh3_64_intdigest
     for i, text in enumerate(texts):
-        h, start, count = runs(text, length)
-        if not len(h):
-            continue
-        ends = (start + count + (length - 1)).tolist()
-        keys.append(h)
-        places.append((start << (_LEN_BITS + _TAG_BITS)) | (count << _TAG_BITS) | tags[i])
-        marks.append(np.array([digest(text[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], np.uint64))
-        which.append(np.full(len(h), i))
+        h, start, count, before, after = runs(text, length)
+        if len(h):
+            ends = (start + count + (length - 1)).tolist()
+            keys.append(h)
+            places.append(((start << _COUNT | count) << _CODE | before) << _CODE | after)
+            marks.append(np.array([digest(text[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], np.uint64))
+            which.append(np.full(len(h), i))
     if not keys:
         return None
     keys, places, marks, which = map(np.concatenate, (keys, places, marks, which))
     docs = ids[which]
     order = np.lexsort((docs, marks, keys))
-    k, m, d = keys[order], marks[order], docs[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])))
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    covered = np.zeros(len(d), bool)
-    covered[order] = d > least
-    left = ~covered
-    spans = None
+    first = _firsts(keys[order], marks[order])
+    covered = np.zeros(len(docs), bool)
+    covered[order] = docs[order] > _each(docs[order][first], first, len(docs))
+    left, spans = ~covered, None
     if covered.any():
-        w, p = which[covered], places[covered]
-        start = p >> (_LEN_BITS + _TAG_BITS)
-        end = start + ((p >> _TAG_BITS) & _RUN_MAX) + (length - 1)
+        w, start, end = which[covered], _start(places[covered]), _until(places[covered], length)
         first = np.concatenate(([True], (w[1:] != w[:-1]) | (start[1:] > end[:-1])))
-        last = np.append(first[1:], True)
-        spans = ids[w[first]], tags[w[first]], start[first], end[last]
-    return keys[left].view(np.int64), marks[left].view(np.int64), docs[left], places[left], spans
-
-
-_ROWS = "seed long, run long, doc_id long, at long, until long"
+        spans = ids[w[first]], tags[w[first]], start[first], end[np.append(first[1:], True)]
+    return (keys[left].view(np.int64), marks[left].view(np.int64), docs[left], tags[which[left]], places[left]), spans
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Rows of ``_ROWS``: a run to be ranked (until null), or a span already removed (run is its tag, at its start)."""
+    """Rows of ``_ROWS``: a run to be ranked (until null), or a span already removed (at its start)."""
 
     def scan(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = [t.as_py() or b"" for t in batch.column(2)]
-            found = _batch_rows(ids, tags, texts, length)
+            found = _batch_rows(ids, tags, [t.as_py() or b"" for t in batch.column(2)], length)
             if found is None:
                 continue
-            *left, spans = found
-            arrays = [pa.array(x) for x in left] + [pa.nulls(len(left[0]), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["seed", "run", "doc_id", "at", "until"])
+            left, spans = found
+            yield pa.RecordBatch.from_arrays([*map(pa.array, left), pa.nulls(len(left[0]), pa.int64())], names=_NAMES)
             if spans:
                 doc, tag, start, end = spans
                 # Any spread-out seed will do: a span has no partner.
-                seed = doc * 2654435761 + start
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int64)) for x in (seed, tag, doc, start, end)], names=["seed", "run", "doc_id", "at", "until"]
-                )
+                columns = (doc * 2654435761 + start, start, doc, tag, start, end)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=_NAMES)
 
     return docs.mapInArrow(scan, _ROWS)
 
 
+def _rank(rows: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """(seed, doc_id, tag, start, until, out) of what rounds 1 and 2 leave of whole seeds' sorted rows."""
+    seed, run, doc, tag, at = rows
+    n = len(seed)
+    first = _firsts(seed)
+    several = _each(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), first, n)
+    seed, run, doc, tag, at = (x[several] for x in (seed, run, doc, tag, at))
+    n = len(seed)
+    if not n:
+        return (*(np.empty(0, np.int64) for _ in range(5)), np.empty(0, bool))
+    first = _firsts(seed, run)
+    out = doc > _each(np.minimum.reduceat(doc, first), first, n)
+    before, after = (at >> _CODE) & _CODE_MAX, at & _CODE_MAX
+    first = _firsts(seed)
+    shared = _each(np.logical_or.reduceat((before == 0) & (after == 0), first), first, n)
+    for code in (before, after):
+        order = np.lexsort((code, seed))
+        first = _firsts(seed[order], code[order])
+        d = doc[order]
+        many = _each(np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first), first, n)
+        shared[order] |= many & (code[order] > 0)
+    # Runs that are equal throughout need no look at their windows.
+    first = _firsts(seed)
+    alike = _each(np.minimum.reduceat(run, first) == np.maximum.reduceat(run, first), first, n)
+    keep = out | (shared & ~alike)
+    return tuple(x[keep] for x in (seed, doc, tag, _start(at), _until(at, length), out))
+
+
+def _ranked(rows: DataFrame, length: int) -> DataFrame:
+    """Rounds 1 and 2 over rows sorted by seed and run within partitions."""
+    names = ["seed", "doc_id", "tag", "start", "until", "out"]
+
+    def emit(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    def rank(batches):
+        carried: list[list[np.ndarray]] = []
+        for batch in batches:
+            done = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if done.any():
+                until = batch.column(5).drop_null().to_numpy(zero_copy_only=False)
+                yield emit((columns[0][done], columns[2][done], columns[3][done], columns[4][done], until, np.ones(len(until), bool)))
+            columns = [c[~done] for c in columns]
+            if not len(columns[0]):
+                continue
+            carried.append(columns)
+            last = np.searchsorted(columns[0], columns[0][-1])
+            if last:  # the last seed may go on in the next batch
+                whole = [np.concatenate(c) for c in zip(*carried[:-1], [c[:last] for c in columns], strict=True)]
+                carried = [[c[last:] for c in columns]]
+                yield emit(_rank(whole, length))
+        if carried:
+            yield emit(_rank([np.concatenate(c) for c in zip(*carried, strict=True)], length))
+
+    return rows.mapInArrow(rank, "seed long, doc_id long, tag long, start long, until long, out boolean")
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, body): body is the text's bytes; tag tells apart different texts that share a doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))
     shared = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if shared.isEmpty():
         return rows.select("doc_id", F.lit(0).cast("long").alias("tag"), "body")
-    texts = rows.join(shared, "doc_id", "left_semi").select("doc_id", F.xxhash64("body").alias("h")).distinct()
+    texts = rows.join(broadcast_if_small(shared, 16), "doc_id", "left_semi").select("doc_id", F.xxhash64("body").alias("h")).distinct()
     tags = cut(texts.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("long").alias("tag")))
-    if tags.where(F.col("tag") >= 1 << _TAG_BITS).limit(1).count():
-        raise ValueError(f"more than {1 << _TAG_BITS} different texts share one doc_id")
     keyed = rows.withColumn("h", F.xxhash64("body"))
     return keyed.join(broadcast_if_small(tags, 32), ["doc_id", "h"], "left").select("doc_id", F.coalesce("tag", F.lit(0)).alias("tag"), "body")
 
 
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, tag, start, until): byte ranges to be removed; they may overlap."""
-    within, place = Window.partitionBy("seed", "run"), Window.partitionBy("seed")
-    ranked = (
-        _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
-        .repartition("seed")
-        .withColumn("first_of_run", F.min(F.when(F.col("until").isNull(), F.col("doc_id"))).over(within))
-        .withColumn("first_of_seed", F.min(F.when(F.col("until").isNull(), F.col("doc_id"))).over(place))
-        .withColumn("last_of_seed", F.max(F.when(F.col("until").isNull(), F.col("doc_id"))).over(place))
-        .where("until is not null or first_of_seed < last_of_seed")
-    )
-    start = F.shiftrightunsigned("at", _LEN_BITS + _TAG_BITS)
-    until = start + F.shiftrightunsigned("at", _TAG_BITS).bitwiseAND(F.lit(_RUN_MAX)) + (length - 1)
-    tag = F.col("at").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-    done = F.col("until").isNotNull()
-    ranked = ranked.select(
-        "seed",
-        "doc_id",
-        F.when(done, F.col("run")).otherwise(tag).alias("tag"),
-        F.when(done, F.col("at")).otherwise(start).alias("start"),
-        F.coalesce("until", until).alias("until"),
-        (done | (F.col("doc_id") > F.col("first_of_run"))).alias("out"),
-    )
+    """(doc_id, tag, spans array<struct<start,until>>): the byte ranges to be removed, merged."""
+    sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length).repartition("seed").sortWithinPartitions("seed", "run")
     # One row a document: the spans removed so far, and the runs that go on to round 3 with their seeds.
     by_doc = cut(
-        ranked.groupBy("doc_id", "tag").agg(
+        _ranked(sorted_rows, length)
+        .groupBy("doc_id", "tag")
+        .agg(
             F.collect_list(F.when(F.col("out"), F.struct("start", "until"))).alias("spans"),
             F.collect_list(F.when(~F.col("out"), F.struct("seed", "start", "until"))).alias("open"),
         )
@@ -198,21 +282,29 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         tagged.join(_by_size(pending, "open", 24), ["doc_id", "tag"])
         .select("doc_id", "tag", "body", F.explode("open").alias("o"))
         .select("doc_id", "tag", "o.seed", "o.start", F.expr("substring(body, cast(o.start + 1 as int), cast(o.until - o.start as int))").alias("bytes"))
-        .distinct()
         .repartition("seed")
     )
-    windows = fetched.select("seed", "doc_id", "tag", "start", F.expr(f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))").alias("i", "window"))
+    places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
+    windows = fetched.select("seed", "doc_id", "tag", "start", F.expr(places).alias("i", "window"))
     ranked = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window")))
     late = ranked.where("doc_id > first").select("doc_id", "tag", (F.col("start") + F.col("i")).alias("start"))
-    late = late.select("doc_id", "tag", "start", (F.col("start") + length).alias("until"))
-    early = by_doc.select("doc_id", "tag", F.explode("spans").alias("s")).select("doc_id", "tag", "s.start", "s.until")
-    return early.union(late)
+    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("until"))).alias("spans"))
+    early = by_doc.where(F.size("spans") > 0).select("doc_id", "tag", "spans")
+
+    def merged(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64())]))
+        for batch in batches:
+            spans = [[{"start": s, "until": e} for s, e in merge([(x["start"], x["until"]) for part in row for x in part])] for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "tag", "spans"])
+
+    both = early.union(late).groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
+    return both.mapInArrow(merged, "doc_id long, tag long, spans array<struct<start: long, until: long>>")
 
 
 def _by_size(df: DataFrame, array: str, item_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if it fits, counting ``item_bytes`` for each item of its array."""
     total = df.agg(F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes + F.count("*") * 48).first()[0]
-    return broadcast_if_small(df, 0) if total <= 32 << 20 else df
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows that share a doc_id don't remove from each other.  Only the columns doc_id and text are read.
     """
     tagged = _tagged(docs)
-    spans = cut(removed_spans(tagged, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "until")).alias("spans")))
+    spans = cut(removed_spans(tagged, length))
     joined = tagged.join(_by_size(spans, "spans", 16), ["doc_id", "tag"], "left").select("doc_id", "body", "spans")
 
     def keep(batches):
@@ -243,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             removed, kept = [], []
             for body, spans in zip(batch.column(1), batch.column(2), strict=True):
                 body, at, parts = body.as_py(), 0, []
-                cuts = merge([(s["start"], s["until"]) for s in spans.as_py() or ()])
+                cuts = [(s["start"], s["until"]) for s in spans.as_py() or ()]
                 for s, e in cuts:
                     parts.append(body[at:s])
                     at = e
