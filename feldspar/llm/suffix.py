@@ -33,9 +33,11 @@ from .common import BROADCAST_BYTES, broadcast_if_small, cut
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
 BLOCK = 1 << 20
-#: A run's place is packed in a long: start (32 bits), windows (7), codes of the ranks before and after the seed (12 each).
+#: A run is sent as three longs: seed rank (48 bits) and a code of the rank before it (12), run hash (48) and a code of
+#: the rank after the seed (12), and its place: start and number of windows (7).
 _COUNT, _CODE = 7, 12
 _COUNT_MAX, _CODE_MAX = (1 << _COUNT) - 1, (1 << _CODE) - 1
+_HIGH = 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
@@ -71,6 +73,11 @@ def ranks(data: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Seed ranks are least ranks, small ones; this spreads them over 64 bits again, one to one."""
+    return h * _M1
+
+
 def _codes(h: np.ndarray) -> np.ndarray:
     return (h * _M1 >> np.uint64(40)).astype(np.int64) % _CODE_MAX + 1
 
@@ -124,12 +131,16 @@ _ROWS = "seed long, run long, doc_id long, tag long, at long, until long"
 _NAMES = ["seed", "run", "doc_id", "tag", "at", "until"]
 
 
+def _pack(high: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (high >> np.uint64(_HIGH) << np.uint64(_HIGH)).view(np.int64) | code
+
+
 def _start(at):
-    return at >> (_COUNT + 2 * _CODE)
+    return at >> _COUNT
 
 
 def _until(at, length):
-    return _start(at) + ((at >> (2 * _CODE)) & _COUNT_MAX) + (length - 1)
+    return _start(at) + (at & _COUNT_MAX) + (length - 1)
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -154,16 +165,17 @@ def _batch_rows(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: i
         h, start, count, before, after = runs(text, length)
         if len(h):
             ends = (start + count + (length - 1)).tolist()
-            keys.append(h)
-            places.append(((start << _COUNT | count) << _CODE | before) << _CODE | after)
-            marks.append(np.array([digest(text[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], np.uint64))
+            marked = np.array([digest(text[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], np.uint64)
+            keys.append(_pack(_spread(h), before))
+            marks.append(_pack(marked, after))
+            places.append(start << _COUNT | count)
             which.append(np.full(len(h), i))
     if not keys:
         return None
     keys, places, marks, which = map(np.concatenate, (keys, places, marks, which))
     docs = ids[which]
-    order = np.lexsort((docs, marks, keys))
-    first = _firsts(keys[order], marks[order])
+    order = np.lexsort((docs, marks >> _HIGH, keys >> _HIGH))
+    first = _firsts(keys[order] >> _HIGH, marks[order] >> _HIGH)
     covered = np.zeros(len(docs), bool)
     covered[order] = docs[order] > _each(docs[order][first], first, len(docs))
     left, spans = ~covered, None
@@ -171,7 +183,7 @@ def _batch_rows(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: i
         w, start, end = which[covered], _start(places[covered]), _until(places[covered], length)
         first = np.concatenate(([True], (w[1:] != w[:-1]) | (start[1:] > end[:-1])))
         spans = ids[w[first]], tags[w[first]], start[first], end[np.append(first[1:], True)]
-    return (keys[left].view(np.int64), marks[left].view(np.int64), docs[left], tags[which[left]], places[left]), spans
+    return (keys[left], marks[left], docs[left], tags[which[left]], places[left]), spans
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
@@ -198,16 +210,18 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 def _rank(rows: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     """(seed, doc_id, tag, start, until, out) of what rounds 1 and 2 leave of whole seeds' sorted rows."""
     seed, run, doc, tag, at = rows
+    before, after, seed, run = seed & _CODE_MAX, run & _CODE_MAX, seed >> _HIGH, run >> _HIGH
     n = len(seed)
     first = _firsts(seed)
     several = _each(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), first, n)
-    seed, run, doc, tag, at = (x[several] for x in (seed, run, doc, tag, at))
+    seed, run, doc, tag, at, before, after = (x[several] for x in (seed, run, doc, tag, at, before, after))
+    order = np.lexsort((run, seed))
+    seed, run, doc, tag, at, before, after = (x[order] for x in (seed, run, doc, tag, at, before, after))
     n = len(seed)
     if not n:
         return (*(np.empty(0, np.int64) for _ in range(5)), np.empty(0, bool))
     first = _firsts(seed, run)
     out = doc > _each(np.minimum.reduceat(doc, first), first, n)
-    before, after = (at >> _CODE) & _CODE_MAX, at & _CODE_MAX
     first = _firsts(seed)
     shared = _each(np.logical_or.reduceat((before == 0) & (after == 0), first), first, n)
     for code in (before, after):
@@ -242,7 +256,7 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
             if not len(columns[0]):
                 continue
             carried.append(columns)
-            last = np.searchsorted(columns[0], columns[0][-1])
+            last = np.searchsorted(columns[0] >> _HIGH, columns[0][-1] >> _HIGH)
             if last:  # the last seed may go on in the next batch
                 whole = [np.concatenate(c) for c in zip(*carried[:-1], [c[:last] for c in columns], strict=True)]
                 carried = [[c[last:] for c in columns]]
@@ -267,21 +281,23 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, spans array<struct<start,until>>): the byte ranges to be removed, merged."""
-    sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length).repartition("seed").sortWithinPartitions("seed", "run")
+    sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
+    sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions("seed", "run")
     # One row a document: the spans removed so far, and the runs that go on to round 3 with their seeds.
     by_doc = cut(
         _ranked(sorted_rows, length)
         .groupBy("doc_id", "tag")
         .agg(
             F.collect_list(F.when(F.col("out"), F.struct("start", "until"))).alias("spans"),
-            F.collect_list(F.when(~F.col("out"), F.struct("seed", "start", "until"))).alias("open"),
+            F.collect_list(F.when(~F.col("out"), F.struct("seed", (F.shiftleft("start", _COUNT).bitwiseOR(F.col("until") - F.col("start") - (length - 1))).alias("at")))).alias("open"),
         )
     )
     pending = by_doc.where(F.size("open") > 0).select("doc_id", "tag", "open")
     fetched = (
-        tagged.join(_by_size(pending, "open", 24), ["doc_id", "tag"])
+        tagged.join(_by_size(pending, "open", 16), ["doc_id", "tag"])
         .select("doc_id", "tag", "body", F.explode("open").alias("o"))
-        .select("doc_id", "tag", "o.seed", "o.start", F.expr("substring(body, cast(o.start + 1 as int), cast(o.until - o.start as int))").alias("bytes"))
+        .select("doc_id", "tag", "o.seed", F.shiftright("o.at", _COUNT).alias("start"), (F.col("o.at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
+        .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
         .repartition("seed")
     )
     places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
