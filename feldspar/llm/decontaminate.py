@@ -112,6 +112,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_i
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that hold windows of fewer than ``least_items`` items."""
+    judged = decontaminate(docs, items, size, least_items)
+    bad = cut(judged.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    return docs.join(broadcast_if_small(bad, 32), same, "left_anti")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
     right = right.withColumnsRenamed({k: f"_{k}" for k in key})
     return left.join(right, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), how)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import shingles
+from .words import shingles
 
 BINS, BITS, WORDS = 512, 4, 5
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
@@ -59,10 +59,12 @@ def densify(bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(texts: list[str | None], block: int = 1 << 16) -> np.ndarray:
-    """Packed fingerprints, one row of BINS * BITS / 8 bytes a text; all zero for a text without words."""
+def signatures(texts: list[str | None], block: int = 1 << 16, full: bool = False):
+    """Packed fingerprints, one row of BINS * BITS / 8 bytes a text; all zero for a text without words.  With ``full``
+    the filled bins besides."""
     shift, digest = np.uint64(64 - BINS.bit_length() + 1), xxhash.xxh3_64_digest
     packed = np.zeros((len(texts), BINS * BITS // 8), np.uint8)
+    whole = np.zeros((len(texts) if full else 0, BINS), np.uint64)
     for at in range(0, len(texts), 256):
         part = texts[at : at + 256]
         bins = np.full((len(part), BINS), _EMPTY)
@@ -72,10 +74,13 @@ def signatures(texts: list[str | None], block: int = 1 << 16) -> np.ndarray:
                 h = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in bounds[b : b + block]]), ">u8").astype(np.uint64)
                 np.minimum.at(bins[i], (h >> shift).astype(np.int64), h)
         none = (bins == _EMPTY).all(axis=1)
-        low = (densify(bins) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        filled = densify(bins)
+        if full:
+            whole[at : at + len(part)] = filled
+        low = (filled & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         low[none] = 0
         packed[at : at + len(part)] = low[:, 0::2] << 4 | low[:, 1::2]
-    return packed
+    return (whole, packed) if full else packed
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

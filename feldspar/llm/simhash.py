@@ -12,32 +12,24 @@ Only distinct fingerprints are joined, each standing for its whole group of copi
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import broadcast_if_small, components, cut
+from .words import shingles
 
 RADIUS = 3
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The exact segments of a chain's key besides its first two.
 _PAIRS = ((2, 3), (2, 4), (3, 4))
 
 
-def shingles(text: str | None, size: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """The lower-cased words joined by spaces, and each shingle's bounds in it (fewer words: one shingle of all)."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return b"", []
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    if len(words) < size:
-        return b" ".join(words), [(0, int(ends[-1]))]
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return b" ".join(words), list(zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True))
-
-
 def fingerprint(text: str | None, size: int = 3, block: int = 1 << 16) -> int:
     """The unsigned 64-bit SimHash; memory is bounded by ``block`` shingles besides the text itself."""
     joined, bounds = shingles(text, size)
@@ -117,3 +109,91 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) -> DataFrame:
+    """(doc_id, h, fp, sketch, keys) for each row of ``docs``: the text's hash, its SimHash over ``size`` words, its packed
+    one-permutation MinHash, and ``bands`` keys of ``rows`` bins each."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            full, packed = minhash.signatures(texts, full=True)
+            keys = [[xxhash.xxh3_64_intdigest(r[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] for r in full]
+            fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            h = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(h), pa.array(fps), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "fp", "sketch", "keys"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b, ...) whose sketches' estimated similarity is at least ``similarity``."""
+    x = nodes.select(F.col("h").alias("a"), F.col("sketch").alias("sa"))
+    y = nodes.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
+
+    @F.pandas_udf("double")
+    def estimate(a, b):
+        both = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (a, b)]
+        return pd.Series(minhash.likeness(*both))
+
+    return pairs.join(x, "a").join(y, "b").withColumn("s", estimate("sa", "sb")).where(F.col("s") >= similarity).drop("sa", "sb", "s")
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h, group) for each row of ``docs``: documents whose ``size``-word shingle sets have a Jaccard similarity of
+    ``similarity`` or more (estimated from 512 bins) share a group, and so do those linked through others.
+
+    Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
+    than any exact 64-bit filter can afford (median 7), so further candidates come from MinHash bands: in each band's
+    bucket all are compared with one pivot, those not alike with a next pivot, until none is left; no pair within a
+    bucket is skipped for its size, and no bucket is expanded into all its pairs.  Equal texts count once.
+    """
+    rows = cut(sketches(docs, size=size))
+    nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    close = links(nodes.select("fp").distinct())
+    named = nodes.groupBy("fp").agg(F.min("h").alias("h"))
+    same = nodes.select("fp", F.col("h").alias("b")).join(named.select("fp", F.col("h").alias("a")), "fp").where("a <> b").select("a", "b")
+    near = close.join(named.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(named.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
+    found = [cut(_alike(same.union(near.select(F.col("ha").alias("a"), F.col("hb").alias("b"))), nodes, similarity))]
+    left = nodes.select("h", F.posexplode("keys").alias("band", "key"))
+    while True:
+        pivots = left.groupBy("band", "key").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+        left = cut(left.join(pivots, ["band", "key"]).where("h <> pivot"))
+        if left.isEmpty():
+            break
+        pairs = left.select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
+        alike = cut(_alike(pairs, nodes, similarity).select("a", "b"))
+        found.append(alike)
+        done = alike.select(F.col("a").alias("pivot"), F.col("b").alias("h"))
+        left = left.join(done, ["pivot", "h"], "left_anti").select("h", "band", "key")
+    roots = components(reduce(DataFrame.union, [f.select("a", "b") for f in found]))
+    roots = cut(roots.select(F.col("node").alias("h"), F.col("root")))
+    return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns kept, with one row of each group of ``near_copies``: that of the smallest doc_id
+    (null ids last; of several texts under one doc_id the one with the least hash).  A text without words is like
+    other such texts only."""
+    groups = near_copies(docs, size, similarity)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("b")
+    counted = groups.groupBy("group", "doc_id", "h").agg(F.count("*").alias("n"))
+    kept = cut(counted.groupBy("group").agg(best, F.max("n").alias("n")).select(F.col("b.doc_id").alias("_id"), F.col("b.h").alias("_h"), "n"))
+
+    @F.pandas_udf("long")
+    def text_hash(texts):
+        return pd.Series([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype="uint64").astype("int64")
+
+    def among(keys: DataFrame) -> DataFrame:
+        keys = broadcast_if_small(keys.select("_id", "_h"), 32)
+        return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash("text") == F.col("_h")), "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return among(kept)
+    twice = among(repeated)
+    return among(kept.where("n = 1")).union(twice.dropDuplicates(["doc_id", "text"]))

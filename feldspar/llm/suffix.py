@@ -23,6 +23,7 @@ stands in a third of all documents sends one row a batch, not one a document.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -33,6 +34,8 @@ from .common import BROADCAST_BYTES, broadcast_if_small, cut
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
 BLOCK = 1 << 20
+#: Bytes of text whose runs are held and resolved among themselves at once.
+PART = 8 << 20
 #: A run is sent as three longs: seed rank (48 bits) and a code of the rank before it (12), run hash (48) and a code of
 #: the rank after the seed (12), and its place: start and number of windows (7).
 _COUNT, _CODE = 7, 12
@@ -189,8 +192,15 @@ def _batch_rows(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: i
 def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Rows of ``_ROWS``: a run to be ranked (until null), or a span already removed (at its start)."""
 
-    def scan(batches):
+    def parts(batches):
         for batch in batches:
+            sizes = np.cumsum([len(t.as_buffer() or b"") for t in batch.column(2)])
+            bounds = np.flatnonzero(np.diff(sizes // PART, prepend=-1))
+            for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(sizes)]):
+                yield batch.slice(a, b - a)
+
+    def scan(batches):
+        for batch in parts(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             found = _batch_rows(ids, tags, [t.as_py() or b"" for t in batch.column(2)], length)
@@ -267,16 +277,18 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(rank, "seed long, doc_id long, tag long, start long, until long, out boolean")
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, body): body is the text's bytes; tag tells apart different texts that share a doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))
+def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, tag, body): body is the text's bytes; tag tells apart different texts that share a doc_id.  ``columns`` of
+    ``docs`` come along in the struct ``_row``."""
+    row = [F.struct(*columns).alias("_row")] if columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"), *row)
     shared = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if shared.isEmpty():
-        return rows.select("doc_id", F.lit(0).cast("long").alias("tag"), "body")
+        return rows.withColumn("tag", F.lit(0).cast("long"))
     texts = rows.join(broadcast_if_small(shared, 16), "doc_id", "left_semi").select("doc_id", F.xxhash64("body").alias("h")).distinct()
     tags = cut(texts.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("long").alias("tag")))
     keyed = rows.withColumn("h", F.xxhash64("body"))
-    return keyed.join(broadcast_if_small(tags, 32), ["doc_id", "h"], "left").select("doc_id", F.coalesce("tag", F.lit(0)).alias("tag"), "body")
+    return keyed.join(broadcast_if_small(tags, 32), ["doc_id", "h"], "left").withColumn("tag", F.coalesce("tag", F.lit(0))).drop("h")
 
 
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -341,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A null text is empty.  Rows with a null doc_id have no order: nothing is removed from them or because of them.
     Rows that share a doc_id don't remove from each other.  Only the columns doc_id and text are read.
     """
-    tagged = _tagged(docs)
+    tagged = _tagged(docs).select("doc_id", "tag", "body")
     spans = cut(removed_spans(tagged, length))
     joined = tagged.join(_by_size(spans, "spans", 16), ["doc_id", "tag"], "left").select("doc_id", "body", "spans")
 
@@ -363,3 +375,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     return joined.mapInArrow(keep, "doc_id long, body binary, removed array<struct<start: long, until: long>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs``, all columns kept, with the repeated strings taken out of ``text`` and ``n_chars`` set to what is left (if
+    there is such a column).  A character that a cut divides goes whole.  Rows of which nothing is left go; null and
+    empty texts stay as they are."""
+    tagged = _tagged(docs, *docs.columns)
+    spans = cut(removed_spans(tagged.select("doc_id", "tag", "body"), length))
+    joined = tagged.join(_by_size(spans, "spans", 16).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "spans": "_spans"}), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
+
+    @F.pandas_udf("string")
+    def kept(bodies, spans):
+        return pd.Series([_cut_out(b, s) for b, s in zip(bodies, spans, strict=True)], dtype=object)
+
+    rows = joined.withColumn("_kept", F.when(F.col("_spans").isNotNull(), kept("body", "_spans")))
+    rows = rows.where("_kept is null or _kept <> ''")
+    own = F.col("_row.text")
+    columns = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.coalesce("_kept", own)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[v.alias(c) for c, v in columns.items()])
+
+
+def _cut_out(body: bytes, spans) -> str:
+    parts, at = [], 0
+    for s in spans if spans is not None else ():
+        parts.append(body[at : s["start"]])
+        at = s["until"]
+    return "".join(p.decode("utf-8", "ignore") for p in [*parts, body[at:]])
