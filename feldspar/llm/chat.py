@@ -25,6 +25,8 @@ _CONTROL = re.compile(r"\\|###|</turn>")
 _WRITTEN = {"\\": "\\\\", "###": "\\h", "</turn>": "\\t", ":": "\\c"}
 _ESCAPED = re.compile(r"\\([\\htc])")
 _READ = {"\\": "\\", "h": "###", "t": "</turn>", "c": ":"}
+#: Stands for a null conv_id within the joins.
+NO_ID = -(1 << 63)
 _TURN = re.compile(r"### (?P<role>[^:\\]*(?:\\.[^:\\]*)*): (?P<text>.*?)</turn>\n", re.S)
 
 
@@ -61,10 +63,12 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def reply_chain(messages: DataFrame) -> DataFrame:
     """(conv_id, node, parent, role, text, score) of rows (conv_id, turn, role, text) in which each turn replies to the
-    one before it: by turn, null turns first, then role, then text.  Null roles and texts count as empty, a null
-    conv_id as a conversation of its own."""
-    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    one before it: by turn, null turns first, then role, then the text's hash.  Null roles and texts count as empty;
+    rows without a conv_id are one conversation, whose id is null."""
+    rows = messages.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("_hash", F.xxhash64("text"))
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "_hash")
     node = F.row_number().over(w).cast("long")
     return rows.select("conv_id", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -74,43 +78,31 @@ def chosen_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     counts from 1, place is the distance to the leaf.
 
     A parent that isn't there makes its child a root.  A node whose parents form a ring has no root and is on no path.
+    Only the links are joined, never the texts, and every round is checkpointed.
     """
-    key = F.col("conv_id")
-    links = nodes.select("conv_id", "node", "parent", F.col("score").cast("double").alias("score"))
-    known = links.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"))
+    links = cut(nodes.select("conv_id", "node", "parent", F.col("score").cast("double").alias("score")))
+    known = links.select("conv_id", F.col("node").alias("parent"), F.col("node").alias("to"))
     jump = cut(
-        links.join(known, key.eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pn")), "left").select(
-            "conv_id", "node", F.col("pn").alias("to"), F.lit(1).cast("long").alias("n"), F.coalesce("score", F.lit(0.0)).alias("sum")
-        )
-    )
-    leaves = cut(
-        links.select("conv_id", "node").join(
-            links.where("parent is not null and parent <> node").select(F.col("conv_id").alias("pc"), F.col("parent").alias("pn")).distinct(),
-            key.eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn")),
-            "left_anti",
-        )
+        links.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", "to", F.lit(1).cast("long").alias("n"), F.coalesce("score", F.lit(0.0)).alias("sum"))
     )
+    parents = links.where("parent is not null and parent <> node").select("conv_id", F.col("parent").alias("node"))
+    leaves = links.select("conv_id", "node").join(parents, ["conv_id", "node"], "left_anti")
     # n nodes from ``node`` up to, not with, ``to``; ``to`` is null once the root is reached.
     hops, reach = [jump], jump
-    limit = links.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while (1 << (len(hops) - 1)) < limit and reach.where("to is not null").limit(1).count():
-        up = reach.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"), F.col("to").alias("t2"), F.col("n").alias("n2"), F.col("sum").alias("s2"))
-        reach = cut(
-            reach.join(up, key.eqNullSafe(F.col("pc")) & (F.col("to") == F.col("pn")), "left").select(
-                "conv_id", "node", F.col("t2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum")
-            )
-        )
+    most = links.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while (1 << (len(hops) - 1)) < most and not reach.where("to is not null").isEmpty():
+        up = reach.select("conv_id", F.col("node").alias("to"), F.col("to").alias("t2"), F.col("n").alias("n2"), F.col("sum").alias("s2"))
+        n, total = F.col("n") + F.coalesce("n2", F.lit(0)), F.col("sum") + F.coalesce("s2", F.lit(0.0))
+        reach = cut(reach.join(up, ["conv_id", "to"], "left").select("conv_id", "node", F.col("t2").alias("to"), n.alias("n"), total.alias("sum")))
         hops.append(reach)
-    ends = reach.where("to is null").select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"), "n", "sum")
-    ranked = leaves.join(ends, key.eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn"))).select("conv_id", "node", "n", (F.col("sum") / F.col("n")).alias("mean"))
+    ends = reach.where("to is null").select("conv_id", "node", "n", (F.col("sum") / F.col("n")).alias("mean"))
     order = Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("n"), "node")
-    path = ranked.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
-    path = path.select("conv_id", "branch", F.lit(0).cast("long").alias("place"), "node")
+    path = leaves.join(ends, ["conv_id", "node"]).withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
+    path = cut(path.select("conv_id", "branch", F.lit(0).cast("long").alias("place"), "node"))
     for hop in reversed(hops):
-        up = hop.where("to is not null").select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"), "to", "n")
-        path = path.union(
-            path.join(up, key.eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn"))).select("conv_id", "branch", (F.col("place") + F.col("n")).alias("place"), F.col("to").alias("node"))
-        )
+        up = hop.where("to is not null").select("conv_id", "node", "to", "n")
+        more = path.join(up, ["conv_id", "node"]).select("conv_id", "branch", (F.col("place") + F.col("n")).alias("place"), F.col("to").alias("node"))
+        path = cut(path.union(more))
     return path
 
 
@@ -118,24 +110,35 @@ def format_conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, branch, formatted string, loss array<struct<start,end>>) for the chosen paths of each conversation.
 
     ``nodes`` has conv_id, node (unique in its conversation), parent, role, text and score; other columns are ignored.
-    Null roles and texts are empty, null scores 0.
+    Null roles and texts are empty, null scores 0, null conv_ids one conversation.  Texts move once, to their
+    conversation, where the chosen nodes meet them.
     """
-    path = chosen_paths(nodes, keep)
-    said = nodes.select(F.col("conv_id").alias("pc"), F.col("node").alias("pn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = path.join(said, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn")))
-    grouped = turns.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list(F.struct(-F.col("place"), "role", "text"))).alias("turns"))
+    nodes = nodes.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)))
+    chosen = chosen_paths(nodes, keep).groupBy("conv_id").agg(F.collect_list(F.struct("node", "branch", "place")).alias("chosen"))
+    said = nodes.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = said.groupBy("conv_id").agg(F.collect_list(F.struct("node", "role", "text")).alias("turns"))
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            made = [format_turns([(t["role"], t["text"]) for t in row.as_py()]) for row in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f for f, _ in made], pa.string()), pa.array([[{"start": s, "end": e} for s, e in m] for _, m in made], kind)],
-                names=["conv_id", "branch", "formatted", "loss"],
-            )
-
-    turns_type = grouped.select(F.col("conv_id").cast("long"), F.col("branch").cast("long"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return turns_type.mapInArrow(run, "conv_id long, branch long, formatted string, loss array<struct<start: long, end: long>>")
+            for i in range(batch.num_rows):  # a conversation at a time
+                turns = {t["node"]: (t["role"], t["text"]) for t in batch.column(1)[i].as_py()}
+                paths: dict[int, list[tuple[int, int]]] = {}
+                for c in batch.column(2)[i].as_py():
+                    paths.setdefault(c["branch"], []).append((-c["place"], c["node"]))
+                ids, texts, masks = sorted(paths), [], []
+                for b in ids:
+                    text, mask = format_turns([turns[n] for _, n in sorted(paths[b])])
+                    texts.append(text)
+                    masks.append([{"start": s, "end": e} for s, e in mask])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(masks, kind)],
+                    names=["conv_id", "branch", "formatted", "loss"],
+                )
+
+    made = whole.join(chosen, "conv_id").select("conv_id", "turns", "chosen")
+    made = made.mapInArrow(run, "conv_id long, branch long, formatted string, loss array<struct<start: long, end: long>>")
+    return made.withColumn("conv_id", F.nullif("conv_id", F.lit(NO_ID)))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
