@@ -33,9 +33,9 @@ from .common import BROADCAST_BYTES, broadcast_if_small, cut
 
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Bytes of text whose runs are held and resolved among themselves at once.
-PART = 8 << 20
+PART = 2 << 20
 #: A run is sent as three longs: seed rank (48 bits) and a code of the rank before it (12), run hash (48) and a code of
 #: the rank after the seed (12), and its place: start and number of windows (7).
 _COUNT, _CODE = 7, 12
@@ -304,11 +304,12 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
             F.collect_list(F.when(~F.col("out"), F.struct("seed", (F.shiftleft("start", _COUNT).bitwiseOR(F.col("until") - F.col("start") - (length - 1))).alias("at")))).alias("open"),
         )
     )
-    pending = by_doc.where(F.size("open") > 0).select("doc_id", "tag", "open")
+    seeds, places = F.col("open.seed"), F.col("open.at")
+    pending = by_doc.where(F.size("open") > 0).select("doc_id", "tag", seeds.alias("seeds"), places.alias("places"))
     fetched = (
-        tagged.join(_by_size(pending, "open", 16), ["doc_id", "tag"])
-        .select("doc_id", "tag", "body", F.explode("open").alias("o"))
-        .select("doc_id", "tag", "o.seed", F.shiftright("o.at", _COUNT).alias("start"), (F.col("o.at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
+        tagged.join(_by_size(pending, "seeds", 16), ["doc_id", "tag"])
+        .select("doc_id", "tag", "body", "seeds", F.posexplode("places").alias("i", "at"))
+        .select("doc_id", "tag", F.col("seeds")[F.col("i")].alias("seed"), F.shiftright("at", _COUNT).alias("start"), (F.col("at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
         .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
         .repartition("seed")
     )
