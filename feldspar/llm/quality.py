@@ -37,6 +37,10 @@ def tokens(word: str) -> tuple[str, ...]:
     return (core.lower(), f"={before[-3:]}{case}{after[:3]}")
 
 
+#: Stands for a word that repeats the one before it.
+AGAIN = ("=again",)
+
+
 def index_vector(token: str) -> np.ndarray:
     v, h = np.zeros(SIZE, np.float32), xxhash.xxh64_intdigest(token, 11)
     for i in range(ENTRIES):
@@ -72,9 +76,13 @@ class Model:
 
 
 def pool(text: str | None, rows: dict[str, int], vectors: np.ndarray, known: dict) -> np.ndarray:
-    words, ids, get = (text or "").split(), [], known.get
+    words, ids, get, before = (text or "").split(), [], known.get, None
+    again = tuple(rows[t] for t in AGAIN if t in rows)
     for w in words:
-        i = get(w)
+        if w == before:
+            ids += again
+            continue
+        before, i = w, get(w)
         if i is None:
             if len(known) >= _STORE:
                 known.clear()
@@ -99,7 +107,7 @@ def forward(x: np.ndarray, weights: tuple[np.ndarray, ...]) -> tuple[np.ndarray,
 
 def word_vectors(texts: list[str], least: int = 2, window: int = 2) -> tuple[dict[str, int], np.ndarray]:
     """The tokens found in at least ``least`` of the texts (the ``WORDS`` most frequent), and their vectors."""
-    split = [[t for w in text.split() for t in tokens(w)] for text in texts]
+    split = [[t for a, w in zip(["", *words], words) for t in (AGAIN if a == w else tokens(w))] for words in map(str.split, texts)]
     seen: dict[str, int] = {}
     for s in split:
         for t in set(s):
