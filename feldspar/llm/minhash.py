@@ -2,8 +2,7 @@
 
 Each five-word shingle is hashed once; its high bits choose one of ``BINS`` bins, and each bin keeps the least of its
 hashes.  Empty bins are filled by optimal densification: every empty bin draws bins from a random sequence of its own
-until it meets one that isn't empty, and copies its value.  The low ``BITS`` bits of each bin are packed into the
-fingerprint.  Two fingerprints agree in a bin by chance with probability C = 2^-BITS, so their likeness is the share
+until it meets one that isn't empty, and copies its value.  ``BITS`` bits of each bin are packed into the fingerprint.  Two fingerprints agree in a bin by chance with probability C = 2^-BITS, so their likeness is the share
 P of equal bins corrected for that bias, (P - C) / (1 - C), and 0 at least: an estimate of the Jaccard similarity of
 the shingle sets, with a standard error of about 0.02.
 """
@@ -26,6 +25,8 @@ _EMPTY = np.uint64(np.iinfo(np.uint64).max)
 #: Draws made bin by bin; bins that are still empty go through all of their sequence's order at once.
 _DRAWS = 32
 _LEAST = -(1 << 63)
+#: A bin's stored bits are those of its value mixed with its number, so that copies in other bins differ.
+_BIN, _MIX = np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _sequences() -> np.ndarray:
@@ -77,7 +78,7 @@ def signatures(texts: list[str | None], block: int = 1 << 16, full: bool = False
         filled = densify(bins)
         if full:
             whole[at : at + len(part)] = filled
-        low = (filled & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        low = ((filled + _BIN) * _MIX >> np.uint64(64 - BITS)).astype(np.uint8)
         low[none] = 0
         packed[at : at + len(part)] = low[:, 0::2] << 4 | low[:, 1::2]
     return (whole, packed) if full else packed
