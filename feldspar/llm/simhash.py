@@ -12,8 +12,6 @@ Only distinct fingerprints are joined, each standing for its whole group of copi
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -131,26 +129,29 @@ def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) ->
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b, ...) whose sketches' estimated similarity is at least ``similarity``."""
-    x = nodes.select(F.col("h").alias("a"), F.col("sketch").alias("sa"))
-    y = nodes.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
+    """The ``pairs`` (a, b) whose sketches' estimated similarity is at least ``similarity``."""
 
     @F.pandas_udf("double")
     def estimate(a, b):
         both = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (a, b)]
         return pd.Series(minhash.likeness(*both))
 
-    return pairs.join(x, "a").join(y, "b").withColumn("s", estimate("sa", "sb")).where(F.col("s") >= similarity).drop("sa", "sb", "s")
+    x = nodes.select(F.col("h").alias("a"), F.col("sketch").alias("sa"))
+    y = nodes.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
+    half = cut(broadcast_if_small(cut(pairs.distinct()), 24).join(x, "a"))
+    both = broadcast_if_small(half, 24 + minhash.BINS * minhash.BITS // 8).join(y, "b")
+    return both.where(estimate("sa", "sb") >= similarity).select("a", "b")
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, h, group) for each row of ``docs``: documents whose ``size``-word shingle sets have a Jaccard similarity of
     ``similarity`` or more (estimated from 512 bins) share a group, and so do those linked through others.
 
     Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
-    than any exact 64-bit filter can afford (median 7), so further candidates come from MinHash bands: in each band's
-    bucket all are compared with one pivot, those not alike with a next pivot, until none is left; no pair within a
-    bucket is skipped for its size, and no bucket is expanded into all its pairs.  Equal texts count once.
+    than an exact filter of 64 bits can afford (median 9), so further candidates come from MinHash bands.  In a band's
+    bucket all are compared with its least member first; only those that this leaves in different groups meet each
+    other, and of them only the pairs whose fingerprints differ in at most ``radius`` bits leave the join.  So a large
+    group of copies costs its size, not its square.  Equal texts count once.
     """
     rows = cut(sketches(docs, size=size))
     nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
@@ -158,23 +159,29 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     named = nodes.groupBy("fp").agg(F.min("h").alias("h"))
     same = nodes.select("fp", F.col("h").alias("b")).join(named.select("fp", F.col("h").alias("a")), "fp").where("a <> b").select("a", "b")
     near = close.join(named.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(named.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
-    found = [cut(_alike(same.union(near.select(F.col("ha").alias("a"), F.col("hb").alias("b"))), nodes, similarity))]
-    left = nodes.select("h", F.posexplode("keys").alias("band", "key"))
-    while True:
-        pivots = left.groupBy("band", "key").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-        left = cut(left.join(pivots, ["band", "key"]).where("h <> pivot"))
-        if left.isEmpty():
-            break
-        pairs = left.select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
-        alike = cut(_alike(pairs, nodes, similarity).select("a", "b"))
-        found.append(alike)
-        done = alike.select(F.col("a").alias("pivot"), F.col("b").alias("h"))
-        left = left.join(done, ["pivot", "h"], "left_anti").select("h", "band", "key")
-    roots = components(reduce(DataFrame.union, [f.select("a", "b") for f in found]))
-    roots = cut(roots.select(F.col("node").alias("h"), F.col("root")))
+    linked = same.union(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+
+    banded = nodes.select("h", "fp", F.posexplode("keys").alias("band", "key"))
+    least = banded.groupBy("band", "key").agg(F.min(F.struct("h", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    met = cut(banded.join(least, ["band", "key"]).select("band", "key", "h", "fp", "p", "n"))
+    star = met.where((F.col("h") != F.col("p.h")) & _within("fp", "p.fp", radius)).select(F.col("p.h").alias("a"), F.col("h").alias("b"))
+    found = cut(_alike(linked.union(star), nodes, similarity))
+    roots = cut(components(found))
+
+    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", "fp", F.coalesce("root", "h").alias("root"), F.col("p.h").alias("p"))
+    mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+    open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p"))
+    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "fp", "root")]) for s in "ab")
+    on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb")) & _within("fpa", "fpb", radius)
+    more = _alike(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")), nodes, similarity)
+    roots = cut(components(found.union(more)).select(F.col("node").alias("h"), F.col("root")))
     return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
 
+def _within(a: str, b: str, radius: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns kept, with one row of each group of ``near_copies``: that of the smallest doc_id
     (null ids last; of several texts under one doc_id the one with the least hash).  A text without words is like
