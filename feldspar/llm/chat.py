@@ -93,7 +93,8 @@ def chosen_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     while (1 << (len(hops) - 1)) < most and not reach.where("to is not null").isEmpty():
         up = reach.select("conv_id", F.col("node").alias("to"), F.col("to").alias("t2"), F.col("n").alias("n2"), F.col("sum").alias("s2"))
         n, total = F.col("n") + F.coalesce("n2", F.lit(0)), F.col("sum") + F.coalesce("s2", F.lit(0.0))
-        reach = cut(reach.join(up, ["conv_id", "to"], "left").select("conv_id", "node", F.col("t2").alias("to"), n.alias("n"), total.alias("sum")))
+        onward = reach.where("to is not null").join(up, ["conv_id", "to"]).select("conv_id", "node", F.col("t2").alias("to"), n.alias("n"), total.alias("sum"))
+        reach = cut(onward.union(reach.where("to is null").select("conv_id", "node", "to", "n", "sum")))
         hops.append(reach)
     ends = reach.where("to is null").select("conv_id", "node", "n", (F.col("sum") / F.col("n")).alias("mean"))
     order = Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("n"), "node")
