@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def nearest(queries: DataFrame, cloud: DataFrame, k: int = 1, exclude_self: bool
     found = None
     while True:
         cells = [F.floor((F.col(a) - low[a]) / size).alias(f"c{a}") for a in "xyz"]
-        top = {a: int((high[a] - low[a]) // size) for a in "xyz"}
+        top = {a: math.floor((high[a] - low[a]) / size) for a in "xyz"}
         # A query far outside starts in the nearest cell of the cloud's border.
         own = {a: F.greatest(F.least(F.floor((F.col(f"q{a}") - low[a]) / size), F.lit(top[a])), F.lit(0)) for a in "xyz"}
         probes = asked
