@@ -224,6 +224,52 @@ def scan_distance(points: DataFrame, tris: DataFrame) -> DataFrame:
     return parts.select("qid", "tid", "meta", d.alias("d")).groupBy("qid").agg(best).select("qid", "b.d", "b.tid", "b.meta")
 
 
+def vertex_distance(p, corner, normal):
+    """Signed by the vertex normal."""
+    d = tuple(a - b for a, b in zip(p, corner, strict=True))
+    return m.norm(d) * m.where(m.dot(normal, d) > 0.0, 1.0, -1.0)
+
+
+def edge_distance(p, a, b, edge_normal, normal_a, normal_b):
+    """To a segment: of its nearer end beyond the ends, else perpendicular, signed by the edge normal."""
+    side, rel = (tuple(y - x for x, y in zip(a, q, strict=True)) for q in (b, p))
+    u = m.divided(m.dot(rel, side), m.dot(side, side))
+    foot = tuple(r - u * c for r, c in zip(rel, side, strict=True))
+    across = m.norm(foot) * m.where(m.dot(edge_normal, foot) > 0.0, 1.0, -1.0)
+    return m.where(u <= 0.0, vertex_distance(p, a, normal_a), m.where(u >= 1.0, vertex_distance(p, b, normal_b), across))
+
+
+def polygon_scan_distance(points: DataFrame, vertices: DataFrame, facets: DataFrame, signed: bool = True) -> DataFrame:
+    """(qid, d, fid) of a small mesh of polygons, by comparing every point with every edge: over a face the plane's
+    distance, else that of its nearest edge; the face of the least magnitude wins (ties: the least fid).  Without
+    ``signed`` d is the squared distance."""
+    face_rows = faces(vertices, facets)
+    en = edge_normals(half_edges(facets), face_rows)
+    vn = vertex_normals(vertices, facets.where(F.size("vids") >= 3), face_rows, "angle")
+    own = lambda key, pre: vn.select("mesh_id", F.col("vid").alias(key), *[F.col(c).alias(pre + c) for c in "xyz"], *[F.col("n" + c).alias(pre + "n" + c) for c in "xyz"])
+    rows = en.select("mesh_id", "fid", "place", "src", "dst", *[F.col("n" + c).alias("e" + c) for c in "xyz"])
+    rows = rows.join(own("src", "a"), ["mesh_id", "src"]).join(own("dst", "b"), ["mesh_id", "dst"]).join(face_rows.select("mesh_id", "fid", "nx", "ny", "nz"), ["mesh_id", "fid"])
+    pairs = points.select("qid", "x", "y", "z").crossJoin(F.broadcast(rows))
+    t = lambda pre: tuple(F.col(pre + c) for c in "xyz")
+    p, n = t(""), t("n")
+    size = [F.abs(c) for c in n]
+    drop = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2)
+
+    def flat(q):
+        return F.when(drop == 0, q[1]).otherwise(q[0]), F.when(drop == 2, q[1]).otherwise(q[2])
+
+    plane = m.dot(n, tuple(q - a for q, a in zip(p, t("a"), strict=True)))
+    foot = tuple(q - plane * c for q, c in zip(p, n, strict=True))
+    pairs = pairs.select("qid", "fid", "place", edge_distance(p, t("a"), t("b"), t("e"), t("an"), t("bn")).alias("edge"), plane.alias("plane"), *[c.alias(k) for c, k in zip((*flat(foot), *flat(t("a")), *flat(t("b"))), ("u", "v", "au", "av", "bu", "bv"), strict=True)])
+    left = (F.col("bu") - F.col("au")) * (F.col("v") - F.col("av")) - (F.col("u") - F.col("au")) * (F.col("bv") - F.col("av"))
+    up, down = (F.col("av") <= F.col("v")) & (F.col("bv") > F.col("v")), (F.col("av") > F.col("v")) & (F.col("bv") <= F.col("v"))
+    hits = F.count_if((up & (left > 0)) | (down & (left < 0)))
+    of_face = pairs.groupBy("qid", "fid").agg((hits % 2 == 1).alias("over"), F.min_by("plane", "place").alias("plane"), F.min_by("edge", F.struct(F.abs("edge"), "place")).alias("edge"))
+    d = F.when(F.col("over"), F.col("plane")).otherwise(F.col("edge"))
+    best = of_face.select("qid", "fid", d.alias("d")).groupBy("qid").agg(F.min_by(F.struct("d", "fid"), F.struct(F.abs("d"), "fid")).alias("b"))
+    return best.select("qid", (F.col("b.d") if signed else F.col("b.d") * F.col("b.d")).alias("d"), "b.fid")
+
+
 def distance(points: DataFrame, tris: DataFrame, k: int = 1, build: str = "sah") -> DataFrame:
     """(qid, rank, d, tid, meta): the signed distances of the ``k`` nearest triangles, ties by tid.
 

@@ -471,6 +471,12 @@ register(
     f"SELECT vec_id, CAST(k AS INTEGER) AS rank, round(abs(d), 6) + 0e0 AS d FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY abs(d), tid) AS k FROM {_nearest_sql('dodeca')}) WHERE k <= 4",
 )
 register("mesh_sdf_scan", lambda s, d: mesh.scan_distance(_asked(s, d), _mesh_triangles(s, "tetra")).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _ORACLE["mesh_sdf_tetra"])
+register("mesh_polygon_scan", lambda s, d: mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "tetra")).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _ORACLE["mesh_sdf_tetra"])
+register(
+    "mesh_polygon_scan_squared",
+    lambda s, d: mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "dodeca"), signed=False).select(F.col("qid").alias("vec_id"), r6("d").alias("d")),
+    f"SELECT vec_id, round(min(d * d), 6) + 0e0 AS d FROM {_nearest_sql('dodeca')} GROUP BY vec_id",
+)
 register("mesh_paint", lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca")).where(F.abs("d") <= 0.25).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), f"SELECT * FROM ({_ORACLE['mesh_sdf']}) WHERE abs(d) <= 0.25")
 register(
     "mesh_extent",

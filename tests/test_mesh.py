@@ -180,3 +180,19 @@ def test_polygon_algorithms_agree(spark, normal):
         assert [r.inside for r in mesh.points_in_polygons(poly, q, algorithm).orderBy("qid").collect()] == expected
     with pytest.raises(ValueError):
         mesh.points_in_polygons(poly, q, "other")
+
+
+def test_polygons_as_faces(spark):
+    """The dodecahedron of twelve pentagons has the distances of its triangles."""
+    p = np.random.default_rng(5).uniform(-3, 3, (60, 3))
+    rings = []
+    for i in range(0, 36, 3):
+        a, b, c = DT[i : i + 3]
+        rings.append((a[0], a[1], a[2], b[2], c[2]))
+    v, f = soup(spark, DV, rings)
+    assert mesh.sanity(v, f).first().watertight
+    found = sorted(mesh.polygon_scan_distance(points(spark, p), v, f).collect())
+    plain = sorted(mesh.scan_distance(points(spark, p), mesh.triangles(*soup(spark, DV, DT))).collect())
+    assert np.allclose([r.d for r in found], [r.d for r in plain])
+    squared = sorted(mesh.polygon_scan_distance(points(spark, p), v, f, signed=False).collect())
+    assert np.allclose([r.d for r in squared], [r.d**2 for r in plain])
