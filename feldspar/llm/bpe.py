@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: Texts of these characters only are split here: their lower-casing is plain, their composed form is their own, and
 #: letters, digits and white space are told apart by the classes below.  All other texts take the library's path.
 _PLAIN = re.compile(r"[\x01-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -56,7 +58,7 @@ def _is_plain(spec: dict) -> bool:
 
 
 #: Pieces kept per Python worker with their ids; a full store is emptied, so results don't depend on it.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 
 
 class Bpe:
@@ -200,6 +202,11 @@ class Bpe:
             out.append(ids)
         return out
 
+    def forget(self) -> None:
+        """Drops the store and gives its memory back to the system."""
+        self._known.clear()
+        give_back()
+
     def decode(self, ids: list[int]) -> str:
         """Without a decoder the library joins the tokens, special ones included, with spaces."""
         tokens = self.tokens
@@ -211,7 +218,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, batch_chars: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, batch_chars: int = 1 << 20) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for each row; a null text counts as empty and has no ids.
 
     ``vocabulary`` names the file by its name in the installed package ``public_tokenizers`` or by a path that every
@@ -234,8 +241,9 @@ def encode(docs: DataFrame, vocabulary: str, batch_chars: int = 4 << 20) -> Data
                     names=["doc_id", "ids", "decoded"],
                 )
                 at = to
+        bpe.forget()  # the worker goes on to other tasks
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def resolve(vocabulary: str) -> str:

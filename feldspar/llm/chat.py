@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _WRITTEN = {"\\": "\\\\", "###": "\\h", "</turn>": "\\t", ":": "\\c"}
@@ -122,22 +122,23 @@ def format_conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for i in range(batch.num_rows):  # a conversation at a time
-                turns = {t["node"]: (t["role"], t["text"]) for t in batch.column(1)[i].as_py()}
+            conv, branch, texts, masks = [], [], [], []
+            for i in range(batch.num_rows):
+                turns = {t["node"].as_py(): t for t in batch.column(1)[i]}
                 paths: dict[int, list[tuple[int, int]]] = {}
                 for c in batch.column(2)[i].as_py():
                     paths.setdefault(c["branch"], []).append((-c["place"], c["node"]))
-                ids, texts, masks = sorted(paths), [], []
-                for b in ids:
-                    text, mask = format_turns([turns[n] for _, n in sorted(paths[b])])
+                for b in sorted(paths):
+                    text, mask = format_turns([(turns[n]["role"].as_py(), turns[n]["text"].as_py()) for _, n in sorted(paths[b])])
+                    conv.append(batch.column(0)[i].as_py())
+                    branch.append(b)
                     texts.append(text)
                     masks.append([{"start": s, "end": e} for s, e in mask])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(masks, kind)],
-                    names=["conv_id", "branch", "formatted", "loss"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(conv, pa.int64()), pa.array(branch, pa.int64()), pa.array(texts, pa.string()), pa.array(masks, kind)], names=["conv_id", "branch", "formatted", "loss"]
+            )
 
-    made = whole.join(chosen, "conv_id").select("conv_id", "turns", "chosen")
+    made = small_batches(whole).join(chosen, "conv_id").select("conv_id", "turns", "chosen")
     made = made.mapInArrow(run, "conv_id long, branch long, formatted string, loss array<struct<start: long, end: long>>")
     return made.withColumn("conv_id", F.nullif("conv_id", F.lit(NO_ID)))
 

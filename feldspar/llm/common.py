@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import zlib
 
@@ -12,6 +15,26 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Bytes of an Arrow batch of texts, unless the session sets a bound of its own below Spark's default.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", {"67108864b", "64m", "67108864"}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, of whose texts Python workers then get a few MB at a time, however long the texts are."""
+    if df.sparkSession.conf.get(_BATCH_KEY, "64m").lower() in _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    return df
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system: Python workers go on from task to task and would keep the
+    peak of each."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import shingles
 
 BINS, BITS, WORDS = 512, 4, 5
@@ -102,7 +103,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             packed = signatures([t.as_py() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint binary")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -195,4 +196,4 @@ def compare_edited(docs: DataFrame, chunk_chars: int = 4 << 20) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     if not docs.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema)
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(small_batches(docs)).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import small_batches, training_rows
 
 #: Labelled rows learnt from, at most; word vectors kept, at most; their size; index entries that aren't 0.
 TRAINING_ROWS, WORDS, SIZE, ENTRIES = 3_000, 30_000, 64, 4
@@ -181,4 +181,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores([t.as_py() for t in batch.column(1)]), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

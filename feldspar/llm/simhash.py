@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import broadcast_if_small, components, cut
+from .common import broadcast_if_small, components, cut, give_back, small_batches
 from .words import shingles
 
 RADIUS = 3
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def chain_keys(distinct: DataFrame) -> DataFrame:
@@ -124,8 +124,9 @@ def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) ->
                 [batch.column(0), pa.array(h), pa.array(fps), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "fp", "sketch", "keys"],
             )
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, broadcast_if_small, cut
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, give_back, small_batches
 
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
@@ -213,6 +213,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                 # Any spread-out seed will do: a span has no partner.
                 columns = (doc * 2654435761 + start, start, doc, tag, start, end)
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=_NAMES)
+        give_back()
 
     return docs.mapInArrow(scan, _ROWS)
 
@@ -273,6 +274,7 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
                 yield emit(_rank(whole, length))
         if carried:
             yield emit(_rank([np.concatenate(c) for c in zip(*carried, strict=True)], length))
+        give_back()
 
     return rows.mapInArrow(rank, "seed long, doc_id long, tag long, start long, until long, out boolean")
 
@@ -281,7 +283,7 @@ def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, tag, body): body is the text's bytes; tag tells apart different texts that share a doc_id.  ``columns`` of
     ``docs`` come along in the struct ``_row``."""
     row = [F.struct(*columns).alias("_row")] if columns else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"), *row)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"), *row)
     shared = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if shared.isEmpty():
         return rows.withColumn("tag", F.lit(0).cast("long"))

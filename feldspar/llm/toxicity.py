@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import small_batches, training_rows
 
 #: Labelled rows learnt from, at most; stems kept, at most.
 TRAINING_ROWS, STEMS = 20_000, 2_000
@@ -177,7 +177,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
                 names=["stem", "whole", "toxic", "clean", "contexts"],
             )
 
-    counted = rows.select("text", "label").mapInArrow(run, "stem string, whole boolean, toxic long, clean long, contexts long")
+    counted = small_batches(rows).select("text", "label").mapInArrow(run, "stem string, whole boolean, toxic long, clean long, contexts long")
     return counted.groupBy("stem", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
 
 
@@ -257,7 +257,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array(clauses, kind)], names=["doc_id", "score", "clauses"])
 
     kind = "doc_id long, score double, clauses array<struct<weight: double, start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
 def rejected(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataFrame:
@@ -267,4 +267,4 @@ def rejected(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataF
     def toxic(texts):
         return texts.map(lambda t: grammar.score(t or "") >= threshold)
 
-    return docs.withColumn("_rejected", toxic(F.col("text")))
+    return small_batches(docs).withColumn("_rejected", toxic(F.col("text")))
