@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -122,9 +121,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     found = rows.select(F.percentile_approx(rank, F.array(*map(F.lit, shares)), 20 * parts).alias("q")).first()["q"] if shares else None
     bounds = np.unique(np.array(found or [], np.int64))
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(), "left"))
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        return pa.array((len(bounds) - np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), "left")).astype(np.int32))
 
     heads = rows.select(rank.alias("rank")).groupBy(part_of("rank").alias("part")).agg(F.max("rank").alias("head")).orderBy("part").collect()
     # Where a part's first row is wanted besides: in the part before it, the first part's in the last.
@@ -132,10 +131,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads_at = np.array(sorted(wanted), np.int64)
     also_at = np.array([wanted[h] for h in heads_at.tolist()], np.int64)
 
-    @F.pandas_udf("int")
-    def also(ids: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(heads_at, ids.to_numpy()), len(heads_at) - 1)
-        return pd.Series(also_at[at]).where(heads_at[at] == ids.to_numpy(), -1)
+    @F.arrow_udf("int")
+    def also(ids: pa.Array) -> pa.Array:
+        ids = ids.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(heads_at, ids), len(heads_at) - 1)
+        return pa.array(np.where(heads_at[at] == ids, also_at[at], -1).astype(np.int32))
 
     placed = rows.withColumn("rank", rank).withColumn("part", part_of("rank")).withColumn("also", also("rank"))
     places = F.array_compact(F.array(F.struct("part", F.lit(False).alias("ahead")), F.when(F.col("also") >= 0, F.struct(F.col("also").alias("part"), F.lit(True).alias("ahead")))))

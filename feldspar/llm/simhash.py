@@ -13,7 +13,6 @@ Only distinct fingerprints are joined, each standing for its whole group of copi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -109,44 +108,69 @@ def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+def text_hash():
+    """Tells texts apart; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+
+
 def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) -> DataFrame:
     """(doc_id, h, fp, sketch, keys) for each row of ``docs``: the text's hash, its SimHash over ``size`` words, its packed
     one-permutation MinHash, and ``bands`` keys of ``rows`` bins each."""
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
+            texts = [t.as_py() for t in batch.column(2)]
             full, packed = minhash.signatures(texts, full=True)
             keys = [[xxhash.xxh3_64_intdigest(r[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] for r in full]
             fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            h = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(h), pa.array(fps), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(fps), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "fp", "sketch", "keys"],
             )
         give_back()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
+
+
+#: Estimates this near to the threshold (four standard errors) are settled on the texts.
+MARGIN = 0.08
+
 
+def _jaccard(a: str, b: str, size: int) -> float:
+    x, y = ({xxhash.xxh3_128_digest(joined[s:e]) for s, e in bounds} for joined, bounds in (shingles(a, size), shingles(b, size)))
+    return len(x & y) / len(x | y) if x or y else 1.0
 
-def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sketches' estimated similarity is at least ``similarity``."""
 
-    @F.pandas_udf("double")
-    def estimate(a, b):
-        both = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (a, b)]
-        return pd.Series(minhash.likeness(*both))
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The ``pairs`` (a, b) of text hashes with a Jaccard similarity of at least ``similarity``: by the sketches where
+    their estimate is clear, else exactly, by the texts of those pairs alone."""
 
-    x = nodes.select(F.col("h").alias("a"), F.col("sketch").alias("sa"))
-    y = nodes.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
-    half = cut(broadcast_if_small(cut(pairs.distinct()), 24).join(x, "a"))
-    both = broadcast_if_small(half, 24 + minhash.BINS * minhash.BITS // 8).join(y, "b")
-    return both.where(estimate("sa", "sb") >= similarity).select("a", "b")
+    @F.arrow_udf("double")
+    def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b)]
+        return pa.array(minhash.likeness(*both))
+
+    @F.arrow_udf("double")
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_jaccard(x.as_py(), y.as_py(), size) for x, y in zip(a, b, strict=True)], pa.float64())
+
+    def other(rows: DataFrame, column: str, s: str) -> DataFrame:
+        return rows.select(F.col("h").alias(s), F.col(column).alias(column + s))
+
+    half = cut(broadcast_if_small(cut(pairs.distinct()), 24).join(other(nodes, "sketch", "a"), "a"))
+    both = broadcast_if_small(half, 24 + minhash.BINS * minhash.BITS // 8).join(other(nodes, "sketch", "b"), "b")
+    judged = cut(both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN))
+    close = judged.where(F.col("s") < similarity + MARGIN).select("a", "b")
+    wanted = cut(close.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, 16), "h", "left_semi")
+    texts = cut(texts.groupBy("h").agg(F.first("text").alias("text")))
+    settled = small_batches(close).join(other(texts, "text", "a"), "a").join(other(texts, "text", "b"), "b").where(exact("texta", "textb") >= similarity)
+    return judged.where(F.col("s") >= similarity + MARGIN).select("a", "b").union(settled.select("a", "b"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, h, group) for each row of ``docs``: documents whose ``size``-word shingle sets have a Jaccard similarity of
-    ``similarity`` or more (estimated from 512 bins) share a group, and so do those linked through others.
+    ``similarity`` or more share a group, and so do those linked through others.
 
     Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
     than an exact filter of 64 bits can afford (median 9), so further candidates come from MinHash bands.  In a band's
@@ -166,7 +190,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     least = banded.groupBy("band", "key").agg(F.min(F.struct("h", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
     met = cut(banded.join(least, ["band", "key"]).select("band", "key", "h", "fp", "p", "n"))
     star = met.where((F.col("h") != F.col("p.h")) & _within("fp", "p.fp", radius)).select(F.col("p.h").alias("a"), F.col("h").alias("b"))
-    found = cut(_alike(linked.union(star), nodes, similarity))
+    found = cut(_alike(linked.union(star), nodes, docs, similarity, size))
     roots = cut(components(found))
 
     grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", "fp", F.coalesce("root", "h").alias("root"), F.col("p.h").alias("p"))
@@ -174,7 +198,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p"))
     a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "fp", "root")]) for s in "ab")
     on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb")) & _within("fpa", "fpb", radius)
-    more = _alike(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")), nodes, similarity)
+    more = _alike(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")), nodes, docs, similarity, size)
     roots = cut(components(found.union(more)).select(F.col("node").alias("h"), F.col("root")))
     return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
@@ -192,13 +216,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     counted = groups.groupBy("group", "doc_id", "h").agg(F.count("*").alias("n"))
     kept = cut(counted.groupBy("group").agg(best, F.max("n").alias("n")).select(F.col("b.doc_id").alias("_id"), F.col("b.h").alias("_h"), "n"))
 
-    @F.pandas_udf("long")
-    def text_hash(texts):
-        return pd.Series([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype="uint64").astype("int64")
-
     def among(keys: DataFrame) -> DataFrame:
         keys = broadcast_if_small(keys.select("_id", "_h"), 32)
-        return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash("text") == F.col("_h")), "left_semi")
+        return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h")), "left_semi")
 
     repeated = kept.where("n > 1")
     if repeated.isEmpty():

@@ -23,7 +23,6 @@ stands in a third of all documents sends one row a batch, not one a document.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -388,9 +387,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = cut(removed_spans(tagged.select("doc_id", "tag", "body"), length))
     joined = tagged.join(_by_size(spans, "spans", 16).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "spans": "_spans"}), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
 
-    @F.pandas_udf("string")
-    def kept(bodies, spans):
-        return pd.Series([_cut_out(b, s) for b, s in zip(bodies, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def kept(bodies: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_cut_out(b.as_py(), s.as_py()) for b, s in zip(bodies, spans, strict=True)], pa.string())
 
     rows = joined.withColumn("_kept", F.when(F.col("_spans").isNotNull(), kept("body", "_spans")))
     rows = rows.where("_kept is null or _kept <> ''")
@@ -403,7 +402,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut_out(body: bytes, spans) -> str:
     parts, at = [], 0
-    for s in spans if spans is not None else ():
+    for s in spans or ():
         parts.append(body[at : s["start"]])
         at = s["until"]
     return "".join(p.decode("utf-8", "ignore") for p in [*parts, body[at:]])
