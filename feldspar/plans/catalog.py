@@ -155,10 +155,15 @@ _field("csg_city_items", f.SmoothUnion((f.Box((0.5, 1.0, 0.0), (2.0, 3.0, 4.0)),
 
 def _normal_sphere(spark, sf_dir):
     n = f.Sphere().normal(*(F.col(a) for a in "xyz"), delta=1e-3)
-    return points(spark, sf_dir).select("vec_id", *[r6(F.round(c, 4)).alias(f"n{a}") for c, a in zip(n, "xyz", strict=True)])
+    return points(spark, sf_dir).select("vec_id", *[r6(c).alias(f"n{a}") for c, a in zip(n, "xyz", strict=True)])
 
 
-register("normal_sphere", _normal_sphere, f"SELECT vec_id, {', '.join(f'round(round({a} / sqrt(x*x + y*y + z*z), 4), 6) + 0e0 AS n{a}' for a in 'xyz')} FROM {POINTS_SQL}")
+_slope = {a: "(sqrt(" + " + ".join(f"({b} + 0.001e0)*({b} + 0.001e0)" if a == b else f"{b}*{b}" for b in "xyz") + ") - sqrt(" + " + ".join(f"({b} - 0.001e0)*({b} - 0.001e0)" if a == b else f"{b}*{b}" for b in "xyz") + "))" for a in "xyz"}
+register(
+    "normal_sphere",
+    _normal_sphere,
+    f"SELECT vec_id, {', '.join(f'round(g{a} / sqrt(gx*gx + gy*gy + gz*gz), 6) + 0e0 AS n{a}' for a in 'xyz')} FROM (SELECT vec_id, {', '.join(f'{_slope[a]} AS g{a}' for a in 'xyz')} FROM {POINTS_SQL})",
+)
 
 
 def _vectors(spark, sf_dir):
