@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feldspar.functions import algebra as m
+from feldspar.plans.lineage import cut
 
 from .bvh import Bvh
+from .spatial import numbered
 
 #: Triangles sent to the executors at once; larger meshes are split in blocks.
 BLOCK = 200_000
@@ -35,24 +37,29 @@ def degenerate(vertices: DataFrame, facets: DataFrame) -> DataFrame:
 
 
 def compress(vertices: DataFrame, facets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices without repeated positions (exact equality), numbered in the order of x, y, z, and facets over them."""
-    order = Window.partitionBy("mesh_id").orderBy("x", "y", "z")
-    numbered = vertices.withColumn("new", (F.dense_rank().over(order) - 1).cast("int"))
-    kept = numbered.select("mesh_id", F.col("new").alias("vid"), "x", "y", "z").distinct()
-    moved = facets.select("mesh_id", "fid", "meta", F.posexplode("vids").alias("place", "vid")).join(numbered.select("mesh_id", "vid", "new"), ["mesh_id", "vid"])
-    again = moved.groupBy("mesh_id", "fid", "meta").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda s: s["new"]).alias("vids"))
+    """Vertices without repeated positions (exact equality), numbered in the order of x, y, z, and facets over them.  The
+    numbers come from a distributed sort, so a mesh isn't confined to one task."""
+    places = numbered(vertices.select("mesh_id", "x", "y", "z").distinct(), "mesh_id", "x", "y", "z")
+    first = places.groupBy("mesh_id").agg(F.min("place").alias("first"))
+    kept = cut(places.join(first, "mesh_id").select("mesh_id", (F.col("place") - F.col("first")).cast("int").alias("vid"), "x", "y", "z"))
+    new = kept.select(F.col("mesh_id").alias("m"), F.col("vid").alias("new"), *[F.col(c).alias("new_" + c) for c in "xyz"])
+    same = [F.col(c).eqNullSafe(F.col("new_" + c)) for c in "xyz"]
+    moved = vertices.join(new, [F.col("mesh_id") == F.col("m"), *same]).select("mesh_id", "vid", "new")
+    corner = facets.select("mesh_id", "fid", "meta", F.posexplode("vids").alias("place", "vid")).join(moved, ["mesh_id", "vid"])
+    again = corner.groupBy("mesh_id", "fid", "meta").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda s: s["new"]).alias("vids"))
     return kept, again.select("mesh_id", "fid", "vids", "meta")
 
 
 def half_edges(facets: DataFrame) -> DataFrame:
     """mesh_id, eid, fid, place, src, dst, next_eid, pair_eid: the edges of facets with three corners or more; a pair
-    runs the other way (the least eid, if several do), null on a border."""
-    rows = facets.where(F.size("vids") >= 3).select("mesh_id", "fid", "vids", F.posexplode("vids").alias("place", "src"))
-    nxt = (F.col("place") + 1) % F.size("vids")
-    first = F.sum("n").over(Window.partitionBy("mesh_id").orderBy("fid").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = facets.where(F.size("vids") >= 3).select("mesh_id", "fid", F.size("vids").alias("n")).withColumn("first", F.coalesce(first, F.lit(0)).cast("int"))
-    e = rows.join(sizes, ["mesh_id", "fid"]).select(
-        "mesh_id", (F.col("first") + F.col("place")).alias("eid"), "fid", "place", "src", F.element_at("vids", nxt + 1).alias("dst"), (F.col("first") + nxt).alias("next_eid")
+    runs the other way (the least eid, if several do), null on a border.  An edge's id is its facet's times the largest
+    number of corners, plus its place, so that no order over a mesh is needed."""
+    kept = facets.where(F.size("vids") >= 3)
+    most = kept.agg(F.max(F.size("vids"))).first()[0] or 3
+    rows = kept.select("mesh_id", "fid", "vids", F.posexplode("vids").alias("place", "src"))
+    first, nxt = F.col("fid").cast("long") * most, (F.col("place") + 1) % F.size("vids")
+    e = rows.select(
+        "mesh_id", (first + F.col("place")).alias("eid"), "fid", "place", "src", F.element_at("vids", nxt + 1).alias("dst"), (first + nxt).alias("next_eid")
     )
     back = e.groupBy("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.min("eid").alias("pair_eid"))
     return e.join(back, ["mesh_id", "src", "dst"], "left").select("mesh_id", "eid", "fid", "place", "src", "dst", "next_eid", "pair_eid")

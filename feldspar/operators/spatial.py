@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from feldspar.functions import algebra as m
 from feldspar.functions.fields import Field
+from feldspar.plans.lineage import cut
 
 BITS = 21
 SPAN = (1 << BITS) - 1
@@ -263,7 +264,7 @@ def curve_order(points: DataFrame, curve: str = "morton") -> DataFrame:
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with their position (from 0) in an order, without bringing them into one partition."""
-    sorted_rows = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).persist()
+    sorted_rows = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
     counts = sorted_rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -288,7 +289,7 @@ def octree(spark, low, high, depth: int, keep: Callable[[DataFrame], DataFrame])
             out += [F.when(upper, mid).otherwise(F.col(lo)).alias(lo), F.when(upper, F.col(hi)).otherwise(mid).alias(hi)]
         cells = keep(split.select(*out)).where("flag").drop("flag")
         if level % 4 == 3:
-            cells = cells.persist()
+            cells = cut(cells)
     return cells.select("level", *LOW, *HIGH)
 
 

@@ -397,8 +397,8 @@ register("mesh_degenerate", lambda s, d: mesh.degenerate(*_soup(s, "bad")).selec
 register(
     "mesh_pairs",
     lambda s, d: mesh.half_edges(_soup(s, "dodeca")[1]).select("eid", "fid", "src", "dst", "next_eid", "pair_eid"),
-    f"""WITH e AS (SELECT CAST(row_number() OVER (ORDER BY fid, place) - 1 AS INTEGER) AS eid, fid, place, src, dst FROM {_corners_sql('dodeca')})
-    SELECT a.eid, a.fid, a.src, a.dst, CAST(CASE WHEN a.place = 2 THEN a.eid - 2 ELSE a.eid + 1 END AS INTEGER) AS next_eid, (SELECT min(b.eid) FROM e b WHERE b.src = a.dst AND b.dst = a.src) AS pair_eid FROM e a""",
+    f"""WITH e AS (SELECT CAST(row_number() OVER (ORDER BY fid, place) - 1 AS BIGINT) AS eid, fid, place, src, dst FROM {_corners_sql('dodeca')})
+    SELECT a.eid, a.fid, a.src, a.dst, CAST(CASE WHEN a.place = 2 THEN a.eid - 2 ELSE a.eid + 1 END AS BIGINT) AS next_eid, (SELECT min(b.eid) FROM e b WHERE b.src = a.dst AND b.dst = a.src) AS pair_eid FROM e a""",
 )
 _FACES_SQL = f"""(SELECT fid, (b.y-a.y)*(c.z-a.z) - (b.z-a.z)*(c.y-a.y) AS mx, (b.z-a.z)*(c.x-a.x) - (b.x-a.x)*(c.z-a.z) AS my, (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) AS mz,
   (a.x+b.x+c.x)/3 AS cx, (a.y+b.y+c.y)/3 AS cy, (a.z+b.z+c.z)/3 AS cz, a.vid AS v0, b.vid AS v1, c.vid AS v2
