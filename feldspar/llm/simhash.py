@@ -145,15 +145,17 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
     """The ``pairs`` (a, b) of text hashes with a Jaccard similarity of at least ``similarity``: by the sketches where
     their estimate is clear, else exactly, by the texts of those pairs alone."""
 
-    @F.arrow_udf("double")
     def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
         both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b)]
         return pa.array(minhash.likeness(*both))
 
-    @F.arrow_udf("double")
+    estimate = F.arrow_udf(estimate, "double").asNondeterministic()  # once a row: no filter copies it
+
     def exact(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([_jaccard(x.as_py(), y.as_py(), size) for x, y in zip(a, b, strict=True)], pa.float64())
 
+    exact = F.arrow_udf(exact, "double").asNondeterministic()  # once a row: no filter copies it
+
     def other(rows: DataFrame, column: str, s: str) -> DataFrame:
         return rows.select(F.col("h").alias(s), F.col(column).alias(column + s))
 

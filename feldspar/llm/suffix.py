@@ -41,6 +41,9 @@ _COUNT, _CODE = 7, 12
 _COUNT_MAX, _CODE_MAX = (1 << _COUNT) - 1, (1 << _CODE) - 1
 _HIGH = 16
 
+#: Round 3 has this many times the session's shuffle partitions, as each run becomes some twenty windows after the exchange.
+WINDOW_PARTS = 4
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
 
@@ -312,7 +315,7 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("doc_id", "tag", "body", "seeds", F.posexplode("places").alias("i", "at"))
         .select("doc_id", "tag", F.col("seeds")[F.col("i")].alias("seed"), F.shiftright("at", _COUNT).alias("start"), (F.col("at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
         .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
-        .repartition("seed")
+        .repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
     )
     places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
     windows = fetched.select("seed", "doc_id", "tag", "start", F.expr(places).alias("i", "window"))
@@ -387,10 +390,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = cut(removed_spans(tagged.select("doc_id", "tag", "body"), length))
     joined = tagged.join(_by_size(spans, "spans", 16).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "spans": "_spans"}), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
 
-    @F.arrow_udf("string")
     def kept(bodies: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([_cut_out(b.as_py(), s.as_py()) for b, s in zip(bodies, spans, strict=True)], pa.string())
 
+    kept = F.arrow_udf(kept, "string").asNondeterministic()  # once a row: no filter copies it
+
     rows = joined.withColumn("_kept", F.when(F.col("_spans").isNotNull(), kept("body", "_spans")))
     rows = rows.where("_kept is null or _kept <> ''")
     own = F.col("_row.text")

@@ -263,8 +263,9 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def rejected(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataFrame:
     """``docs`` with a column ``_rejected``: whether the text's score reaches ``threshold``."""
 
-    @F.arrow_udf("boolean")
     def toxic(texts: pa.Array) -> pa.Array:
         return pa.array([grammar.score(t.as_py() or "") >= threshold for t in texts], pa.bool_())
 
+    toxic = F.arrow_udf(toxic, "boolean").asNondeterministic()  # once a row: no filter copies it
+
     return small_batches(docs).withColumn("_rejected", toxic(F.col("text")))
