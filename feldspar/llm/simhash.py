@@ -124,18 +124,33 @@ def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) ->
             keys = [[xxhash.xxh3_64_intdigest(r[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] for r in full]
             fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(fps), pa.array(packed.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "fp", "sketch", "keys"],
             )
         give_back()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch binary, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch array<long>, keys array<long>")
 
 
 #: Estimates this near to the threshold (four standard errors) are settled on the texts.
 MARGIN = 0.08
 
 
+def _may_be_alike(a: str, b: str, similarity: float):
+    """Whether two sketches' estimate reaches ``similarity``, as a column expression: equal groups of four bits are
+    counted word by word."""
+    ones = int("1" * 16, 16)
+    chance = 2.0**-minhash.BITS
+
+    def unequal(x, y):
+        d = x.bitwiseXOR(y)
+        some = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
+        return F.bit_count(some.bitwiseAND(F.lit(ones)))
+
+    different = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
+    return different <= minhash.BINS * (1 - chance) * (1 - similarity)
+
+
 def _jaccard(a: str, b: str, size: int) -> float:
     x, y = ({xxhash.xxh3_128_digest(joined[s:e]) for s, e in bounds} for joined, bounds in (shingles(a, size), shingles(b, size)))
     return len(x & y) / len(x | y) if x or y else 1.0
@@ -146,7 +161,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
     their estimate is clear, else exactly, by the texts of those pairs alone."""
 
     def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
-        both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b)]
+        both = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(c), -1) for c in (a, b)]
         return pa.array(minhash.likeness(*both))
 
     estimate = F.arrow_udf(estimate, "double").asNondeterministic()  # once a row: no filter copies it
@@ -177,8 +192,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
     than an exact filter of 64 bits can afford (median 9), so further candidates come from MinHash bands.  In a band's
     bucket all are compared with its least member first; only those that this leaves in different groups meet each
-    other, and of them only the pairs whose fingerprints differ in at most ``radius`` bits leave the join.  So a large
-    group of copies costs its size, not its square.  Equal texts count once.
+    other, and of them only the pairs whose fingerprints differ in at most ``radius`` bits and whose sketches are near
+    enough leave the join.  Equal texts count once.
     """
     rows = cut(sketches(docs, size=size))
     nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
@@ -197,9 +212,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
 
     grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", "fp", F.coalesce("root", "h").alias("root"), F.col("p.h").alias("p"))
     mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p"))
-    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "fp", "root")]) for s in "ab")
-    on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb")) & _within("fpa", "fpb", radius)
+    open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p").join(nodes.select("h", "sketch", "keys"), "h"))
+    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "fp", "root", "sketch", "keys")]) for s in "ab")
+    on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb"))
+    on = on & _within("fpa", "fpb", radius) & _may_be_alike("sketcha", "sketchb", similarity - MARGIN)
+    # A pair that meets in several bands leaves the join in the first of them only.
+    on = on & (F.array_position(F.zip_with("keysa", "keysb", lambda x, y: x == y), True) == a["band"] + 1)
     more = _alike(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")), nodes, docs, similarity, size)
     roots = cut(components(found.union(more)).select(F.col("node").alias("h"), F.col("root")))
     return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
