@@ -166,23 +166,31 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
 
     estimate = F.arrow_udf(estimate, "double").asNondeterministic()  # once a row: no filter copies it
 
-    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_jaccard(x.as_py(), y.as_py(), size) for x, y in zip(a, b, strict=True)], pa.float64())
-
-    exact = F.arrow_udf(exact, "double").asNondeterministic()  # once a row: no filter copies it
-
     def other(rows: DataFrame, column: str, s: str) -> DataFrame:
         return rows.select(F.col("h").alias(s), F.col(column).alias(column + s))
 
     half = cut(broadcast_if_small(cut(pairs.distinct()), 24).join(other(nodes, "sketch", "a"), "a"))
     both = broadcast_if_small(half, 24 + minhash.BINS * minhash.BITS // 8).join(other(nodes, "sketch", "b"), "b")
-    judged = cut(both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN))
-    close = judged.where(F.col("s") < similarity + MARGIN).select("a", "b")
+    judged = both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN)
+    return _settled(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")), docs, similarity, size)
+
+
+def _settled(judged: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Of pairs (a, b, clear) those that are clear, and those whose texts have the similarity."""
+
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_jaccard(x.as_py(), y.as_py(), size) for x, y in zip(a, b, strict=True)], pa.float64())
+
+    exact = F.arrow_udf(exact, "double").asNondeterministic()  # once a row: no filter copies it
+
+    judged = cut(judged)
+    close = judged.where("not clear").select("a", "b")
     wanted = cut(close.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, 16), "h", "left_semi")
     texts = cut(texts.groupBy("h").agg(F.first("text").alias("text")))
-    settled = small_batches(close).join(other(texts, "text", "a"), "a").join(other(texts, "text", "b"), "b").where(exact("texta", "textb") >= similarity)
-    return judged.where(F.col("s") >= similarity + MARGIN).select("a", "b").union(settled.select("a", "b"))
+    x, y = (texts.select(F.col("h").alias(s), F.col("text").alias("text" + s)) for s in "ab")
+    settled = small_batches(close).join(x, "a").join(y, "b").where(exact("texta", "textb") >= similarity)
+    return judged.where("clear").select("a", "b").union(settled.select("a", "b"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
@@ -218,7 +226,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     on = on & _within("fpa", "fpb", radius) & _may_be_alike("sketcha", "sketchb", similarity - MARGIN)
     # A pair that meets in several bands leaves the join in the first of them only.
     on = on & (F.array_position(F.zip_with("keysa", "keysb", lambda x, y: x == y), True) == a["band"] + 1)
-    more = _alike(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")), nodes, docs, similarity, size)
+    clear = _may_be_alike("sketcha", "sketchb", similarity + MARGIN).alias("clear")
+    more = _settled(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b"), clear), docs, similarity, size)
     roots = cut(components(found.union(more)).select(F.col("node").alias("h"), F.col("root")))
     return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
