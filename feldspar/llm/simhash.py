@@ -193,15 +193,15 @@ def _settled(judged: DataFrame, docs: DataFrame, similarity: float, size: int) -
     return judged.where("clear").select("a", "b").union(settled.select("a", "b"))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, group) for each row of ``docs``: documents whose ``size``-word shingle sets have a Jaccard similarity of
     ``similarity`` or more share a group, and so do those linked through others.
 
     Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
     than an exact filter of 64 bits can afford (median 9), so further candidates come from MinHash bands.  In a band's
     bucket all are compared with its least member first; only those that this leaves in different groups meet each
-    other, and of them only the pairs whose fingerprints differ in at most ``radius`` bits and whose sketches are near
-    enough leave the join.  Equal texts count once.
+    other, and of them only the pairs whose sketches are near enough leave the join.  The fingerprints rule out no pair:
+    they count a shingle as often as it occurs, the similarity counts it once.  Equal texts count once.
     """
     rows = cut(sketches(docs, size=size))
     nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
@@ -211,19 +211,19 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     near = close.join(named.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(named.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
     linked = same.union(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
-    banded = nodes.select("h", "fp", F.posexplode("keys").alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min(F.struct("h", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(least, ["band", "key"]).select("band", "key", "h", "fp", "p", "n"))
-    star = met.where((F.col("h") != F.col("p.h")) & _within("fp", "p.fp", radius)).select(F.col("p.h").alias("a"), F.col("h").alias("b"))
+    banded = nodes.select("h", F.posexplode("keys").alias("band", "key"))
+    least = banded.groupBy("band", "key").agg(F.min("h").alias("p"), F.count("*").alias("n")).where("n > 1")
+    met = cut(banded.join(least, ["band", "key"]).select("band", "key", "h", "p", "n"))
+    star = met.where("h <> p").select(F.col("p").alias("a"), F.col("h").alias("b"))
     found = cut(_alike(linked.union(star), nodes, docs, similarity, size))
     roots = cut(components(found))
 
-    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", "fp", F.coalesce("root", "h").alias("root"), F.col("p.h").alias("p"))
+    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"), "p")
     mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
     open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p").join(nodes.select("h", "sketch", "keys"), "h"))
-    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "fp", "root", "sketch", "keys")]) for s in "ab")
+    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "root", "sketch", "keys")]) for s in "ab")
     on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb"))
-    on = on & _within("fpa", "fpb", radius) & _may_be_alike("sketcha", "sketchb", similarity - MARGIN)
+    on = on & _may_be_alike("sketcha", "sketchb", similarity - MARGIN)
     # A pair that meets in several bands leaves the join in the first of them only.
     on = on & (F.array_position(F.zip_with("keysa", "keysb", lambda x, y: x == y), True) == a["band"] + 1)
     clear = _may_be_alike("sketcha", "sketchb", similarity + MARGIN).alias("clear")
@@ -232,10 +232,6 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
 
-def _within(a: str, b: str, radius: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns kept, with one row of each group of ``near_copies``: that of the smallest doc_id
     (null ids last; of several texts under one doc_id the one with the least hash).  A text without words is like

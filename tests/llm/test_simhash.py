@@ -89,6 +89,18 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert simhash.one_of_each(documents(spark, [])).collect() == []
 
 
+def test_a_word_repeated_often_hides_no_copy(spark):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(10):
+        words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(200)]
+        texts += [" ".join(words), " ".join(words + ["again"] * 300)]
+    group = {r.doc_id: r.group for r in simhash.near_copies(documents(spark, texts)).collect()}
+    apart = [(simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)).bit_count() for i in range(0, 20, 2)]
+    assert max(apart) > 24 and all(jaccard(texts[i], texts[i + 1]) >= 0.95 for i in range(0, 20, 2))
+    assert all(group[i] == group[i + 1] for i in range(0, 20, 2)) and len(set(group.values())) == 10
+
+
 def test_one_of_each_of_awkward_rows(spark):
     docs = documents(spark, AWKWARD + AWKWARD, [*range(9), None, 1, 1, *range(30, 36)])
     kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
