@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Each token has a sparse ternary index vector drawn from its hash.  Its word vector is its own index vector plus those
-of its neighbours in the training texts, so tokens that are used alike have like vectors; a token that the training
-texts don't have keeps its index vector alone for its *shape*.  Tokens are words, and what surrounds and repeats them:
+of its neighbours in the training texts, so tokens that are used alike have like vectors; any other token, new or seen in
+one training text only, keeps its index vector alone.  Tokens are words, and what surrounds and repeats them:
 case, marks before and after a word, and whether it repeats the word before.  A document is the mean of its tokens'
 vectors.  The network (numpy, one hidden layer) is trained with Adam, and its temperature is set on rows kept aside.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, training_rows
 
-#: Labelled rows learnt from, at most; word vectors kept, at most; their size; index entries that aren't 0.
-TRAINING_ROWS, WORDS, SIZE, ENTRIES = 3_000, 30_000, 64, 4
+#: Labelled rows learnt from, at most; size of the word vectors; index entries that aren't 0.
+TRAINING_ROWS, SIZE, ENTRIES = 3_000, 64, 4
 _HIDDEN, _STEPS, _KEPT_ASIDE = 24, 400, 5
 _PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 #: Words' tokens kept per worker; a full store is emptied, so results don't depend on it.
@@ -41,10 +41,16 @@ def tokens(word: str) -> tuple[str, ...]:
 AGAIN = ("=again",)
 
 
+def index_entries(token: str) -> list[tuple[int, int]]:
+    """(place, 0 for +1 or 1 for -1) of each entry of the token's index vector."""
+    h = xxhash.xxh64_intdigest(token, 11)
+    return [((h >> (7 * i)) % SIZE, 1 - (h >> (40 + i) & 1)) for i in range(ENTRIES)]
+
+
 def index_vector(token: str) -> np.ndarray:
-    v, h = np.zeros(SIZE, np.float32), xxhash.xxh64_intdigest(token, 11)
-    for i in range(ENTRIES):
-        v[(h >> (7 * i)) % SIZE] += 1.0 if h >> (40 + i) & 1 else -1.0
+    v = np.zeros(SIZE, np.float32)
+    for place, minus in index_entries(token):
+        v[place] += 1 - 2 * minus
     return v
 
 
@@ -76,23 +82,35 @@ class Model:
 
 
 def pool(text: str | None, rows: dict[str, int], vectors: np.ndarray, known: dict) -> np.ndarray:
-    words, ids, get, before = (text or "").split(), [], known.get, None
-    again = tuple(rows[t] for t in AGAIN if t in rows)
+    words, ids, get, before, n = (text or "").split(), [], known.get, None, 0
+    learnt = len(vectors)
+
+    def places(found: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
+        """How many tokens, and their rows; those without a vector have the entries of their index vectors instead,
+        which follow the rows."""
+        ids = []
+        for t in found:
+            ids += [rows[t]] if t in rows else [learnt + 2 * place + minus for place, minus in index_entries(t)]
+        return len(found), tuple(ids)
+
+    again = places(AGAIN)
     for w in words:
         if w == before:
-            ids += again
+            n += again[0]
+            ids += again[1]
             continue
         before, i = w, get(w)
         if i is None:
             if len(known) >= _STORE:
                 known.clear()
-            i = known[w] = tuple(rows[t] for t in tokens(w) if t in rows)
-        ids += i
+            i = known[w] = places(tokens(w))
+        n += i[0]
+        ids += i[1]
     out = np.zeros(SIZE + 2)
     if ids:
-        counts = np.bincount(ids, minlength=0)
-        at = np.flatnonzero(counts)
-        out[:SIZE] = counts[at] @ vectors[at] / len(ids)
+        counts = np.bincount(ids, minlength=learnt + 2 * SIZE)
+        at, entries = np.flatnonzero(counts[:learnt]), counts[learnt:]
+        out[:SIZE] = (counts[at] @ vectors[at] + entries[0::2] - entries[1::2]) / n
     if words:
         out[SIZE] = sum(a == b for a, b in zip(words, words[1:])) / len(words)
         out[SIZE + 1] = np.log1p(len(words)) / 10
@@ -106,13 +124,13 @@ def forward(x: np.ndarray, weights: tuple[np.ndarray, ...]) -> tuple[np.ndarray,
 
 
 def word_vectors(texts: list[str], least: int = 2, window: int = 2) -> tuple[dict[str, int], np.ndarray]:
-    """The tokens found in at least ``least`` of the texts (the ``WORDS`` most frequent), and their vectors."""
+    """The tokens found in at least ``least`` of the texts, and their vectors."""
     split = [[t for a, w in zip(["", *words], words) for t in (AGAIN if a == w else tokens(w))] for words in map(str.split, texts)]
     seen: dict[str, int] = {}
     for s in split:
         for t in set(s):
             seen[t] = seen.get(t, 0) + 1
-    chosen = sorted((t for t, n in seen.items() if n >= least), key=lambda t: (-seen[t], t))[:WORDS]
+    chosen = sorted((t for t, n in seen.items() if n >= least), key=lambda t: (-seen[t], t))
     rows = {t: i for i, t in enumerate(chosen)}
     if not rows:
         return rows, np.zeros((0, SIZE), np.float32)

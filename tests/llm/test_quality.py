@@ -54,6 +54,17 @@ def test_vectors_follow_use():
     assert near > far
 
 
+def test_every_token_counts():
+    texts = ["red big house"] * 5 + ["sing loud now"]
+    index, v = quality.word_vectors(texts)
+    assert "loud" not in index
+    new = quality.pool("loud", index, v, {})[: quality.SIZE]
+    assert np.allclose(new, (quality.index_vector("loud") + v[index["=a"]]) / 2)
+    assert not np.array_equal(new, quality.pool("unseen", index, v, {})[: quality.SIZE])
+    common = [f"w{i}" for i in range(31_000)]
+    assert set(common) <= set(quality.word_vectors([" ".join(common)] * 2)[0])
+
+
 def test_stores_don_t_change_results(monkeypatch):
     texts = [t for _, t, _ in rows(40)]
     index, v = quality.word_vectors(texts)
