@@ -21,9 +21,9 @@ from .decontaminate import fold
 #: level's rare segments become wildcards; the z value from which siblings differ.
 WEIGHT, REJECT, MANY, APART = 4.0, 0.7, 40, 2.58
 
-# Words in a host name that mark it as bad for the seed labels.
+# Words in a host name, path or query that mark a url as bad for the seed labels.
 BAD_WORDS = "ads adult bet bets casino escort farm free gambling pills poker porn sex spam track tracker viagra win xxx"
-#: A host is labelled bad if it has this many of the words.
+#: A url is labelled bad if it has this many of the words.
 BAD_LEAST = 1
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with its own.
@@ -48,9 +48,10 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def seed_label(host: Column) -> Column:
-    """1 for a host that has a bad word among the words of its name, else 0; null for an empty host."""
-    words = F.split(host, "[^a-z0-9]+")
+def seed_label(host: Column, rest: Column | None = None) -> Column:
+    """1 for a host that has a bad word among the words of its name, or of ``rest`` (path and query), else 0; null for an
+    empty host."""
+    words = F.split(host if rest is None else F.concat_ws("/", host, fold(rest)), "[^a-z0-9]+")
     bad = F.size(F.array_intersect(words, F.array(*map(F.lit, BAD_WORDS.split()))))
     return F.when(host != "", (bad >= BAD_LEAST).cast("int"))
 
@@ -114,19 +115,21 @@ def judge_templates(counted: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for each row of ``pages`` (page_id, url).
 
-    ``labelled`` has url and bad (0 or 1; null: no label); without it the hosts' names give seed labels.  A null or
+    ``labelled`` has url and bad (0 or 1; null: no label); without it the words of host, path and query give seed labels.  A null or
     malformed url has an empty host and path: no rule fits and, having no label, it is allowed.  Equal urls get equal
     verdicts; other columns are ignored.
     """
     host, path = parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n")))
+    after = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    seeded = pages.select(host.alias("host"), path.alias("path"), after.alias("after")).withColumn("seed", seed_label(F.col("host"), F.col("after")))
+    distinct = cut(seeded.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("seed").alias("labelled"), F.coalesce(F.sum("seed"), F.lit(0)).alias("bad")))
     if labelled is None:
-        marked = distinct.withColumn("labelled", F.when(seed_label(F.col("host")).isNotNull(), F.col("n")).otherwise(0)).withColumn("bad", F.coalesce(seed_label(F.col("host")), F.lit(0)) * F.col("n"))
+        marked = distinct
     else:
         lh, lp = parse(F.col("url"))
         marks = labelled.where("bad is not null").select(lh.alias("host"), lp.alias("path"), "bad").groupBy("host", "path").agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
-        marked = distinct.join(marks, ["host", "path"], "left").fillna(0, ["labelled", "bad"])
+        marked = distinct.drop("labelled", "bad").join(marks, ["host", "path"], "left").fillna(0, ["labelled", "bad"])
     placed = templates(distinct)
     counted = cut(placed.join(marked, ["host", "path"]).groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
     judged = placed.join(judge_templates(counted), ["host", "template"]).select("host", "path", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity", "rejected")

@@ -58,6 +58,16 @@ def test_templates_learn_from_labels(spark):
     assert all(0 <= r.purity <= 1 for r in found)
 
 
+def test_seed_labels_tell_templates_of_a_host_apart(spark):
+    rows = [f"http://h.example.edu/{branch}/{i}" for i in range(100) for branch in ("Casino", "news", "blog")]
+    rows += [f"http://h.example.edu/go?q={w}&i={i}" for i in range(100) for w in ("viagra",)]
+    found = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.path.split("/")[1], set()).add(r.verdict)
+    assert by == {"Casino": {"block"}, "go": {"block"}, "news": {"allow"}, "blog": {"allow"}}
+
+
 def test_smoothing_follows_the_parent(spark):
     counted = spark.createDataFrame([("h", ["a"], 100, 100, 100), ("h", ["b"], 1, 0, 0), ("g", ["a"], 100, 100, 0)], "host string, template array<string>, n long, labelled long, bad long")
     rows = {(r.host, r.template[0]): r for r in urls.judge_templates(counted).collect()}
