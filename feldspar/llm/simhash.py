@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
@@ -71,16 +71,53 @@ def chain_keys(distinct: DataFrame) -> DataFrame:
     return rows.select("fp", "ring", F.explode(F.array(*packed)).alias("key"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in at most 3 bits."""
-    rows = chain_keys(distinct)
-    a = rows.select("key", F.col("ring").alias("ra"), F.col("fp").alias("a"))
-    b = rows.select("key", F.col("ring").alias("rb"), F.col("fp").alias("b"))
-    within = F.lit(True)
+def _within(a: str, b: str):
+    """Whether two rings keep the budgets of the longer chains, the last of which is the full Hamming check."""
+    keeps = F.lit(True)
     for length in (5, 6, 7, 8):
         mask = F.lit(-1 << (64 - 8 * length)) if length < 8 else F.lit(-1)
-        within = within & (F.bit_count(F.col("ra").bitwiseXOR(F.col("rb")).bitwiseAND(mask)) <= RADIUS * length // 8)
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & within).select("a", "b").distinct()
+        keeps = keeps & (F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(mask)) <= RADIUS * length // 8)
+    return keeps
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in at most 3 bits.  For reports on pairs;
+    groups come from ``similar_fingerprints``, which doesn't list them."""
+    rows = chain_keys(distinct)
+    a, b = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in "ab")
+    met = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("fpa") < F.col("fpb")) & _within("ringa", "ringb"))
+    return met.select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct()
+
+
+def _hubs(met: DataFrame, key: list[str], node: str) -> DataFrame:
+    """(key, p): of each bucket of ``met`` (key, node, n) the member that meets the most others in all its buckets."""
+    degree = met.groupBy(node).agg(F.sum("n").alias("degree"))
+    return met.join(degree, node).groupBy(*key).agg(F.max_by(node, F.struct("degree", node)).alias("p"))
+
+
+def similar_fingerprints(distinct: DataFrame) -> DataFrame:
+    """(node, root) for each of the ``distinct`` fingerprints (column fp) that another one is within 3 bits of, directly
+    or through others; root is the least fingerprint of the component.
+
+    In a key's bucket all are compared with one hub first; afterwards only those that are still in different components
+    meet each other, so that a dense ball of fingerprints doesn't give all its pairs.
+    """
+    rows = chain_keys(distinct)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(rows.join(shared, "key"))
+    hub = _hubs(met, ["key"], "fp").withColumnRenamed("key", "hub_key")
+    ring = met.select(F.col("key").alias("hub_key"), F.col("fp").alias("p"), F.col("ring").alias("hub_ring"))
+    hub = cut(hub.join(ring, ["hub_key", "p"]))
+    star = met.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("fp") != F.col("p")) & _within("ring", "hub_ring"))
+    found = cut(star.select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
+    roots = cut(components(found))
+    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("fp") == F.col("node"), "left").select("key", "ring", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = cut(grouped.join(mixed, "key", "left_semi"))
+    a, b = (left.select(*[F.col(c).alias(c + s) for c in left.columns]) for s in "ab")
+    on = (F.col("keya") == F.col("keyb")) & (F.col("fpa") < F.col("fpb")) & (F.col("roota") != F.col("rootb")) & _within("ringa", "ringb")
+    more = cut(a.join(b, on).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct())
+    return roots if more.isEmpty() else cut(components(found.union(more)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -88,20 +125,16 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of at most 3 differing bits, the row's own included.
     Rows with equal or no text link like any others (no words: fingerprint zero); rows that share a doc_id are rows
-    of their own; a null doc_id is never a component_id, and is null only if nothing reachable has a doc_id.  Only the
-    columns doc_id and text are read.
+    of their own; a null doc_id is never a component_id, and is null only if nothing reachable has a doc_id.  A text may be
+    of any length: its shingles are hashed in blocks.  Only the columns doc_id and text are read.
     """
     rows = cut(fingerprints(docs, size))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = cut(components(links(least.select("fp"))))
-    joined = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "least")
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(roots.join(groups, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked")))
-    return (
-        rows.join(least, "fp")
-        .join(broadcast_if_small(named, 32), "fp", "left")
-        .select("doc_id", "fp", F.coalesce("linked", "least").alias("component_id"))
-    )
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = similar_fingerprints(least.select("fp"))
+    named = least.join(broadcast_if_small(roots, 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(groups, "root").select(F.col("fp").alias("own"), "component_id"))
+    return rows.join(broadcast_if_small(named, 32), F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -109,11 +142,16 @@ def hex_fingerprint(column: str = "fp"):
 
 
 def text_hash():
-    """Tells texts apart; null counts as empty."""
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    """Tells texts apart, by 128 bits; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h")
+
 
+#: MinHash bands and bins of each: two texts with a similarity of 0.8 share no band with probability
+#: (1 - 0.8^6)^40 = 5e-6, if bins agreed independently.
+BANDS, ROWS = 40, 6
 
-def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) -> DataFrame:
+
+def sketches(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, h, fp, sketch, keys) for each row of ``docs``: the text's hash, its SimHash over ``size`` words, its packed
     one-permutation MinHash, and ``bands`` keys of ``rows`` bins each."""
 
@@ -129,36 +167,48 @@ def sketches(docs: DataFrame, bands: int = 24, rows: int = 6, size: int = 5) ->
             )
         give_back()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, h long, fp long, sketch array<long>, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, h binary, fp long, sketch array<long>, keys array<long>")
 
 
 #: Estimates this near to the threshold (four standard errors) are settled on the texts.
 MARGIN = 0.08
 
 
-def _may_be_alike(a: str, b: str, similarity: float):
-    """Whether two sketches' estimate reaches ``similarity``, as a column expression: equal groups of four bits are
-    counted word by word."""
-    ones = int("1" * 16, 16)
-    chance = 2.0**-minhash.BITS
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(h, s) for each text of ``docs`` whose hash is in ``wanted`` (column h): the set of its shingles' 64-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                joined, bounds = shingles(text.as_py(), size)
+                digest = xxhash.xxh3_64_digest
+                found = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in bounds]), np.int64)
+                sets.append(np.unique(found))
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            values = np.concatenate([np.empty(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["h", "s"])
+        give_back()
 
-    def unequal(x, y):
-        d = x.bitwiseXOR(y)
-        some = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
-        return F.bit_count(some.bitwiseAND(F.lit(ones)))
+    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, 48), "h", "left_semi")
+    return small_batches(texts).mapInArrow(run, "h binary, s array<long>").groupBy("h").agg(F.first("s").alias("s"))
 
-    different = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
-    return different <= minhash.BINS * (1 - chance) * (1 - similarity)
 
+def _at_least(similarity: float, common, a, b):
+    """Whether ``common`` shingles of sets of ``a`` and ``b`` shingles are enough for the similarity."""
+    return common * (1 + similarity) >= (a + b) * similarity - 1e-9
 
-def _jaccard(a: str, b: str, size: int) -> float:
-    x, y = ({xxhash.xxh3_128_digest(joined[s:e]) for s, e in bounds} for joined, bounds in (shingles(a, size), shingles(b, size)))
-    return len(x & y) / len(x | y) if x or y else 1.0
+
+def _settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have the Jaccard similarity."""
+    x, y = (sets.select(F.col("h").alias(s), F.col("s").alias("s" + s)) for s in "ab")
+    enough = _at_least(similarity, F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """The ``pairs`` (a, b) of text hashes with a Jaccard similarity of at least ``similarity``: by the sketches where
-    their estimate is clear, else exactly, by the texts of those pairs alone."""
+    their estimate is clear, else exactly, by the shingles of those texts alone."""
 
     def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
         both = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(c), -1) for c in (a, b)]
@@ -166,70 +216,73 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
 
     estimate = F.arrow_udf(estimate, "double").asNondeterministic()  # once a row: no filter copies it
 
-    def other(rows: DataFrame, column: str, s: str) -> DataFrame:
-        return rows.select(F.col("h").alias(s), F.col(column).alias(column + s))
+    def other(column: str, s: str) -> DataFrame:
+        return nodes.select(F.col("h").alias(s), F.col(column).alias(column + s))
 
-    half = cut(broadcast_if_small(cut(pairs.distinct()), 24).join(other(nodes, "sketch", "a"), "a"))
-    both = broadcast_if_small(half, 24 + minhash.BINS * minhash.BITS // 8).join(other(nodes, "sketch", "b"), "b")
+    half = cut(broadcast_if_small(cut(pairs.distinct()), 64).join(other("sketch", "a"), "a"))
+    both = broadcast_if_small(half, 64 + minhash.BINS * minhash.BITS // 8).join(other("sketch", "b"), "b")
     judged = both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN)
-    return _settled(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")), docs, similarity, size)
-
-
-def _settled(judged: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Of pairs (a, b, clear) those that are clear, and those whose texts have the similarity."""
+    judged = cut(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")))
+    close = judged.where("not clear").select("a", "b")
+    wanted = cut(close.select(F.col("a").alias("h")).union(close.select("b")).distinct())
+    sets = cut(shingle_sets(docs, wanted, size))
+    return judged.where("clear").select("a", "b").union(_settled(close, sets, similarity))
 
-    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_jaccard(x.as_py(), y.as_py(), size) for x, y in zip(a, b, strict=True)], pa.float64())
 
-    exact = F.arrow_udf(exact, "double").asNondeterministic()  # once a row: no filter copies it
+def similar_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ``sets`` (h, s) with a Jaccard similarity of at least ``similarity`` and different roots in
+    ``roots`` (h, root).
 
-    judged = cut(judged)
-    close = judged.where("not clear").select("a", "b")
-    wanted = cut(close.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, 16), "h", "left_semi")
-    texts = cut(texts.groupBy("h").agg(F.first("text").alias("text")))
-    x, y = (texts.select(F.col("h").alias(s), F.col("text").alias("text" + s)) for s in "ab")
-    settled = small_batches(close).join(x, "a").join(y, "b").where(exact("texta", "textb") >= similarity)
-    return judged.where("clear").select("a", "b").union(settled.select("a", "b"))
+    An exact prefix-filtered join: shingles are ordered by rarity among the sets; two sets that are alike share one
+    among the first few of each, and what follows that one in both must still hold enough of them.  So members of
+    a group of near copies whose differences outnumber the threshold, as rare shingles, meet nobody.
+    """
+    rows = sets.join(roots, "h").select("h", "root", F.size("s").alias("n"), F.explode("s").alias("s"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("s", "_s")
+    rows = rows.join(shared, F.col("s") == F.col("_s"))
+    # A shingle of one set only comes before all others, so the places from the end are those among the shared ones.
+    rest = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("df"), F.desc("s")))
+    rows = rows.withColumn("rest", rest).where(F.col("rest") >= F.ceil(F.col("n") * similarity - 1e-9)).select("s", "h", "root", "n", "rest")
+    rows = cut(rows)
+    a, b = (rows.select(*[F.col(c).alias(c + x) for c in rows.columns]) for x in "ab")
+    on = (F.col("sa") == F.col("sb")) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb"))
+    on = on & _at_least(similarity, F.least("resta", "restb"), F.col("na"), F.col("nb"))
+    pairs = cut(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct())
+    return _settled(pairs, sets, similarity)
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, group) for each row of ``docs``: documents whose ``size``-word shingle sets have a Jaccard similarity of
     ``similarity`` or more share a group, and so do those linked through others.
 
-    Fingerprints within 3 bits are found by pigeonring filtering.  At a similarity of 0.8 most pairs differ in more bits
-    than an exact filter of 64 bits can afford (median 9), so further candidates come from MinHash bands.  In a band's
-    bucket all are compared with its least member first; only those that this leaves in different groups meet each
-    other, and of them only the pairs whose sketches are near enough leave the join.  The fingerprints rule out no pair:
-    they count a shingle as often as it occurs, the similarity counts it once.  Equal texts count once.
+    Texts meet in buckets: those whose fingerprints are within 3 bits, directly or through others (pigeonring
+    filtering), and, as at a similarity of 0.8 most pairs differ in more bits than an exact filter of 64 bits can
+    afford, those that share a MinHash band.  In a bucket all are compared with its hub, the member that meets
+    the most others; of the buckets that this leaves in several groups, all texts go through an exact join on their
+    rarest shingles (``similar_pairs``).  So each pair of one bucket is found, but the work doesn't grow with the square of
+    the bucket.  Equal texts count once; null texts are empty, and texts without words are alike.
     """
-    rows = cut(sketches(docs, size=size))
+    rows = cut(sketches(docs, size))
     nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    close = links(nodes.select("fp").distinct())
-    named = nodes.groupBy("fp").agg(F.min("h").alias("h"))
-    same = nodes.select("fp", F.col("h").alias("b")).join(named.select("fp", F.col("h").alias("a")), "fp").where("a <> b").select("a", "b")
-    near = close.join(named.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(named.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
-    linked = same.union(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
-
-    banded = nodes.select("h", F.posexplode("keys").alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min("h").alias("p"), F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(least, ["band", "key"]).select("band", "key", "h", "p", "n"))
-    star = met.where("h <> p").select(F.col("p").alias("a"), F.col("h").alias("b"))
-    found = cut(_alike(linked.union(star), nodes, docs, similarity, size))
+    rings = similar_fingerprints(nodes.select("fp").distinct())
+    ringed = nodes.select("h", "fp").join(broadcast_if_small(rings, 32), F.col("fp") == F.col("node"), "left").select("h", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
+    banded = nodes.select("h", F.posexplode("keys").alias("band", "key")).union(ringed)
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(banded.join(shared, ["band", "key"]))
+    hub = cut(_hubs(met, ["band", "key"], "h"))
+    star = met.join(hub, ["band", "key"]).where("h <> p").select(F.col("p").alias("a"), F.col("h").alias("b"))
+    found = cut(_alike(star, nodes, docs, similarity, size))
     roots = cut(components(found))
 
-    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"), "p")
+    grouped = met.where("n > 2").join(broadcast_if_small(roots, 64), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"))
     mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    open_rows = cut(grouped.join(mixed, ["band", "key"], "left_semi").where("h <> p").join(nodes.select("h", "sketch", "keys"), "h"))
-    a, b = (open_rows.select("band", "key", *[F.col(c).alias(c + s) for c in ("h", "root", "sketch", "keys")]) for s in "ab")
-    on = (a["band"] == b["band"]) & (a["key"] == b["key"]) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb"))
-    on = on & _may_be_alike("sketcha", "sketchb", similarity - MARGIN)
-    # A pair that meets in several bands leaves the join in the first of them only.
-    on = on & (F.array_position(F.zip_with("keysa", "keysb", lambda x, y: x == y), True) == a["band"] + 1)
-    clear = _may_be_alike("sketcha", "sketchb", similarity + MARGIN).alias("clear")
-    more = _settled(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b"), clear), docs, similarity, size)
-    roots = cut(components(found.union(more)).select(F.col("node").alias("h"), F.col("root")))
-    return rows.select("doc_id", "h").join(broadcast_if_small(roots, 32), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
+    undecided = cut(grouped.join(mixed, ["band", "key"], "left_semi").select("h", "root").distinct())
+    if not undecided.isEmpty():
+        more = cut(similar_pairs(cut(shingle_sets(docs, undecided.select("h"), size)), undecided, similarity))
+        if not more.isEmpty():
+            roots = cut(components(found.union(more)))
+    named = roots.select(F.col("node").alias("_h"), "root")
+    return rows.select("doc_id", "h").join(broadcast_if_small(named, 64), F.col("h") == F.col("_h"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -242,7 +295,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     kept = cut(counted.groupBy("group").agg(best, F.max("n").alias("n")).select(F.col("b.doc_id").alias("_id"), F.col("b.h").alias("_h"), "n"))
 
     def among(keys: DataFrame) -> DataFrame:
-        keys = broadcast_if_small(keys.select("_id", "_h"), 32)
+        keys = broadcast_if_small(keys.select("_id", "_h"), 64)
         return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h")), "left_semi")
 
     repeated = kept.where("n > 1")

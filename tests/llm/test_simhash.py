@@ -34,6 +34,22 @@ def test_components_match_brute_force(spark):
     signed = sorted(int(np.uint64(x).view(np.int64)) for x in set(fps))
     expected = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert found == expected
+    label = {x: x for x in signed}
+    for _ in signed:
+        for a, b in expected:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {x for pair in expected for x in pair}
+    assert {tuple(r) for r in simhash.similar_fingerprints(df).collect()} == {(x, label[x]) for x in linked}
+
+
+def test_a_dense_ball_of_fingerprints_is_one_component(spark):
+    rnd = random.Random(5)
+    center = rnd.getrandbits(64)
+    ball = {center ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(1500)}
+    far = {rnd.getrandbits(64) for _ in range(50)}
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    rows = simhash.similar_fingerprints(spark.createDataFrame([(signed(x),) for x in ball | far], "fp long")).collect()
+    assert {r.node for r in rows} == set(map(signed, ball)) and {r.root for r in rows} == {min(map(signed, ball))}
 
 
 def test_fingerprint_by_definition():
@@ -101,6 +117,51 @@ def test_a_word_repeated_often_hides_no_copy(spark):
     assert all(group[i] == group[i + 1] for i in range(0, 20, 2)) and len(set(group.values())) == 10
 
 
+def brute_groups(texts):
+    """The least index linked by similarities of 0.8 or more, by comparing all pairs."""
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+
+
+def test_a_large_group_of_near_copies_equals_brute_force(spark):
+    """One text and copies of it with 0 to 40 words changed: many pairs lie close to the threshold on either side."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    words = rnd.choices(vocabulary, k=140)
+    texts = []
+    for _ in range(350):
+        copy = list(words)
+        for i in rnd.sample(range(len(copy)), rnd.randint(0, 9)):
+            copy[i] = rnd.choice(vocabulary)
+        texts.append(" ".join(copy))
+    texts += [" ".join(rnd.choices(vocabulary, k=100) + words[:60]) for _ in range(50)]  # a passage that many share
+    texts += ["short text of six words here", "Short text of six words here", "short text of six words there"]
+    group = {r.doc_id: r.group for r in simhash.near_copies(documents(spark, texts)).collect()}
+    expected = brute_groups(texts)
+    assert len(set(expected)) > 60
+    assert {frozenset(i for i in group if group[i] == g) for g in group.values()} == {frozenset(i for i in group if expected[i] == e) for e in expected}
+
+
+def test_the_prefix_join_finds_every_pair(spark):
+    rnd = random.Random(9)
+    sets = []
+    for _ in range(60):
+        base = rnd.sample(range(400), rnd.randint(1, 60))
+        sets += [base, *([*base[rnd.randint(0, len(base) // 5) :], *rnd.sample(range(400, 2000), rnd.randint(0, len(base) // 5))] for _ in range(3))]
+    sets = [sorted(set(s)) for s in sets]
+    df = spark.createDataFrame([(bytes([i]), s) for i, s in enumerate(sets)], "h binary, s array<long>")
+    roots = spark.createDataFrame([(bytes([i]), bytes([i if i % 7 else 0])) for i in range(len(sets))], "h binary, root binary")
+    found = {(r.a[0], r.b[0]) for r in simhash.similar_pairs(df, roots, 0.8).collect()}
+    expected = {(i, j) for j in range(len(sets)) for i in range(j) if (i % 7 or j % 7) and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert found == expected and len(found) > 50
+
+
 def test_one_of_each_of_awkward_rows(spark):
     docs = documents(spark, AWKWARD + AWKWARD, [*range(9), None, 1, 1, *range(30, 36)])
     kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
