@@ -1,3 +1,10 @@
+import random
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from feldspar.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";x(0);</script></head>
@@ -41,3 +48,112 @@ def test_rows(spark):
     rows = h.extract(pages).collect()
     assert sorted(len(r.text) for r in rows) == [0, len("\n\n".join(EXPECTED)), len("\n\n".join(EXPECTED))]
     assert h.extract(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="main with-sidebar"><p>Kept.</p></div>',
+        '<article class="overflow-hidden"><p>Kept.</p></article>',
+        '<article><div class="body has-comments"><p>Kept.</p></div></article>',
+        '<article><p data-id="ad-12">Kept.</p></article>',
+        '<article><p title="see id=ad">Kept.</p></article>',
+        "<article><p data-x='class=\"ad\"'>Kept.</p></article>",
+        '<article><div class="article-header"><p>Kept.</p></div></article>',
+        "<article><math>Kept.</math></article>",
+    ],
+)
+def test_names_say_only_what_they_are(page):
+    assert h.main_text(page) == "Kept."
+
+
+@pytest.mark.parametrize("name", ["ad", "ads-box", "site-footer", "comment-list", "cookieNotice", "sidebar-left", "page-header x", "ad-12", "social-share", "related-posts"])
+def test_asides_go(name):
+    assert h.main_text(f"<body><div class='{name}'><p>Some words that stand aside from all the rest of the page.</p></div><article><p>Kept.</p></article></body>") == "Kept."
+
+
+def test_neighbours_decide_where_nothing_else_does():
+    long = "A paragraph of plain text that goes on for quite a number of words so that it is content. " * 3
+    short = "A short line."
+    assert short in h.main_text(f"<body><div>{long}</div><div>{short}</div><div>{long}</div></body>")
+    assert h.main_text(f"<body><div>x y</div><div>{short}</div><div>z</div></body>") == ""
+    links = "<a href=1>One link</a> <a href=2>another link</a>"
+    assert short not in h.main_text(f"<body><div>{links}</div><div>{short}</div><div>{links}</div><div>{long}</div></body>")
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, bool):
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(h.tree())
+    assert used >= {0, 1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<b ", "<div>x", "<", '<a x="', "</b>", "<b></i>", "<article>", "<p><span>", "<li><div>", "<script>", "<!--", "<a href='x\">", "<ul><li>x", "&amp;", "<div class='ad x' ", "<a b=", "</script", "<title>"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    for page in (piece * (1_000_000 // len(piece)), "<article>" + piece * (1_000_000 // len(piece)), "<script>" + piece * (1_000_000 // len(piece))):
+        began = time.time()
+        h.main_text(page)
+        assert time.time() - began < 5
+
+
+class Plain(HTMLParser):
+    """The blocks of a well-formed page, read the plain way."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.out, self.text = [], [], ""
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        if text := re.sub(r"\s+", " ", self.text).strip():
+            self.out.append((text, any("article" in s for s in self.stack), any("aside" in s for s in self.stack)))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in h.BLOCK:
+            self.flush()
+        says = {"article"} if tag == "article" else {"aside"} if tag in h.ASIDE or dict(attrs).get("class") == "ad" else set()
+        self.stack.append({tag, *says})
+
+    def handle_endtag(self, tag):
+        if tag in h.BLOCK:
+            self.flush()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_blocks_equal_those_of_a_plain_reader():
+    rnd = random.Random(3)
+
+    def words():
+        return " ".join(rnd.choice(["word", "a&amp;b", "&lt;p&gt;", "x\n  y", "é", "1 &gt; 0"]) for _ in range(rnd.randint(1, 12)))
+
+    def page(depth):
+        out = words() if rnd.random() < 0.5 else ""
+        for _ in range(rnd.randint(0, 3) if depth else 0):
+            tag = rnd.choice(["div", "section", "nav", "article", "div class='ad'", "div title='a > b'", "b", "em", "ul", "aside", "h2" if depth == 1 else "div"])
+            out += f"<{tag}>{page(depth - 1)}</{tag.split()[0]}>" + (words() if rnd.random() < 0.4 else "")
+        return out
+
+    for _ in range(300):
+        text = page(4)
+        found = [(b.text, b.article, b.aside) for b in h.blocks(f"<div>{text}</div>")]
+        assert found == Plain(f"<div>{text}</div>").out
+
+
+def test_every_page_of_the_tables_is_its_article():
+    """The invented pages have one article each, and what they put into it is known from their markup."""
+    import pyarrow.parquet as pq
+
+    for row in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        page = row["html"] or ""
+        found = re.search(r"(?s)<article>(.*?)(</article>|<footer>|$)", page)
+        inner = re.sub(r"(?s)<!--.*?-->|<script.*?</script>", "", found[1]) if found else ""
+        plain = [re.sub(r"\s+", " ", __import__("html").unescape(re.sub(r"<br>", " ", x))).strip() for x in re.split(r"</?(?:p|h1|div|ul|li)[^>]*>", re.sub(r"</?[ab](?: [^>]*)?>", "", inner))]
+        assert h.main_text(page) == "\n\n".join(p for p in plain if p)
