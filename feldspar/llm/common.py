@@ -1,19 +1,16 @@
-"""Shared helpers: reading tables, cutting lineage, checked broadcasts, connected components."""
+"""Shared helpers: reading tables, folds, connected components."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import os
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its rows, counted first, fit in this many bytes.
-BROADCAST_BYTES = 64 << 20
-
+from feldspar.plans.lineage import BROADCAST_BYTES, broadcast_if_small, cut, ensure_checkpoint_dir  # noqa: F401
 
 #: Bytes of an Arrow batch of texts, unless the session sets a bound of its own below Spark's default.
 BATCH_BYTES = 4 << 20
@@ -39,26 +36,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in ``spark.checkpoint.dir``; sets one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a materialised ``df`` for broadcast if its counted rows fit in ``limit`` bytes; otherwise leaves the
-    join to shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows of the evaluation fold, from which no label is learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -1,4 +1,7 @@
+import random
 import re
+import time
+from collections import defaultdict
 
 from feldspar.llm import urls
 
@@ -72,3 +75,107 @@ def test_smoothing_follows_the_parent(spark):
     counted = spark.createDataFrame([("h", ["a"], 100, 100, 100), ("h", ["b"], 1, 0, 0), ("g", ["a"], 100, 100, 0)], "host string, template array<string>, n long, labelled long, bad long")
     rows = {(r.host, r.template[0]): r for r in urls.judge_templates(counted).collect()}
     assert rows["h", "a"].rejected and rows["h", "b"].rejected and not rows["g", "a"].rejected
+
+
+def variable(segment):
+    s = re.sub(r"^[0-9][0-9_.-]*(?=$|\.[a-z]+$)", "*", segment)
+    return re.sub(r"^(?=[a-f-]*[0-9])[0-9a-f-]{8,}(?=$|\.[a-z]+$)", "*", s)
+
+
+def plain_tree(rows):
+    """(host, path) -> (template, purity), from {(host, path): (n, labelled, bad)}, by walking each host's tree."""
+    split = {}
+    for host, path in rows:
+        parts = [p for p in path.split("/") if p]
+        split[host, path] = parts if len(parts) <= urls.LEVELS else [*parts[: urls.LEVELS - 1], "/".join(parts[urls.LEVELS - 1 :])]
+    template = {k: () for k in rows}
+    for level in range(urls.LEVELS):
+        here = {k: variable(s[level]) for k, s in split.items() if len(s) > level}
+        siblings = defaultdict(lambda: defaultdict(int))
+        for k, s in here.items():
+            if not s.startswith("*"):
+                siblings[k[0], template[k]][s] += rows[k][0]
+        for k, s in here.items():
+            beside = siblings[k[0], template[k]]
+            if s in beside and len(beside) > urls.MANY and beside[s] * urls.MANY < sum(beside.values()):
+                here[k] = "*"
+        template.update({k: (*template[k], s) for k, s in here.items()})
+    prior = (sum(r[2] for r in rows.values()) + 1) / (sum(r[1] for r in rows.values()) + 2)
+    out = {}
+
+    def walk(keys, level, merged, purity):
+        groups = defaultdict(list)
+        for k in keys:
+            if len(template[k]) == level:
+                out[k] = ("/" + "/".join(merged), purity)
+            else:
+                groups[template[k][level]].append(k)
+        branches = defaultdict(list)
+        for name, own in groups.items():
+            l, b = sum(rows[k][1] for k in own), sum(rows[k][2] for k in own)
+            apart = l > 0 and abs(b / l - purity) > urls.APART * (purity * (1 - purity) / l) ** 0.5
+            branches[name if apart else "*"] += own
+        for name, own in branches.items():
+            l, b = sum(rows[k][1] for k in own), sum(rows[k][2] for k in own)
+            walk(own, level + 1, (*merged, name), (b + urls.WEIGHT * purity) / (l + urls.WEIGHT))
+
+    for host in {h for h, _ in rows}:
+        own = [k for k in rows if k[0] == host]
+        l, b = sum(rows[k][1] for k in own), sum(rows[k][2] for k in own)
+        walk(own, 0, (), (b + urls.WEIGHT * prior) / (l + urls.WEIGHT))
+    return out
+
+
+def test_verdicts_equal_those_of_a_plain_tree(spark):
+    rnd = random.Random(7)
+    pages, marks, rows = [], [], {}
+    for i in range(1500):
+        host, branch = f"h{rnd.randrange(4)}.example.edu", rnd.choice(["shop", "news", "blog", "go"])
+        path = f"/{branch}/{rnd.choice(['a', 'b', str(rnd.randrange(99)), f's{rnd.randrange(200)}x'])}" + rnd.choice(["", "/", "/x/y", "/x/" + "/".join("pqrstuvwxyz"[: rnd.randrange(11)])])
+        pages.append((i, f"http://{host}{path}"))
+        n, l, b = rows.get((host, path), (0, 0, 0))
+        marked = rnd.random() < 0.5
+        bad = int(rnd.random() < {"shop": 0.95, "news": 0.02, "blog": 0.1, "go": 0.6}[branch])
+        if marked:
+            marks.append((pages[-1][1], bad))
+        rows[host, path] = (n + 1, l + marked, b + marked * bad)
+    expected = plain_tree(rows)
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "url string, bad int"), ()).collect()
+    assert len(found) == 1500
+    for r in found:
+        template, purity = expected[r.host, r.path]
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+        assert (r.verdict == "block") == (purity >= urls.REJECT)
+    verdicts = defaultdict(set)
+    for r in found:
+        verdicts[r.host].add(r.verdict)
+    assert all(v == {"allow", "block"} for v in verdicts.values())  # by path within every host
+
+
+def test_the_tree_overrules_a_page_s_own_label(spark):
+    rows = [f"http://h.example.edu/{branch}/{i}" for i in range(60) for branch in ("viagra", "news")]
+    rows += ["http://h.example.edu/news/win", "http://h.example.edu/news/free"] + [f"http://h.example.edu/go/{i}?q=" + ("casino" if i % 10 else "tea") for i in range(60)]
+    found = {r.path: r.verdict for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert found["/news/win"] == found["/news/free"] == "allow"  # a bad word in a clean branch
+    assert found["/go/0"] == found["/go/10"] == "block"  # none in a bad branch
+
+
+def test_labels_from_the_page_itself(spark):
+    junk = "<html><p>" + "word%%% thing### another*** " * 30 + "</p></html>"
+    text = "<html><p>Plain text, with marks as usual. </p>" + "<b></b>" * 99 + "&amp;" * 200 + "</html>"
+    rows = [(i, f"http://h.example.edu/{'junk' if i % 2 else 'text'}/{i}", junk if i % 2 else text) for i in range(200)] + [(900, "http://h.example.edu/text/x", None)]
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == ("block" if i % 2 else "allow") for i in range(200)) and found[900] == "allow"
+
+
+def test_deep_and_long_urls(spark):
+    deep, long = "http://d.example.edu/" + "/".join(f"s{i}" for i in range(1000)), "http://l.example.edu/" + "x" * 100_000 + "?" + "y" * 100_000
+    found = {}
+    for name, rows in (("short", [f"http://h.example.edu/{'/'.join('abcdefgh')}"] * 3), ("deep", [f"http://h.example.edu/{'/'.join('abcdefgh')}", deep, deep + "/x", long])):
+        began = time.time()
+        found[name] = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+        found[name]["s"] = time.time() - began
+    assert found["deep"]["s"] < 3 * found["short"]["s"] + 10
+    r = found["deep"]
+    assert r[1].path == deep[len("http://d.example.edu") :] and r[3].path == "/" + "x" * 100_000
+    assert {r[i].verdict for i in range(4)} == {"allow"}
