@@ -15,9 +15,15 @@ Consecutive windows with one representative, the seed, form a run.  The rounds,
 3. of the runs that are left, the bytes are fetched, and Spark ranks (seed, 50 bytes) window by window, on the real
    bytes, and removes the windows that have a smaller document.
 
-Rounds 1 and 2 share one exchange (the pairs of a seed lie in the seed's partition), and round 3 has one of the runs
-that are left, not of their windows.  Runs that repeat within one Arrow batch are resolved there, so a passage that
-stands in a third of all documents sends one row a batch, not one a document.
+Rounds 1 and 2 share one exchange (the pairs of a seed lie in the seed's partition); a seed of very many rows is read
+on without holding them, and its runs go to round 3 unless a smaller document has them whole.  Round 3 ranks the
+windows of the distinct runs that are left, each of which stands for all places it occurs at.  Runs that repeat within
+one Arrow batch are resolved there, so a passage that stands in a third of all documents sends one row a batch,
+not one a document.
+
+``double`` is the plain form, for any position: Spark sorts (rank, rank at the offset) pairs at offsets 1, 2, 4, ...,
+reranks them, and drops positions whose rank only one document has.  It finds the same bytes; what it moves at each
+offset is a multiple of the text (README), so it serves small inputs and the tests.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feldspar.operators.spatial import numbered
+
 from .common import BROADCAST_BYTES, broadcast_if_small, cut, give_back, small_batches
 
 LENGTH, SEED = 50, 16
@@ -41,6 +49,8 @@ _COUNT, _CODE = 7, 12
 _COUNT_MAX, _CODE_MAX = (1 << _COUNT) - 1, (1 << _CODE) - 1
 _HIGH = 16
 
+#: Rows of one seed held in memory; what goes beyond is read on.
+HELD = 1 << 20
 #: Round 3 has this many times the session's shuffle partitions, as each run becomes some twenty windows after the exchange.
 WINDOW_PARTS = 4
 
@@ -250,15 +260,32 @@ def _rank(rows: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     return tuple(x[keep] for x in (seed, doc, tag, _start(at), _until(at, length), out))
 
 
+def _read_on(rows: list[np.ndarray], state: tuple[int, int, int] | None, length: int):
+    """What ``_rank`` gives, for some of a seed's rows, sorted by run and document, without a look at the others: runs
+    that a smaller document has are out, all others are kept; and the state to go on with."""
+    seed, run, doc, tag, at = rows
+    seed, run = seed >> _HIGH, run >> _HIGH
+    first = _firsts(run)
+    least = doc[first]
+    if state and state[1] == run[0]:
+        least[0] = state[2]
+    out = doc > _each(least, first, len(doc))
+    return (seed, doc, tag, _start(at), _until(at, length), out), (int(seed[-1]), int(run[-1]), int(least[-1]))
+
+
 def _ranked(rows: DataFrame, length: int) -> DataFrame:
-    """Rounds 1 and 2 over rows sorted by seed and run within partitions."""
+    """Rounds 1 and 2 over rows sorted by seed, run and document within partitions."""
     names = ["seed", "doc_id", "tag", "start", "until", "out"]
 
     def emit(columns):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
+    def join(parts):
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
     def rank(batches):
         carried: list[list[np.ndarray]] = []
+        giant = None  # (seed, run, its least document) where rows of one seed are read on
         for batch in batches:
             done = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -268,14 +295,31 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
             columns = [c[~done] for c in columns]
             if not len(columns[0]):
                 continue
+            if giant:
+                upto = np.searchsorted(columns[0] >> _HIGH, giant[0], "right")
+                if upto:
+                    kept, giant = _read_on([c[:upto] for c in columns], giant, length)
+                    yield emit(kept)
+                columns = [c[upto:] for c in columns]
+                if not len(columns[0]):
+                    continue
+                giant = None
             carried.append(columns)
             last = np.searchsorted(columns[0] >> _HIGH, columns[0][-1] >> _HIGH)
             if last:  # the last seed may go on in the next batch
-                whole = [np.concatenate(c) for c in zip(*carried[:-1], [c[:last] for c in columns], strict=True)]
+                whole = join([*carried[:-1], [c[:last] for c in columns]])
                 carried = [[c[last:] for c in columns]]
                 yield emit(_rank(whole, length))
+            if sum(len(c[0]) for c in carried) > HELD:
+                whole = join(carried)
+                mixed = np.searchsorted(whole[0] >> _HIGH, whole[0][-1] >> _HIGH)
+                if mixed:
+                    yield emit(_rank([c[:mixed] for c in whole], length))
+                kept, giant = _read_on([c[mixed:] for c in whole], None, length)
+                yield emit(kept)
+                carried = []
         if carried:
-            yield emit(_rank([np.concatenate(c) for c in zip(*carried, strict=True)], length))
+            yield emit(_rank(join(carried), length))
         give_back()
 
     return rows.mapInArrow(rank, "seed long, doc_id long, tag long, start long, until long, out boolean")
@@ -298,7 +342,7 @@ def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, spans array<struct<start,until>>): the byte ranges to be removed, merged."""
     sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
-    sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions("seed", "run")
+    sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions(F.shiftright("seed", _HIGH), F.shiftright("run", _HIGH), "doc_id")
     # One row a document: the spans removed so far, and the runs that go on to round 3 with their seeds.
     by_doc = cut(
         _ranked(sorted_rows, length)
@@ -315,13 +359,18 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("doc_id", "tag", "body", "seeds", F.posexplode("places").alias("i", "at"))
         .select("doc_id", "tag", F.col("seeds")[F.col("i")].alias("seed"), F.shiftright("at", _COUNT).alias("start"), (F.col("at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
         .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
-        .repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
     )
+    fetched = cut(fetched)
+    # A run that is the same in many documents is looked at once.
+    runs = fetched.groupBy("seed", "bytes").agg(F.min("doc_id").alias("doc_id")).repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
     places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
-    windows = fetched.select("seed", "doc_id", "tag", "start", F.expr(places).alias("i", "window"))
+    windows = runs.select("seed", "bytes", "doc_id", F.expr(places).alias("i", "window"))
     ranked = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window")))
-    late = ranked.where("doc_id > first").select("doc_id", "tag", (F.col("start") + F.col("i")).alias("start"))
-    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("until"))).alias("spans"))
+    limits = cut(ranked.groupBy("seed", "bytes").agg(F.collect_list(F.struct("i", "first")).alias("limits")).withColumnsRenamed({"seed": "_seed", "bytes": "_bytes"}))
+    met = fetched.join(limits, (F.col("seed") == F.col("_seed")) & (F.col("bytes") == F.col("_bytes")))
+    beyond = F.filter("limits", lambda x: x["first"] < F.col("doc_id"))
+    spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + length).alias("until")))
+    late = met.select("doc_id", "tag", spans.alias("spans")).where(F.size("spans") > 0)
     early = by_doc.where(F.size("spans") > 0).select("doc_id", "tag", "spans")
 
     def merged(batches):
@@ -334,6 +383,30 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     return both.mapInArrow(merged, "doc_id long, tag long, spans array<struct<start: long, until: long>>")
 
 
+def double(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, start): the places of ``length``-byte strings that also start in a smaller document, by plain prefix doubling.
+
+    Each position has the rank of its string of the size reached so far.  In a round, Spark sorts the distinct pairs
+    (rank, rank at the offset) and numbers them anew; a position goes on only while at least two documents have its
+    rank, and a pair only if both of its positions did, as a string that holds a unique one is unique itself.  Texts
+    of one doc_id count as one document's; null ids and null texts have no strings.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("body")).distinct()
+    rows = rows.withColumn("text_id", F.xxhash64("body"))
+    bytes_of = F.transform(F.sequence(F.lit(1), F.length("body")), lambda i: F.ascii(F.substring(F.hex("body"), 2 * i - 1, 1)) * 256 + F.ascii(F.substring(F.hex("body"), 2 * i, 1)))
+    rows = rows.where(F.length("body") >= length).select("doc_id", "text_id", F.posexplode(bytes_of).alias("at", "rank"))
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        later = F.max("rank").over(Window.partitionBy("doc_id", "text_id").orderBy("at").rangeBetween(step, step))
+        paired = cut(rows.select("doc_id", "text_id", "at", "rank", later.alias("later")).where("later is not null"))
+        shared = paired.groupBy("rank", "later").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        ranked = numbered(shared, "rank", "later").select(F.col("rank").alias("_rank"), F.col("later").alias("_later"), F.col("place"), "first")
+        rows = paired.join(ranked, (F.col("rank") == F.col("_rank")) & (F.col("later") == F.col("_later"))).select("doc_id", "text_id", "at", F.col("place").alias("rank"), "first")
+        size += step
+    return rows.where("doc_id > first").select("doc_id", F.col("at").alias("start")).distinct()
+
+
 def _by_size(df: DataFrame, array: str, item_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if it fits, counting ``item_bytes`` for each item of its array."""
     total = df.agg(F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes + F.count("*") * 48).first()[0]
@@ -356,7 +429,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row (doc_id, body binary, removed array<struct<start,until>>, kept binary) for each row of ``docs``.
 
     A null text is empty.  Rows with a null doc_id have no order: nothing is removed from them or because of them.
-    Rows that share a doc_id don't remove from each other.  Only the columns doc_id and text are read.
+    Rows that share a doc_id don't remove from each other.  Texts of any length are read in blocks.  Only the columns
+    doc_id and text are read.
     """
     tagged = _tagged(docs).select("doc_id", "tag", "body")
     spans = cut(removed_spans(tagged, length))

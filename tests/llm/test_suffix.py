@@ -47,6 +47,39 @@ def test_random_texts(spark, seed):
     assert any(r.removed for r in rows)
 
 
+@pytest.mark.parametrize("held", [1, 7])
+def test_seeds_of_more_rows_than_are_held(spark, monkeypatch, held):
+    """Runs of one seed in many documents, read on in small Arrow batches."""
+    monkeypatch.setattr(suffix, "HELD", held)
+    monkeypatch.setattr(suffix, "PART", 200)
+    rnd = random.Random(4)
+    passage = "".join(rnd.choices("abcdefgh ", k=80))
+    texts = ["".join(rnd.choices("abcd", k=rnd.randint(0, 60))) + passage[rnd.randint(0, 20) :] + "".join(rnd.choices("abcd", k=rnd.randint(0, 60))) for _ in range(80)]
+    texts += ["ab" * rnd.randint(20, 200) for _ in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        check(spark, texts, rnd.sample(range(1000), 100))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_plain_doubling_equals_brute_force(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abé", k=rnd.randint(1, 5))) for _ in range(20)]
+    passages = [" ".join(rnd.choices(words, k=rnd.randint(3, 9))) for _ in range(8)]
+    texts = [" ".join(rnd.choice(passages) for _ in range(rnd.randint(1, 6))) for _ in range(30)] + [None, "", "ab" * 40, "ba" * 30]
+    ids = rnd.sample(range(100), len(texts))
+    for length in (13, 16, 50):
+        first = {}
+        for d, x in zip(ids, texts, strict=True):
+            b = (x or "").encode()
+            for s in range(len(b) - length + 1):
+                first[b[s : s + length]] = min(d, first.get(b[s : s + length], d))
+        expected = {(d, s) for d, x in zip(ids, texts, strict=True) for b in [(x or "").encode()] for s in range(len(b) - length + 1) if first[b[s : s + length]] < d}
+        assert {tuple(r) for r in suffix.double(documents(spark, texts, ids), length).collect()} == expected and expected
+    assert suffix.double(documents(spark, []), 16).collect() == []
+
+
 def test_periods_edits_and_borders(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", 64)
     monkeypatch.setattr(suffix, "PART", 300)
