@@ -58,6 +58,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files and checkpoints of DataFrames that are gone, which it does when the driver
+    collects its garbage; many small steps would leave them until then."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+#: Rows that a task of an iterative step has at least: steps on few rows run in few tasks and leave few files.
+ROWS = 50_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, cut, in as many partitions as its counted rows need."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, root) for each node of an edge, root
     being the smallest node reachable.
@@ -65,17 +82,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until the edges no longer change.  Minima are pre-aggregated
     before the shuffle and joined back, so that Spark can split a hub's rows; each round is checkpointed.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = sized(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
+        e = sized(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
             break

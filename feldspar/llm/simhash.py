@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import broadcast_if_small, components, cut, give_back, small_batches
+from .common import broadcast_if_small, components, cut, give_back, release, sized, small_batches
 from .words import shingles
 
 RADIUS = 3
@@ -104,20 +104,20 @@ def similar_fingerprints(distinct: DataFrame) -> DataFrame:
     """
     rows = chain_keys(distinct)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(rows.join(shared, "key"))
+    met = sized(rows.join(shared, "key"))
     hub = _hubs(met, ["key"], "fp").withColumnRenamed("key", "hub_key")
     ring = met.select(F.col("key").alias("hub_key"), F.col("fp").alias("p"), F.col("ring").alias("hub_ring"))
-    hub = cut(hub.join(ring, ["hub_key", "p"]))
+    hub = sized(hub.join(ring, ["hub_key", "p"]))
     star = met.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("fp") != F.col("p")) & _within("ring", "hub_ring"))
-    found = cut(star.select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
-    roots = cut(components(found))
+    found = sized(star.select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
+    roots = sized(components(found))
     grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("fp") == F.col("node"), "left").select("key", "ring", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = cut(grouped.join(mixed, "key", "left_semi"))
+    left = sized(grouped.join(mixed, "key", "left_semi"))
     a, b = (left.select(*[F.col(c).alias(c + s) for c in left.columns]) for s in "ab")
     on = (F.col("keya") == F.col("keyb")) & (F.col("fpa") < F.col("fpb")) & (F.col("roota") != F.col("rootb")) & _within("ringa", "ringb")
-    more = cut(a.join(b, on).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct())
-    return roots if more.isEmpty() else cut(components(found.union(more)))
+    more = sized(a.join(b, on).select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct())
+    return roots if more.isEmpty() else sized(components(found.union(more)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -219,12 +219,12 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
     def other(column: str, s: str) -> DataFrame:
         return nodes.select(F.col("h").alias(s), F.col(column).alias(column + s))
 
-    half = cut(broadcast_if_small(cut(pairs.distinct()), 64).join(other("sketch", "a"), "a"))
+    half = sized(broadcast_if_small(sized(pairs.distinct()), 64).join(other("sketch", "a"), "a"))
     both = broadcast_if_small(half, 64 + minhash.BINS * minhash.BITS // 8).join(other("sketch", "b"), "b")
     judged = both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN)
-    judged = cut(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")))
+    judged = sized(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")))
     close = judged.where("not clear").select("a", "b")
-    wanted = cut(close.select(F.col("a").alias("h")).union(close.select("b")).distinct())
+    wanted = sized(close.select(F.col("a").alias("h")).union(close.select("b")).distinct())
     sets = cut(shingle_sets(docs, wanted, size))
     return judged.where("clear").select("a", "b").union(_settled(close, sets, similarity))
 
@@ -247,7 +247,7 @@ def similar_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataF
     a, b = (rows.select(*[F.col(c).alias(c + x) for c in rows.columns]) for x in "ab")
     on = (F.col("sa") == F.col("sb")) & (F.col("ha") < F.col("hb")) & (F.col("roota") != F.col("rootb"))
     on = on & _at_least(similarity, F.least("resta", "restb"), F.col("na"), F.col("nb"))
-    pairs = cut(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct())
+    pairs = sized(a.join(b, on).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct())
     return _settled(pairs, sets, similarity)
 
 
@@ -268,19 +268,22 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     ringed = nodes.select("h", "fp").join(broadcast_if_small(rings, 32), F.col("fp") == F.col("node"), "left").select("h", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
     banded = nodes.select("h", F.posexplode("keys").alias("band", "key")).union(ringed)
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(shared, ["band", "key"]))
-    hub = cut(_hubs(met, ["band", "key"], "h"))
+    met = sized(banded.join(shared, ["band", "key"]))
+    release(docs)
+    hub = sized(_hubs(met, ["band", "key"], "h"))
     star = met.join(hub, ["band", "key"]).where("h <> p").select(F.col("p").alias("a"), F.col("h").alias("b"))
-    found = cut(_alike(star, nodes, docs, similarity, size))
-    roots = cut(components(found))
+    found = sized(_alike(star, nodes, docs, similarity, size))
+    release(docs)
+    roots = sized(components(found))
 
     grouped = met.where("n > 2").join(broadcast_if_small(roots, 64), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"))
     mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    undecided = cut(grouped.join(mixed, ["band", "key"], "left_semi").select("h", "root").distinct())
+    undecided = sized(grouped.join(mixed, ["band", "key"], "left_semi").select("h", "root").distinct())
     if not undecided.isEmpty():
-        more = cut(similar_pairs(cut(shingle_sets(docs, undecided.select("h"), size)), undecided, similarity))
+        more = sized(similar_pairs(cut(shingle_sets(docs, undecided.select("h"), size)), undecided, similarity))
         if not more.isEmpty():
-            roots = cut(components(found.union(more)))
+            release(docs)
+            roots = sized(components(found.union(more)))
     named = roots.select(F.col("node").alias("_h"), "root")
     return rows.select("doc_id", "h").join(broadcast_if_small(named, 64), F.col("h") == F.col("_h"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
