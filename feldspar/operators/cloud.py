@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feldspar.plans.lineage import cut
-
-#: Points that a cell of the first grid holds on average.
-PER_CELL = 2.0
+from . import blocks
+from .bvh import Bvh
+from .spatial import HIGH, LOW
 
 
 def _distance2():
@@ -23,70 +23,46 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _index(table: pa.Table):
+    at = blocks.coordinates(table)
+    return table.column("pid").combine_chunks(), at, Bvh(at, at, "morton")
+
+
 def nearest(queries: DataFrame, cloud: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, pid, d2): the at most ``k`` points nearest to each query (qid, x, y, z), ascending, ties by pid.
 
-    The cloud is put on a grid; a query meets the points of its cell and the 26 around it by an equi-join.  It is
-    resolved if its k-th distance is within the margin to the searched block's border (a border beyond the whole cloud
-    doesn't count).  The rest goes on with cells of twice the size; in the last grid, a few cells, all are resolved.
-    With ``exclude_self`` a query never finds the point of its own id.  Queries or points with a null coordinate find
-    nothing and aren't found.
+    The cloud is searched in blocks (``blocks.search``): a block has as many points as any other, wherever they lie, so
+    neither far-off points nor dense spots make one task do more.  With ``exclude_self`` a query never finds the point
+    of its own id.  Queries or points with a null coordinate find nothing and aren't found.
     """
-    known = " and ".join(f"{a} is not null and not isnan({a})" for a in "xyz")
-    points = cloud.where(known).select("pid", "x", "y", "z")
-    span = points.agg(F.count("*").alias("n"), *[F.min(a).alias(f"lo{a}") for a in "xyz"], *[F.max(a).alias(f"hi{a}") for a in "xyz"]).first()
-    schema = f"qid {dict(queries.dtypes)['qid']}, rank int, pid {dict(cloud.dtypes)['pid']}, d2 double"
-    if not span["n"]:
-        return queries.sparkSession.createDataFrame([], schema)
-    low, high = {a: span[f"lo{a}"] for a in "xyz"}, {a: span[f"hi{a}"] for a in "xyz"}
-    extents = [high[a] - low[a] for a in "xyz" if high[a] > low[a]]
-    volume = 1.0
-    for e in extents:
-        volume *= e
-    size = (volume * PER_CELL * max(k, 1) / span["n"]) ** (1 / len(extents)) if extents else 1.0
-    widest = max(extents, default=1.0)
-    # A grid finer than 2^20 cells along an axis would only serve a cloud of a few far-off points.
-    size = max(size, widest / (1 << 20), 1e-300)
-    asked = queries.where(known).select("qid", *[F.col(a).alias(f"q{a}") for a in "xyz"])
-    found = None
-    while True:
-        cells = [F.floor((F.col(a) - low[a]) / size).alias(f"c{a}") for a in "xyz"]
-        top = {a: math.floor((high[a] - low[a]) / size) for a in "xyz"}
-        # A query far outside starts in the nearest cell of the cloud's border.
-        own = {a: F.greatest(F.least(F.floor((F.col(f"q{a}") - low[a]) / size), F.lit(top[a])), F.lit(0)) for a in "xyz"}
-        probes = asked
-        for a in "xyz":
-            probes = probes.withColumn(f"o{a}", own[a])
-        around = probes
-        for a in "xyz":
-            around = around.withColumn(f"c{a}", F.explode(F.sequence(F.greatest(F.col(f"o{a}") - 1, F.lit(0)), F.least(F.col(f"o{a}") + 1, F.lit(top[a])))))
-        placed = points.select("pid", "x", "y", "z", *cells)
-        pairs = around.join(placed, ["cx", "cy", "cz"])
-        if exclude_self:
-            pairs = pairs.where("pid <> qid")
-        best = _ranked(pairs.select("qid", "pid", _distance2().alias("d2"), "ox", "oy", "oz", "qx", "qy", "qz"), k)
-        # The distance to the nearest border of the block that has points beyond it.
-        sides = []
-        for a in "xyz":
-            below = F.when(F.col(f"o{a}") > 1, F.col(f"q{a}") - (low[a] + (F.col(f"o{a}") - 1) * size))
-            above = F.when(F.col(f"o{a}") + 1 < top[a], low[a] + (F.col(f"o{a}") + 2) * size - F.col(f"q{a}"))
-            sides += [F.coalesce(below, F.lit(float("inf"))), F.coalesce(above, F.lit(float("inf")))]
-        margin = F.least(*sides)
-        last = all(t <= 1 for t in top.values())
-        best = best.withColumn("margin", margin)
-        if last:
-            out = best.select("qid", F.col("rank").cast("int").alias("rank"), "pid", "d2")
-            return out if found is None else found.union(out)
-        best = cut(best.select("qid", "rank", "pid", "d2", "margin"))
-        # One cell's rounding is left out of the margin.
-        sure = F.greatest(F.col("margin") - 1e-9 * size, F.lit(0.0))
-        resolved = best.where((F.col("rank") == k) & (F.col("d2") <= sure * sure)).select("qid")
-        done = best.join(resolved, "qid", "left_semi").select("qid", F.col("rank").cast("int").alias("rank"), "pid", "d2")
-        found = done if found is None else found.union(done)
-        asked = cut(asked.join(resolved, "qid", "left_anti"))
-        if asked.isEmpty():
-            return found
-        size *= 2
+    points = blocks.known(cloud).select("pid", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    asked = blocks.known(queries).select("qid", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    boxed = points.select("*", *[F.col(a).alias(c) for a, c in zip("xyzxyz", (*LOW, *HIGH), strict=True)])
+
+    def look(index, qids, at):
+        pids, cloud_at, tree = index
+        own = np.full(len(at), -1)
+        if exclude_self:  # the place of a query's own point
+            place = pa.compute.index_in(qids.cast(pids.type), pids)
+            own = place.fill_null(-1).to_numpy(zero_copy_only=False)
+        best, who = np.full((len(at), k), np.inf), np.full((len(at), k), len(pids))
+
+        def leaf(rows, prims):
+            d = at[rows][:, None, :] - cloud_at[prims]
+            d = d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1] + d[:, :, 2] * d[:, :, 2]
+            w = np.broadcast_to(prims, d.shape)
+            d = np.concatenate([best[rows], np.where(w == own[rows][:, None], np.inf, d)], axis=1)
+            w = np.concatenate([who[rows], np.where(w == own[rows][:, None], len(pids), w)], axis=1)
+            order = np.lexsort((w, d), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+
+        tree.visit(at, lambda rows: best[rows, -1], leaf)
+        row, rank = np.nonzero(who < len(pids))
+        return [qids.take(pa.array(row)), pa.array((rank + 1).astype(np.int32)), pids.take(pa.array(who[row, rank])), pa.array(best[row, rank])]
+
+    schema = f"qid {dict(asked.dtypes)['qid']}, rank int, pid {dict(points.dtypes)['pid']}, d2 double"
+    found, whole = blocks.search(asked, boxed, ("pid",), _index, look, schema, k + exclude_self)
+    return found if whole else _ranked(found.drop("rank"), k).select("qid", F.col("rank").cast("int").alias("rank"), "pid", "d2")
 
 
 def closest_point(queries: DataFrame, cloud: DataFrame) -> DataFrame:

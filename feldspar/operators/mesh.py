@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from feldspar.functions import algebra as m
 from feldspar.plans.lineage import cut
 
+from . import blocks
 from .bvh import Bvh
-from .spatial import numbered
+from .spatial import HIGH, LOW, numbered
 
-#: Triangles sent to the executors at once; larger meshes are split in blocks.
-BLOCK = 200_000
+#: Facets of a block; larger meshes are searched in several.
+BLOCK = 50_000
 
 
 def corners(vertices: DataFrame, facets: DataFrame) -> DataFrame:
@@ -149,10 +150,22 @@ def sanity(vertices: DataFrame, facets: DataFrame) -> DataFrame:
     return out.withColumn("watertight", (F.col("border_edges") == 0) & (F.col("faces") > 0))
 
 
+def triangulate(facets: DataFrame) -> DataFrame:
+    """``facets`` with each convex polygon cut into the fan of its first corner; ids are numbered anew, as the facet's id
+    times the largest number of triangles plus the triangle's place.  Facets below three corners go."""
+    kept = facets.where(F.size("vids") >= 3)
+    most = (kept.agg(F.max(F.size("vids"))).first()[0] or 3) - 2
+    fans = F.transform(F.sequence(F.lit(2), F.size("vids") - 1), lambda i: F.array(F.col("vids")[0], F.element_at("vids", i), F.element_at("vids", i + 1)))
+    cut_up = kept.select("mesh_id", "fid", "meta", F.posexplode(fans).alias("place", "vids"))
+    return cut_up.select("mesh_id", (F.col("fid") * most + F.col("place")).cast("int").alias("fid"), "vids", "meta")
+
+
 def triangles(vertices: DataFrame, facets: DataFrame, weight: str = "angle") -> DataFrame:
     """mesh_id, tid, meta and, as columns, face normal nx.., corners a.. b.. c.., vertex normals va.. vb.. vc.. and edge normals
-    ea.. (a to b), eb.., ec...  Facets of more corners are left out."""
-    three = facets.where(F.size("vids") == 3)
+    ea.. (a to b), eb.., ec...  Facets below three corners have no area and are left out; one of more corners is an
+    error, to be cut up by ``triangulate`` or kept for ``polygon_distance``."""
+    message = F.lit("a facet has more than three corners: use triangulate or polygon_distance")
+    three = facets.where(F.size("vids") >= 3).withColumn("vids", F.when(F.size("vids") == 3, F.col("vids")).otherwise(F.raise_error(message)))
     face_rows = faces(vertices, three)
     vn = vertex_normals(vertices, three, face_rows, weight)
     en = edge_normals(half_edges(three), face_rows)
@@ -221,8 +234,8 @@ def triangle_columns(prefix: str = "") -> dict[str, tuple]:
 
 
 def scan_distance(points: DataFrame, tris: DataFrame) -> DataFrame:
-    """(qid, d, tid, meta) by comparing every point with every triangle of a small mesh: the plain form."""
-    pairs = points.select("qid", "x", "y", "z").crossJoin(F.broadcast(tris.select("tid", "meta", *TRIANGLE)))
+    """(qid, d, tid, meta) by comparing every point with every triangle: the plain form, for small meshes and for tests."""
+    pairs = points.select("qid", "x", "y", "z").crossJoin(tris.select("tid", "meta", *TRIANGLE))
     over, plane, squares, signs = triangle_parts(triangle_columns(), tuple(F.col(c) for c in "xyz"))
     # One column for each part, so that the generated methods stay small.
     parts = pairs.select("qid", "tid", "meta", over.alias("over"), plane.alias("plane"), *[q.alias(f"q{i}") for i, q in enumerate(squares)], *[s.alias(f"s{i}") for i, s in enumerate(signs)])
@@ -246,85 +259,133 @@ def edge_distance(p, a, b, edge_normal, normal_a, normal_b):
     return m.where(u <= 0.0, vertex_distance(p, a, normal_a), m.where(u >= 1.0, vertex_distance(p, b, normal_b), across))
 
 
-def polygon_scan_distance(points: DataFrame, vertices: DataFrame, facets: DataFrame, signed: bool = True) -> DataFrame:
-    """(qid, d, fid) of a small mesh of polygons, by comparing every point with every edge: over a face the plane's
-    distance, else that of its nearest edge; the face of the least magnitude wins (ties: the least fid).  Without
-    ``signed`` d is the squared distance."""
+_EDGE = [s + c for s in ("a", "b", "an", "bn", "e") for c in "xyz"]
+
+
+def polygons(vertices: DataFrame, facets: DataFrame) -> DataFrame:
+    """mesh_id, fid, meta, nx, ny, nz, lox..hiz and edges, in order, with their ends (a.., b..), the ends' normals (an.., bn..)
+    and their own (e..), for each facet of three corners or more."""
     face_rows = faces(vertices, facets)
     en = edge_normals(half_edges(facets), face_rows)
     vn = vertex_normals(vertices, facets.where(F.size("vids") >= 3), face_rows, "angle")
-    own = lambda key, pre: vn.select("mesh_id", F.col("vid").alias(key), *[F.col(c).alias(pre + c) for c in "xyz"], *[F.col("n" + c).alias(pre + "n" + c) for c in "xyz"])
+
+    def end(key: str, pre: str) -> DataFrame:
+        return vn.select("mesh_id", F.col("vid").alias(key), *[F.col(c).alias(pre + c) for c in "xyz"], *[F.col("n" + c).alias(pre + "n" + c) for c in "xyz"])
+
     rows = en.select("mesh_id", "fid", "place", "src", "dst", *[F.col("n" + c).alias("e" + c) for c in "xyz"])
-    rows = rows.join(own("src", "a"), ["mesh_id", "src"]).join(own("dst", "b"), ["mesh_id", "dst"]).join(face_rows.select("mesh_id", "fid", "nx", "ny", "nz"), ["mesh_id", "fid"])
-    pairs = points.select("qid", "x", "y", "z").crossJoin(F.broadcast(rows))
-    t = lambda pre: tuple(F.col(pre + c) for c in "xyz")
-    p, n = t(""), t("n")
-    size = [F.abs(c) for c in n]
-    drop = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2)
-
-    def flat(q):
-        return F.when(drop == 0, q[1]).otherwise(q[0]), F.when(drop == 2, q[1]).otherwise(q[2])
-
-    plane = m.dot(n, tuple(q - a for q, a in zip(p, t("a"), strict=True)))
-    foot = tuple(q - plane * c for q, c in zip(p, n, strict=True))
-    pairs = pairs.select("qid", "fid", "place", edge_distance(p, t("a"), t("b"), t("e"), t("an"), t("bn")).alias("edge"), plane.alias("plane"), *[c.alias(k) for c, k in zip((*flat(foot), *flat(t("a")), *flat(t("b"))), ("u", "v", "au", "av", "bu", "bv"), strict=True)])
-    left = (F.col("bu") - F.col("au")) * (F.col("v") - F.col("av")) - (F.col("u") - F.col("au")) * (F.col("bv") - F.col("av"))
-    up, down = (F.col("av") <= F.col("v")) & (F.col("bv") > F.col("v")), (F.col("av") > F.col("v")) & (F.col("bv") <= F.col("v"))
-    hits = F.count_if((up & (left > 0)) | (down & (left < 0)))
-    of_face = pairs.groupBy("qid", "fid").agg((hits % 2 == 1).alias("over"), F.min_by("plane", "place").alias("plane"), F.min_by("edge", F.struct(F.abs("edge"), "place")).alias("edge"))
-    d = F.when(F.col("over"), F.col("plane")).otherwise(F.col("edge"))
-    best = of_face.select("qid", "fid", d.alias("d")).groupBy("qid").agg(F.min_by(F.struct("d", "fid"), F.struct(F.abs("d"), "fid")).alias("b"))
-    return best.select("qid", (F.col("b.d") if signed else F.col("b.d") * F.col("b.d")).alias("d"), "b.fid")
-
-
-def distance(points: DataFrame, tris: DataFrame, k: int = 1, build: str = "sah") -> DataFrame:
-    """(qid, rank, d, tid, meta): the signed distances of the ``k`` nearest triangles, ties by tid.
-
-    The mesh goes to the executors in blocks, each as a hierarchy; points with a null coordinate find nothing.
+    rows = rows.join(end("src", "a"), ["mesh_id", "src"]).join(end("dst", "b"), ["mesh_id", "dst"])
+    boxes = [F.min("a" + c).alias(n) for c, n in zip("xyz", LOW, strict=True)] + [F.max("a" + c).alias(n) for c, n in zip("xyz", HIGH, strict=True)]
+    grouped = rows.groupBy("mesh_id", "fid").agg(F.array_sort(F.collect_list(F.struct("place", *_EDGE))).alias("edges"), *boxes)
+    own = face_rows.select("mesh_id", "fid", "nx", "ny", "nz")
+    return grouped.join(own, ["mesh_id", "fid"]).join(facets.select("mesh_id", "fid", "meta"), ["mesh_id", "fid"]).select("mesh_id", "fid", "meta", "nx", "ny", "nz", *LOW, *HIGH, "edges")
+
+
+class _Polygons:
+    """The polygons of a block: edges of all facets one after another, and where each facet's begin."""
+
+    def __init__(self, table: pa.Table, build: str):
+        self.normal = blocks.coordinates(table, ("nx", "ny", "nz"))
+        edges = table.column("edges").combine_chunks()
+        flat = edges.flatten() if len(edges) else None
+        self.begin = np.concatenate(([0], np.cumsum([len(e) for e in edges]))).astype(int)
+        self.edge = {s: np.stack([flat.field(s + c).to_numpy() for c in "xyz"], axis=1) if flat is not None else np.empty((0, 3)) for s in ("a", "b", "an", "bn", "e")}
+        self.tree = Bvh(blocks.coordinates(table, LOW), blocks.coordinates(table, HIGH), build if len(table) else "centroid")
+
+    def distances(self, at: np.ndarray, prims: np.ndarray) -> np.ndarray:
+        """(points, facets): over a face the plane's distance, else that of the nearest edge (ties: the first)."""
+        out = np.empty((len(at), len(prims)))
+        p = tuple(at[:, None, i] for i in range(3))
+        for j, f in enumerate(prims.tolist()):
+            own = slice(self.begin[f], self.begin[f + 1])
+            e = {s: tuple(v[own][None, :, i] for i in range(3)) for s, v in self.edge.items()}
+            edge = edge_distance(p, e["a"], e["b"], e["e"], e["an"], e["bn"])
+            n = self.normal[f]
+            plane = (at - self.edge["a"][own][0]) @ n
+            drop = int(np.argmax(np.abs(n)))
+            u, v = [i for i in range(3) if i != drop]
+            foot = at - plane[:, None] * n
+            fu, fv = foot[:, u, None], foot[:, v, None]
+            left = (e["b"][u] - e["a"][u]) * (fv - e["a"][v]) - (fu - e["a"][u]) * (e["b"][v] - e["a"][v])
+            up, down = (e["a"][v] <= fv) & (e["b"][v] > fv), (e["a"][v] > fv) & (e["b"][v] <= fv)
+            over = ((up & (left > 0)) | (down & (left < 0))).sum(1) % 2 == 1
+            nearest = np.abs(edge).argmin(1)
+            out[:, j] = np.where(over, plane, edge[np.arange(len(at)), nearest])
+        return out
+
+
+class _Triangles:
+    def __init__(self, table: pa.Table, build: str):
+        self.parts = {s: blocks.coordinates(table, [s + c for c in "xyz"]) for s in ("n", "a", "b", "c", "va", "vb", "vc", "ea", "eb", "ec")}
+        self.tree = Bvh(blocks.coordinates(table, LOW), blocks.coordinates(table, HIGH), build if len(table) else "centroid")
+
+    def distances(self, at: np.ndarray, prims: np.ndarray) -> np.ndarray:
+        t = {s: tuple(v[prims][None, :, i] for i in range(3)) for s, v in self.parts.items()}
+        return triangle_distance(t, tuple(at[:, None, i] for i in range(3)))
+
+
+def _nearest(points: DataFrame, rows: DataFrame, name: str, kind, k: int, build: str, pruned: bool) -> DataFrame:
+    """(qid, rank, d, mesh_id, ``name``, meta) of the ``k`` facets of least magnitude, ties by mesh and id.  An empty mesh is
+    infinitely far: one row without a facet."""
+    key = ("mesh_id", name)
+
+    def index(table: pa.Table):
+        return table.select([*key, "meta"]).combine_chunks(), kind(table, build)
+
+    def look(index, qids, at):
+        ids, own = index
+        none = len(ids)
+        best, who = np.full((len(at), k), np.inf), np.full((len(at), k), none)
+
+        def leaf(rows, prims):
+            d = np.concatenate([best[rows], own.distances(at[rows], prims)], axis=1)
+            w = np.concatenate([who[rows], np.broadcast_to(prims, (len(rows), len(prims)))], axis=1)
+            order = np.lexsort((w, np.abs(d)), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+
+        if pruned:
+            own.tree.visit(at, lambda rows: best[rows, -1] ** 2 * (1 + 1e-12), leaf)
+        else:
+            for a in range(0, none, 64):
+                leaf(np.arange(len(at)), np.arange(a, min(a + 64, none)))
+        if not none:
+            return [qids, pa.array(np.ones(len(at), np.int32)), pa.array(best[:, 0]), *(pa.nulls(len(at), t) for t in (pa.string(), pa.int64(), pa.int64()))]
+        row, rank = np.nonzero(who < none)
+        found = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in ids.take(pa.array(who[row, rank])).columns]
+        return [qids.take(pa.array(row)), pa.array((rank + 1).astype(np.int32)), pa.array(best[row, rank]), *(c.cast(t) for c, t in zip(found, (pa.string(), pa.int64(), pa.int64()), strict=True))]
+
+    asked = blocks.known(points).select("qid", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    schema = f"qid {dict(asked.dtypes)['qid']}, rank int, d double, mesh_id string, {name} long, meta long"
+    found, whole = blocks.search(asked, rows, key, index, look, schema, k, block=BLOCK, pruned=pruned)
+    if whole:
+        return found
+    w = Window.partitionBy("qid").orderBy(F.abs("d"), *key)
+    return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
+def polygon_distance(points: DataFrame, polys: DataFrame, k: int = 1, build: str = "sah", pruned: bool = True) -> DataFrame:
+    """(qid, rank, d, mesh_id, fid, meta): the signed distances to the ``k`` nearest facets of ``polygons``, ties by mesh and
+    facet: over a face the plane's distance, else that of its nearest edge.  Facets should be flat.  Points with a null
+    coordinate find nothing; an empty mesh is infinitely far.  Without ``pruned`` every facet is looked at."""
+    return _nearest(points, polys, "fid", _Polygons, k, build, pruned)
+
+
+def polygon_scan_distance(points: DataFrame, vertices: DataFrame, facets: DataFrame, signed: bool = True) -> DataFrame:
+    """(qid, d, fid) of a mesh of polygons, by looking at every facet; the face of the least magnitude wins (ties: the least
+    fid).  Without ``signed`` d is the squared distance."""
+    found = polygon_distance(points, polygons(vertices, facets), pruned=False)
+    return found.select("qid", (F.col("d") if signed else F.col("d") * F.col("d")).alias("d"), "fid")
+
+
+def distance(points: DataFrame, tris: DataFrame, k: int = 1, build: str = "sah", pruned: bool = True) -> DataFrame:
+    """(qid, rank, d, mesh_id, tid, meta): the signed distances to the ``k`` nearest triangles of ``triangles``, ties by mesh
+    and tid.
+
+    The mesh is searched in blocks, each a hierarchy.  Points with a null coordinate find nothing; an empty mesh is
+    infinitely far.  Without ``pruned`` every triangle is looked at.
     """
-    rows = tris.select("tid", "meta", *TRIANGLE)
-    n = max(1, math.ceil(rows.count() / BLOCK))
-    parts = None
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod("tid", F.lit(n)) == b)
-        pdf = part.toPandas().sort_values("tid")
-        table = {s: pdf[[s + c for c in "xyz"]].to_numpy(float) for s in ("n", "a", "b", "c", "va", "vb", "vc", "ea", "eb", "ec")}
-        corner = np.stack([table[s] for s in "abc"])
-        tree = Bvh(corner.min(0), corner.max(0), build)
-        shared = points.sparkSession.sparkContext.broadcast((pdf["tid"].to_numpy(), pdf["meta"].astype("Int64").to_numpy(dtype=object), table, tree))
-
-        def run(batches, shared=shared):
-            tid, meta, table, tree = shared.value
-            for batch in batches:
-                at = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3)], axis=1)
-                known = np.flatnonzero(~np.isnan(at).any(axis=1))
-                own = at[known]
-                best, who = np.full((len(own), k), np.inf), np.full((len(own), k), -1)
-
-                def leaf(rows, prims):
-                    t = {s: tuple(v[prims][None, :, i] for i in range(3)) for s, v in table.items()}
-                    d = triangle_distance(t, tuple(own[rows][:, None, i] for i in range(3)))
-                    d = np.concatenate([best[rows], d], axis=1)
-                    w = np.concatenate([who[rows], np.broadcast_to(prims, (len(rows), len(prims)))], axis=1)
-                    order = np.lexsort((np.where(w < 0, np.iinfo(np.int64).max, tid[w]), np.abs(d)), axis=1)[:, :k]
-                    best[rows], who[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
-
-                tree.visit(own, lambda rows: best[rows, -1] ** 2 * (1 + 1e-12), leaf)
-                row, rank = np.nonzero(who >= 0)
-                w = who[row, rank]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(known[row])), pa.array((rank + 1).astype(np.int32)), pa.array(best[row, rank]), pa.array(tid[w].astype(np.int64)), pa.array(meta[w].tolist(), pa.int64())],
-                    names=["qid", "rank", "d", "tid", "meta"],
-                )
-
-        kind = points.schema["qid"].dataType.simpleString()
-        coords = [F.col(a).cast("double").alias(a) for a in "xyz"]
-        made = points.select("qid", *coords).mapInArrow(run, f"qid {kind}, rank int, d double, tid long, meta long")
-        parts = made if parts is None else parts.union(made)
-    if n == 1:
-        return parts
-    w = Window.partitionBy("qid").orderBy(F.abs("d"), "tid")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    corner = {c: [F.col(s + c) for s in "abc"] for c in "xyz"}
+    boxes = [F.least(*corner[c]).alias(n) for c, n in zip("xyz", LOW, strict=True)] + [F.greatest(*corner[c]).alias(n) for c, n in zip("xyz", HIGH, strict=True)]
+    return _nearest(points, tris.select("mesh_id", "tid", "meta", *TRIANGLE, *boxes), "tid", _Triangles, k, build, pruned)
 
 
 def points_in_polygons(polygons: DataFrame, points: DataFrame, algorithm: str = "crossing") -> DataFrame:

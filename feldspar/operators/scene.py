@@ -1,16 +1,12 @@
 """Scenes: unions, intersections and differences over tables of primitives.
 
 A scene is a DataFrame (prim_id, kind, p array<double>, lox..hiz) of spheres (p = center, radius) and boxes (p = low,
-high corner).  Points meet it block by block: a block of at most ``BLOCK`` primitives becomes a hierarchy in arrays and
-goes to the executors, where whole batches of points run through it with pruning; blocks' results are combined by an
-aggregate on the point.  Scenes of one block need no shuffle at all.
+high corner).  Points meet it in blocks of near primitives (``blocks.search``), each a hierarchy in arrays through which
+whole batches of points run with pruning; the results of several blocks are combined by an aggregate on the point.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +16,12 @@ from feldspar.functions import algebra as m
 from feldspar.functions.fields import TINY, smooth_max, smooth_min
 from feldspar.plans.lineage import cut
 
+from . import blocks
 from .bvh import Bvh
 from .spatial import HIGH, LOW
 
-#: Primitives sent to the executors at once (about 80 bytes each).
-BLOCK = 500_000
+#: Primitives of a block (about 80 bytes each).
+BLOCK = blocks.BLOCK
 
 
 def spheres(df: DataFrame) -> DataFrame:
@@ -53,70 +50,54 @@ def primitive_distance(kind: np.ndarray, p: np.ndarray, points: np.ndarray) -> n
     return out
 
 
-def _blocks(scene: DataFrame):
-    """Arrays (ids, kind, p, low, high) of the scene's blocks; one is on the driver at a time."""
-    columns = scene.select("prim_id", "kind", "p", *LOW, *HIGH)
-    n = max(1, math.ceil(columns.count() / BLOCK))
-    for b in range(n):
-        part = columns if n == 1 else columns.where(F.pmod(F.xxhash64("prim_id"), F.lit(n)) == b)
-        pdf = part.toPandas().sort_values("prim_id")
-        p = np.array(pdf["p"].tolist(), float).reshape(-1, 6)
-        yield pdf["prim_id"].to_numpy(), pdf["kind"].to_numpy(), p, pdf[list(LOW)].to_numpy(float), pdf[list(HIGH)].to_numpy(float)
-
-
 def _two_extremes(points: DataFrame, scene: DataFrame, farthest: bool = False, pruned: bool = True, build: str = "sah") -> DataFrame:
     """(qid, first, second, prim_id): each point's least value and the second (largest and second with ``farthest``),
     and the primitive of the first (ties: the least id).  Points with a null coordinate get nulls."""
-    parts = []
-    for ids, kind, p, low, high in _blocks(scene):
-        tree = Bvh(low, high, build if len(ids) else "centroid")
-        shared = points.sparkSession.sparkContext.broadcast((ids, kind, p, tree))
-
-        def run(batches, shared=shared):
-            ids, kind, p, tree = shared.value
-            for batch in batches:
-                at = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3)], axis=1)
-                known = ~np.isnan(at).any(axis=1)
-                own = at[known]
-                n = len(own)
-                first, second, who = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1, np.int64)
-
-                def leaf(rows, prims):
-                    d = primitive_distance(kind[prims], p[prims], own[rows])
-                    d = -d if farthest else d
-                    order = np.lexsort((np.broadcast_to(ids[prims], d.shape), d), axis=1)[:, :2]
-                    best = np.take_along_axis(d, order, 1)
-                    a, b, w = best[:, 0], best[:, 1] if best.shape[1] > 1 else np.full(len(rows), np.inf), ids[prims][order[:, 0]]
-                    f, s, o = first[rows], second[rows], who[rows]
-                    better = (a < f) | ((a == f) & ((o < 0) | (w < o)))
-                    second[rows] = np.where(better, np.minimum(f, b), np.minimum(s, a))
-                    first[rows], who[rows] = np.where(better, a, f), np.where(better, w, o)
-
-                if farthest or not pruned:
-                    for a in range(0, len(ids), 256):
-                        leaf(np.arange(n), np.arange(a, min(a + 256, len(ids)))) if n else None
-                else:
-                    # A box that is farther than the second best, or than 0 where that is negative, can't matter.
-                    tree.visit(own, lambda rows: np.maximum(second[rows], 0) ** 2, leaf)
-                columns = []
-                for v in (first, second):
-                    whole = np.full(len(at), np.nan)
-                    whole[known] = -v if farthest else v
-                    columns.append(pa.array(whole, mask=~known))
-                named = np.full(len(at), -1, np.int64)
-                named[known] = who
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(named, mask=named < 0)], names=["qid", "first", "second", "prim_id"])
-
-        kind_of = points.schema["qid"].dataType.simpleString()
-        coords = [F.col(a).cast("double").alias(a) for a in "xyz"]
-        parts.append(points.select("qid", *coords).mapInArrow(run, f"qid {kind_of}, first double, second double, prim_id long"))
-    if len(parts) == 1:
-        return parts[0]
-    sign = -1 if farthest else 1
-    rows = reduce(DataFrame.union, parts)
-    values = F.flatten(F.collect_list(F.array("first", "second")))
-    ordered = F.array_sort(values) if not farthest else F.reverse(F.array_sort(values))
-    return rows.groupBy("qid").agg(ordered.alias("v"), F.min_by("prim_id", F.struct(sign * F.col("first"), "prim_id")).alias("prim_id")).select("qid", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"), "prim_id")
+
+    def index(table: pa.Table):
+        low, high = blocks.coordinates(table, LOW), blocks.coordinates(table, HIGH)
+        p = np.array(table.column("p").to_pylist(), float).reshape(-1, 6)
+        kind = np.array(table.column("kind").to_pylist(), dtype=object)
+        return table.column("prim_id").to_numpy().astype(np.int64), kind, p, Bvh(low, high, build if len(p) else "centroid")
+
+    def look(index, qids, at):
+        ids, kind, p, tree = index
+        n = len(at)
+        first, second, who = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1, np.int64)
+
+        def leaf(rows, prims):
+            d = primitive_distance(kind[prims], p[prims], at[rows])
+            d = -d if farthest else d
+            order = np.lexsort((np.broadcast_to(ids[prims], d.shape), d), axis=1)[:, :2]
+            best = np.take_along_axis(d, order, 1)
+            a, b, w = best[:, 0], best[:, 1] if best.shape[1] > 1 else np.full(len(rows), np.inf), ids[prims][order[:, 0]]
+            f, s, o = first[rows], second[rows], who[rows]
+            better = (a < f) | ((a == f) & ((o < 0) | (w < o)))
+            second[rows] = np.where(better, np.minimum(f, b), np.minimum(s, a))
+            first[rows], who[rows] = np.where(better, a, f), np.where(better, w, o)
+
+        if farthest or not pruned:
+            for a in range(0, len(ids), 256):
+                leaf(np.arange(n), np.arange(a, min(a + 256, len(ids)))) if n else None
+        else:
+            # A box that is farther than the second best, or than 0 where that is negative, can't matter.
+            tree.visit(at, lambda rows: np.maximum(second[rows], 0) ** 2, leaf)
+        sign = -1.0 if farthest else 1.0
+        return [qids, pa.array(sign * first), pa.array(sign * second), pa.array(who, mask=who < 0)]
+
+    asked = points.select("qid", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    kind = points.schema["qid"].dataType.simpleString()
+    prims = scene.select(F.col("prim_id").cast("long").alias("prim_id"), "kind", "p", *LOW, *HIGH)
+    schema = f"qid {kind}, first double, second double, prim_id long"
+    unknown = asked.where("not (" + " and ".join(f"{a} is not null and not isnan({a})" for a in "xyz") + ")")
+    nothing = unknown.select("qid", *[F.lit(None).cast(t).alias(c) for c, t in (("first", "double"), ("second", "double"), ("prim_id", "long"))])
+    found, whole = blocks.search(blocks.known(asked), prims, ("prim_id",), index, look, schema, 2, farthest, BLOCK, pruned)
+    if not whole:
+        sign = -1 if farthest else 1
+        values = F.flatten(F.collect_list(F.array("first", "second")))
+        ordered = F.array_sort(values) if not farthest else F.reverse(F.array_sort(values))
+        found = found.groupBy("qid").agg(ordered.alias("v"), F.min_by("prim_id", F.struct(sign * F.col("first"), "prim_id")).alias("prim_id")).select("qid", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"), "prim_id")
+    return found.unionByName(nothing)
 
 
 def union(points: DataFrame, scene: DataFrame, pruned: bool = True, build: str = "sah") -> DataFrame:

@@ -162,7 +162,9 @@ def test_tetrahedron_values(spark):
     d = {r.qid: r.d for r in mesh.distance(points(spark, [(0.25, 0.25, 0.25), (2, 2, 2), (1 / 3, 1 / 3, 0), (-1, -1, -1), (0.1, 0.1, 0.1)]), tris).collect()}
     assert d[0] < 0 < d[1] and d[2] == pytest.approx(0) and d[3] == pytest.approx(math.sqrt(3)) and d[4] == pytest.approx(-0.1)
     unknown = spark.createDataFrame([(1, None, 0.0, 0.0)], "qid long, x double, y double, z double")
-    assert mesh.distance(unknown, tris).collect() == [] and mesh.distance(points(spark, [(0, 0, 0)]), tris.where("false")).collect() == []
+    assert mesh.distance(unknown, tris).collect() == []
+    (far,) = mesh.distance(points(spark, [(0, 0, 0)]), tris.where("false")).collect()  # an empty mesh is infinitely far
+    assert far.d == math.inf and far.tid is None
 
 
 @pytest.mark.parametrize("normal", [(0.0, 0.0, 1.0), (0.6, 0.0, 0.8), (0.0, -0.9, 0.1)])
@@ -196,3 +198,40 @@ def test_polygons_as_faces(spark):
     assert np.allclose([r.d for r in found], [r.d for r in plain])
     squared = sorted(mesh.polygon_scan_distance(points(spark, p), v, f, signed=False).collect())
     assert np.allclose([r.d for r in squared], [r.d**2 for r in plain])
+
+
+CUBE = [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
+QUADS = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+
+
+def box_distance(p):
+    d = np.maximum(-p, p - 1)
+    return np.minimum(d.max(1), 0) + np.linalg.norm(np.maximum(d, 0), axis=1)
+
+
+def test_a_cube_of_quads(spark, monkeypatch):
+    p = np.random.default_rng(6).uniform(-2, 3, (150, 3))
+    v, f = soup(spark, CUBE, QUADS)
+    for block in (mesh.BLOCK, 2):
+        monkeypatch.setattr(mesh, "BLOCK", block)
+        polys = mesh.polygons(v, f)
+        found = sorted(mesh.polygon_distance(points(spark, p), polys).collect())
+        assert np.allclose([r.d for r in found], box_distance(p)) and all(r.meta == 10 * r.fid and r.mesh_id == "m" for r in found)
+        assert found == sorted(mesh.polygon_distance(points(spark, p), polys, pruned=False).collect())
+        three = mesh.polygon_distance(points(spark, p), polys, 3).orderBy("qid", "rank").collect()
+        assert [r.rank for r in three] == [1, 2, 3] * 150 and [r.d for r in three[::3]] == [r.d for r in found]
+        assert all(abs(a.d) <= abs(b.d) for a, b in zip(three, three[1:]) if a.qid == b.qid)
+    with pytest.raises(Exception, match="more than three corners"):
+        mesh.distance(points(spark, p), mesh.triangles(v, f)).collect()
+    cut = mesh.triangulate(f)
+    assert cut.count() == 12 and mesh.sanity(v, cut).first().watertight
+    assert np.allclose([r.d for r in sorted(mesh.distance(points(spark, p), mesh.triangles(v, cut)).collect())], box_distance(p))
+    (far,) = mesh.polygon_distance(points(spark, p[:1]), mesh.polygons(v, f).where("false")).collect()
+    assert far.d == math.inf and far.fid is None
+
+
+def test_two_meshes_with_the_same_ids(spark):
+    a, b = soup(spark, CUBE, QUADS, "a"), soup(spark, [(x + 5, y, z) for x, y, z in CUBE], QUADS, "b")
+    polys = mesh.polygons(a[0].union(b[0]), a[1].union(b[1]))
+    found = mesh.polygon_distance(points(spark, [(-1, 0.5, 0.5), (7, 0.5, 0.5)]), polys).orderBy("qid").collect()
+    assert [(r.mesh_id, r.d) for r in found] == [("a", pytest.approx(1.0)), ("b", pytest.approx(1.0))]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feldspar.functions import algebra as m
 from feldspar.functions.fields import Box, Sphere, Translate
-from feldspar.operators import bvh, cloud, scene, spatial
+from feldspar.operators import blocks, bvh, cloud, scene, spatial
 from feldspar.streaming import field as stream_field
 from feldspar.streaming import nearest as stream_nearest
 
@@ -50,6 +50,25 @@ def test_nearest_equals_brute_force(spark, name, k):
         assert rows(cloud.graph(table(spark, points), k)) == brute(points, points, k, True)
 
 
+@pytest.mark.parametrize("name", ["uniform", "coincident", "outlier"])
+def test_nearest_in_several_blocks(spark, monkeypatch, name):
+    """Blocks of a few points, of which each task takes a few queries."""
+    monkeypatch.setattr(blocks, "BLOCK", 40 if name != "coincident" else 3)
+    monkeypatch.setattr(blocks, "SHARE", 9)
+    points = CLOUDS[name]
+    queries = np.concatenate([RNG.random((15, 3)), points[:5], [[50.0, 50.0, 50.0], [-9.0, 0.5, 0.5]]])
+    for k in (1, 5):
+        assert rows(cloud.nearest(table(spark, queries, "qid"), table(spark, points), k)) == brute(queries, points, k)
+    assert rows(cloud.graph(table(spark, points[:150]), 3)) == brute(points[:150], points[:150], 3, True)
+
+
+def test_points_meet_few_blocks():
+    rng = np.random.default_rng(1)
+    corner = np.array(np.meshgrid(*[np.arange(10.0)] * 3)).reshape(3, -1).T
+    met = blocks.candidates(rng.random((200, 3)) * 10, corner, corner + 1, np.full(1000, 50), 4)
+    assert met.any(axis=1).all() and met.sum(axis=1).mean() < 60
+
+
 def test_nearest_without_points_or_coordinates(spark):
     q = spark.createDataFrame([(1, None, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (3, math.nan, 0.0, 0.0)], "qid long, x double, y double, z double")
     assert cloud.nearest(q, table(spark, []), 3).collect() == []
