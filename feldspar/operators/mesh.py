@@ -136,13 +136,28 @@ def vertex_normals(vertices: DataFrame, facets: DataFrame, face_rows: DataFrame,
 
 
 def sanity(vertices: DataFrame, facets: DataFrame) -> DataFrame:
-    """One row of defect counts for each mesh."""
+    """One row of counts for each mesh: its faces, vertices and edges; defects of faces (null, without edges as they have
+    fewer than three corners, degenerate as a corner is repeated), of edges (without an origin, degenerate, border as
+    there is no pair, repeated, without a next corner, with an origin that is no vertex, without a face) and of
+    vertices (without coordinates, unused); and whether the mesh is watertight."""
     e = half_edges(facets)
-    counts = e.groupBy("mesh_id").agg(
-        F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("degenerate_edges"), F.count_if(F.col("pair_eid").isNull()).alias("border_edges")
+    named = vertices.select("mesh_id", F.col("vid").alias("src"), F.lit(True).alias("there"))
+    counts = e.join(named, ["mesh_id", "src"], "left").groupBy("mesh_id").agg(
+        F.count("*").alias("edges"),
+        F.count_if(F.col("src").isNull()).alias("null_edges"),
+        F.count_if(F.col("src") == F.col("dst")).alias("degenerate_edges"),
+        F.count_if(F.col("pair_eid").isNull()).alias("border_edges"),
+        F.count_if(F.col("dst").isNull()).alias("edges_without_next"),
+        F.count_if(F.col("src").isNotNull() & F.col("there").isNull()).alias("edges_without_vertex"),
+        F.count_if(F.col("fid").isNull()).alias("edges_without_face"),
     )
     doubled = e.groupBy("mesh_id", "src", "dst").agg(F.count("*").alias("n")).groupBy("mesh_id").agg(F.sum(F.col("n") - 1).alias("repeated_edges"))
-    f = facets.groupBy("mesh_id").agg(F.count_if(F.size("vids") >= 3).alias("faces"), F.count_if(F.size("vids") < 3).alias("small_facets"))
+    f = facets.groupBy("mesh_id").agg(
+        F.count_if(F.size("vids") >= 3).alias("faces"),
+        F.count_if(F.col("vids").isNull()).alias("null_faces"),
+        F.count_if(F.size("vids") < 3).alias("small_facets"),
+        F.count_if(F.size(F.array_distinct("vids")) < F.size("vids")).alias("degenerate_faces"),
+    )
     used = facets.select("mesh_id", F.explode("vids").alias("vid")).distinct()
     lone = vertices.join(used, ["mesh_id", "vid"], "left_anti").groupBy("mesh_id").agg(F.count("*").alias("unused_vertices"))
     v = vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"), F.count_if(F.isnull("x") | F.isnull("y") | F.isnull("z")).alias("bad_vertices"))

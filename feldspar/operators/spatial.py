@@ -74,16 +74,23 @@ def box_centroid(box):
 
 
 def ritter(points: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ritter's approximate bounding sphere of points in their order, its radius enlarged by one per cent."""
+    """Ritter's approximate bounding sphere of points in their order, its radius enlarged by one per cent.  Only points
+    outside the sphere so far are looked at one by one."""
     ends = [(points[points[:, a].argmin()], points[points[:, a].argmax()]) for a in range(3)]
     p, q = max(ends, key=lambda e: ((e[1] - e[0]) ** 2).sum())
     center, radius = (p + q) / 2, float(np.linalg.norm(q - p)) / 2
-    for x in points:
-        d = float(np.linalg.norm(x - center))
-        if d > radius:
-            grown = (radius + d) / 2
-            center = center + (x - center) * ((d - grown) / d)
-            radius = grown
+    at = 0
+    while at < len(points):
+        far = np.linalg.norm(points[at : at + 4096] - center, axis=1)
+        outside = np.flatnonzero(far > radius)
+        if not len(outside):
+            at += 4096
+            continue
+        at += int(outside[0]) + 1
+        d = float(far[outside[0]])
+        grown = (radius + d) / 2
+        center = center + (points[at - 1] - center) * ((d - grown) / d)
+        radius = grown
     return center, radius * 1.01
 
 

@@ -7,22 +7,18 @@ point set from ``lineitem``, spheres from ``supplier``, boxes from ``part``.  Fl
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feldspar.functions import algebra as m
 from feldspar.functions import fields as f
 from feldspar.functions import vectors as v
-from feldspar.functions.algebra import Sql
 from feldspar.operators import cloud, mesh, scene, spatial
+from feldspar.sources import mesh_files
 
-from . import fixtures
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLE: dict[str, str] = {}
+from . import file_queries, fixtures  # noqa: F401
+from .registry import ORACLE, QUERIES, Query, register
 
 POINTS_SQL = "(SELECT vec_id, 10e0 * CAST(embedding[1] AS DOUBLE) AS x, 10e0 * CAST(embedding[2] AS DOUBLE) AS y, 10e0 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 ITEMS_SQL = "(SELECT l_quantity / 10 AS x, l_extendedprice / 10000 AS y, l_discount * 50 AS z FROM lineitem)"
@@ -67,26 +63,20 @@ def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
 
-def register(name: str, query: Query, sql: str | None = None) -> None:
-    _QUERIES[name] = query
-    if sql:
-        _ORACLE[name] = sql
-
-
-def _field(name: str, field: f.Field, sql: str | None = None, big: bool = False) -> None:
-    """A field over the points; ``sql`` is a formula in x, y, z written by hand, else the field's own text."""
+def _field(name: str, field: f.Field, sql: str, big: bool = False) -> None:
+    """A field over the points; ``sql`` is a formula in x, y, z written by hand."""
     if big:
 
         def query(spark, sf_dir):
             return field.evaluate(items(spark, sf_dir)).select("x", "y", "z", r6("d").alias("d"))
 
-        register(name, query, f"SELECT x, y, z, round({sql or field.sql()}, 6) + 0e0 AS d FROM {ITEMS_SQL}")
+        register(name, query, f"SELECT x, y, z, round({sql}, 6) + 0e0 AS d FROM {ITEMS_SQL}")
     else:
 
         def query(spark, sf_dir):
             return field.evaluate(points(spark, sf_dir)).select("vec_id", r6("d").alias("d"))
 
-        register(name, query, f"SELECT vec_id, round({sql or field.sql()}, 6) + 0e0 AS d FROM {POINTS_SQL}")
+        register(name, query, f"SELECT vec_id, round({sql}, 6) + 0e0 AS d FROM {POINTS_SQL}")
 
 
 # Analytic shapes; their SQL is written by hand, apart from Perlin noise.
@@ -123,34 +113,104 @@ _field(
     f.RoundedCylinder(1.0, 0.25, 2.0),
     "least(greatest(sqrt(x*x + z*z) - 0.75e0, abs(y) - 0.75e0), 0e0) + sqrt(power(greatest(sqrt(x*x + z*z) - 0.75e0, 0e0), 2) + power(greatest(abs(y) - 0.75e0, 0e0), 2)) - 0.25e0",
 )
-_field("perlin", f.Perlin(1.5, (0.7, 0.9, 1.1), 0.5, 1, tuple((i * 167 + 13) % 256 for i in range(256))))
+
+
+def _perlin_sql(octaves: int) -> str:
+    """Noise by its gradients: at each corner of a cell the product with one of sixteen, faded between corners."""
+    gradients = "[[1,1,0],[-1,1,0],[1,-1,0],[-1,-1,0],[1,0,1],[-1,0,1],[1,0,-1],[-1,0,-1],[0,1,1],[0,-1,1],[0,1,-1],[0,-1,-1],[1,1,0],[0,-1,1],[-1,1,0],[0,-1,-1]]"
+    hashed = lambda i: f"((({i}) & 255) * 167 + 13) % 256"
+    h = hashed(f"{hashed(f'{hashed("i + a")} + j + b')} + k + c")
+    fade = lambda u: f"({u}*{u}*{u}*({u}*({u}*6e0 - 15e0) + 10e0))"
+    weight = " * ".join(f"(CASE WHEN {s} = 1 THEN {fade(u)} ELSE 1e0 - {fade(u)} END)" for s, u in zip("abc", "uvw", strict=True))
+    dot = " + ".join(f"g[{n}] * ({u} - {s})" for n, u, s in ((1, "u", "a"), (2, "v", "b"), (3, "w", "c")))
+    return f"""SELECT vec_id, round(1.5e0 * sum(share), 6) + 0e0 AS d FROM (
+      SELECT vec_id, o, 0.5e0 * power(0.5e0, o) * (1e0 + sum({weight} * ({dot}))) AS share FROM (
+        SELECT *, {gradients}[({h}) % 16 + 1] AS g FROM (
+          SELECT vec_id, o, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k, x - floor(x) AS u, y - floor(y) AS v, z - floor(z) AS w
+          FROM (SELECT vec_id, o, x * 0.7e0 * power(2e0, o) AS x, y * 0.9e0 * power(2e0, o) AS y, z * 1.1e0 * power(2e0, o) AS z FROM {POINTS_SQL}, range({octaves}) r(o)))
+        , (VALUES (0), (1)) ta(a), (VALUES (0), (1)) tb(b), (VALUES (0), (1)) tc(c))
+      GROUP BY vec_id, o)
+    GROUP BY vec_id"""
+
+
+_shuffled = tuple((i * 167 + 13) % 256 for i in range(256))
+for _name, _octaves in (("perlin", 1), ("perlin_octaves", 3)):
+    _noise = f.Perlin(1.5, (0.7, 0.9, 1.1), 0.5, _octaves, _shuffled)
+    register(_name, lambda s, d, noise=_noise: noise.evaluate(points(s, d)).select("vec_id", r6("d").alias("d")), _perlin_sql(_octaves))
 _field("sdf_sphere_items", f.Sphere((2.5, 4.0, 2.5), 1.5), "sqrt((x - 2.5e0)*(x - 2.5e0) + (y - 4e0)*(y - 4e0) + (z - 2.5e0)*(z - 2.5e0)) - 1.5e0", big=True)
 
-# Transforms and combinations: the field's own SQL text, or formulas by hand where short.
+# Transforms and combinations.
 _cell = f.Box((-1.0, -0.5, -0.75), (1.0, 0.5, 0.75))
 _ball, _other = f.Sphere((0.5, 0.0, 0.0), 1.0), f.Sphere((-0.5, 0.25, 0.0), 1.25)
+
+
+def _cell_sql(x: str = "x", y: str = "y", z: str = "z") -> str:
+    """The box of half widths 1, 0.5 and 0.75 around the origin."""
+    d = [f"(abs({c}) - {h}e0)" for c, h in ((x, 1.0), (y, 0.5), (z, 0.75))]
+    return f"(sqrt({' + '.join(f'power(greatest({c}, 0e0), 2)' for c in d)}) + least(greatest({', '.join(d)}), 0e0))"
+
+
+def _ball_sql(cx: str, cy: str, cz: str, r: str) -> str:
+    return f"(sqrt(power(x - {cx}, 2) + power(y - {cy}, 2) + power(z - {cz}, 2)) - {r})"
+
+
+def _blend_sql(values: list[str], s: str, least: bool = True) -> str:
+    """The two least (largest) of some values, blended over a width of ``s``."""
+    two = f"list_sort([{', '.join(values)}], '{'ASC' if least else 'DESC'}')[1:2]"
+    inner = "power(greatest({s} - abs(t[1] - t[2]), 0e0), 2) / (4e0 * {s})".replace("{s}", s)
+    return f"(list_transform([{two}], lambda t: t[1] {'-' if least else '+'} {inner})[1])"
+
+
+_A, _B, _C = _ball_sql("0.5e0", "0e0", "0e0", "1e0"), _ball_sql("(-0.5e0)", "0.25e0", "0e0", "1.25e0"), _cell_sql()
+_cos, _sin = f"{math.cos(math.pi / 6)!r}e0", "0.5e0"
+_blurred = " + ".join(f"{u * v * w!r}e0 * {_cell_sql(f'(x - {i * 0.2!r}e0)', f'(y - {j * 0.2!r}e0)', f'(z - {k * 0.2!r}e0)')}" for i, u in ((-1, 0.3), (0, 0.4), (1, 0.3)) for j, v in ((-1, 0.3), (0, 0.4), (1, 0.3)) for k, w in ((-1, 0.3), (0, 0.4), (1, 0.3)))
+_sphere_weight = {0: -0.25, 1: 0.0, 2: 0.25 * (2**0.5 - 1), 3: 0.25 * (3**0.5 - 1)}
+_weights = -0.25 + 12 * _sphere_weight[2] + 8 * _sphere_weight[3]
+_mollified = " + ".join(
+    f"({_sphere_weight[sum(map(abs, (i, j, k)))] / _weights!r}) * {_cell_sql(f'(x - {i * 0.25!r}e0)', f'(y - {j * 0.25!r}e0)', f'(z - {k * 0.25!r}e0)')}" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if sum(map(abs, (i, j, k))) != 1
+)
 _field("xf_complement", f.Complement(f.Sphere()), "1e0 - sqrt(x*x + y*y + z*z)")
 _field("xf_translate", f.Translate(f.Sphere(), (1.0, -0.5, 0.25)), "sqrt((x - 1e0)*(x - 1e0) + (y + 0.5e0)*(y + 0.5e0) + (z - 0.25e0)*(z - 0.25e0)) - 1e0")
-_field("xf_rotate", f.Rotate(_cell, 30.0, 2))
-_field("xf_scale", f.Scale(_cell, 2.0))
+_field("xf_rotate", f.Rotate(_cell, 30.0, 2), _cell_sql(f"(x * {_cos} + y * {_sin})", f"(y * {_cos} - x * {_sin})"))
+_field("xf_scale", f.Scale(_cell, 2.0), f"2e0 * {_cell_sql('(x / 2e0)', '(y / 2e0)', '(z / 2e0)')}")
 _field("xf_offset", f.Offset(f.Sphere(), 0.5), "sqrt(x*x + y*y + z*z) - 1.5e0")
 _field("xf_annular", f.Annular(f.Sphere(), 0.25), "abs(sqrt(x*x + y*y + z*z) - 1e0) - 0.25e0")
-_field("xf_blur", f.Blur(_cell, 0.2, 0.4))
-_field("xf_mollify", f.Mollify(_cell, 0.25, 3))
-_field("xf_elongate", f.Elongate(f.Sphere(), (0.5, 0.25, 0.0)))
+_field("xf_blur", f.Blur(_cell, 0.2, 0.4), _blurred)
+_field("xf_mollify", f.Mollify(_cell, 0.25, 3), _mollified)
+_field("xf_elongate", f.Elongate(f.Sphere(), (0.5, 0.25, 0.0)), "sqrt(power(greatest(abs(x) - 0.5e0, 0e0), 2) + power(greatest(abs(y) - 0.25e0, 0e0), 2) + z*z) - 1e0")
 _field("xf_reflect", f.Reflect(f.Sphere((0.5, 1.0, 0.0), 1.0), 1), "sqrt((x - 0.5e0)*(x - 0.5e0) + (y + 1e0)*(y + 1e0) + z*z) - 1e0")
 _three = (_ball, _other, _cell)
-_field("csg_union", f.Union(_three))
-_field("csg_intersection", f.Intersection(_three))
-_field("csg_difference", f.difference(_cell, _ball, _other))
-_field("csg_smooth_union", f.SmoothUnion(_three, 0.5))
-_field("csg_smooth_intersection", f.SmoothIntersection(_three, 0.5))
-_field("csg_smooth_difference", f.smooth_difference(_cell, (_ball,), 0.5))
-_field("csg_exp_min", f.blended(_ball, _other, 0.5, f.exp_min))
-_field("csg_smooth_min", f.blended(_ball, _other, 0.5, f.smooth_min))
-_field("csg_smooth_max", f.SmoothIntersection((_ball, _other), 0.5, f.smooth_max))
-_field("repeat", f.FiniteRepetition(f.Sphere((0.0, 0.0, 0.0), 0.3), (1.0, 1.5, 2.0), (2.0, 2.0, 1.0), (2.0, 1.0, 1.0)))
-_field("csg_city_items", f.SmoothUnion((f.Box((0.5, 1.0, 0.0), (2.0, 3.0, 4.0)), f.Cylinder((3.0, 4.0, 0.0), (3.0, 4.0, 5.0), 0.5), f.Sphere((4.0, 8.0, 2.0), 1.0)), 0.5), big=True)
+_field("csg_union", f.Union(_three), f"list_min([{_A}, {_B}, {_C}])")
+_field("csg_intersection", f.Intersection(_three), f"list_max([{_A}, {_B}, {_C}])")
+_field("csg_difference", f.difference(_cell, _ball, _other), f"list_max([{_C}, -{_A}, -{_B}])")
+_field("csg_smooth_union", f.SmoothUnion(_three, 0.5), _blend_sql([_A, _B, _C], "0.5e0"))
+_field("csg_smooth_intersection", f.SmoothIntersection(_three, 0.5), _blend_sql([_A, _B, _C], "0.5e0", False))
+_field("csg_smooth_difference", f.smooth_difference(_cell, (_ball,), 0.5), _blend_sql([_C, f"-{_A}"], "0.5e0", False))
+_field("csg_exp_min", f.blended(_ball, _other, 0.5, f.exp_min), f"-0.5e0 * ln(exp(-2e0 * {_A}) + exp(-2e0 * {_B}))")
+_field("csg_smooth_min", f.blended(_ball, _other, 0.5, f.smooth_min), _blend_sql([_A, _B], "0.5e0"))
+_field("csg_smooth_max", f.SmoothIntersection((_ball, _other), 0.5, f.smooth_max), _blend_sql([_A, _B], "0.5e0", False))
+
+
+def _mean(a, b, length):
+    """A blend of the caller's own: the mean of the two least values."""
+    return (a + b) * 0.5
+
+
+_field("csg_user_blend", f.SmoothUnion(_three, 0.5, _mean), f"list_sum(list_sort([{_A}, {_B}, {_C}])[1:2]) / 2e0")
+_field(
+    "repeat",
+    f.FiniteRepetition(f.Sphere((0.0, 0.0, 0.0), 0.3), (1.0, 1.5, 2.0), (2.0, 2.0, 1.0), (2.0, 1.0, 1.0)),
+    "sqrt(power(x - least(greatest(floor(x + 0.5e0), -2e0), 2e0), 2) + power(y - 1.5e0 * least(greatest(floor(y / 1.5e0 + 0.5e0), -2e0), 1e0), 2) + power(z - 2e0 * least(greatest(floor(z / 2e0 + 0.5e0), -1e0), 1e0), 2)) - 0.3e0",
+)
+_tower = "(sqrt(" + " + ".join(f"power(greatest(abs({c} - {m_}e0) - {h}e0, 0e0), 2)" for c, m_, h in (("x", 1.25, 0.75), ("y", 2.0, 1.0), ("z", 2.0, 2.0))) + ") + least(greatest(" + ", ".join(f"abs({c} - {m_}e0) - {h}e0" for c, m_, h in (("x", 1.25, 0.75), ("y", 2.0, 1.0), ("z", 2.0, 2.0))) + "), 0e0))"
+_round = "sqrt(power(x - 3e0, 2) + power(y - 4e0, 2)) - 0.5e0"
+_silo = f"(least(greatest({_round}, abs(z - 2.5e0) - 2.5e0), 0e0) + sqrt(power(greatest({_round}, 0e0), 2) + power(greatest(abs(z - 2.5e0) - 2.5e0, 0e0), 2)))"
+_field(
+    "csg_city_items",
+    f.SmoothUnion((f.Box((0.5, 1.0, 0.0), (2.0, 3.0, 4.0)), f.Cylinder((3.0, 4.0, 0.0), (3.0, 4.0, 5.0), 0.5), f.Sphere((4.0, 8.0, 2.0), 1.0)), 0.5),
+    _blend_sql([_tower, _silo, _ball_sql("4e0", "8e0", "2e0", "1e0")], "0.5e0"),
+    big=True,
+)
 
 
 def _normal_sphere(spark, sf_dir):
@@ -329,13 +389,58 @@ register(
     lambda s, d: spatial.bins(points(s, d)).select("vec_id", spatial.nested(F.col("ix"), F.col("iy"), F.col("iz")).alias("code")),
     f"SELECT vec_id, ix + iy * 2097152 + iz * 4398046511104 AS code FROM {_CELLS_SQL}",
 )
-register("hilbert", lambda s, d: spatial.bins(points(s, d)).select("vec_id", spatial.hilbert("ix", "iy", "iz").alias("code")))
+
+#: Bits of the cells from the top: where one is set, the lower bits of x are turned, else swapped with its own; then a
+#: Gray code over the axes; the bits of the three, interleaved, are the code.
+_HILBERT_SQL = f"""WITH RECURSIVE turned AS (
+  SELECT vec_id, 20 AS level, ix, iy, iz FROM {_CELLS_SQL}
+  UNION ALL
+  SELECT vec_id, level - 1, CASE WHEN (iz >> level) & 1 = 1 THEN xor(ix, low) ELSE xor(ix, xor(ix, iz) & low) END, iy, CASE WHEN (iz >> level) & 1 = 1 THEN iz ELSE xor(iz, xor(ix, iz) & low) END FROM (
+    SELECT vec_id, level, low, CASE WHEN (iy >> level) & 1 = 1 THEN xor(ix, low) ELSE xor(ix, xor(ix, iy) & low) END AS ix, CASE WHEN (iy >> level) & 1 = 1 THEN iy ELSE xor(iy, xor(ix, iy) & low) END AS iy, iz FROM (
+      SELECT vec_id, level, low, CASE WHEN (ix >> level) & 1 = 1 THEN xor(ix, low) ELSE ix END AS ix, iy, iz FROM (SELECT *, (1::BIGINT << level) - 1 AS low FROM turned WHERE level > 0)))),
+gray AS (SELECT vec_id, ix, xor(iy, ix) AS iy, xor(iz, xor(iy, ix)) AS iz FROM turned WHERE level = 0),
+flipped AS (SELECT vec_id, ix, iy, iz, (SELECT bit_xor(CASE WHEN (iz >> CAST(l AS INTEGER)) & 1 = 1 THEN (1::BIGINT << CAST(l AS INTEGER)) - 1 ELSE 0 END) FROM range(1, 21) r(l)) AS t FROM gray)
+SELECT vec_id, CAST((SELECT sum((((xor(ix, t) >> CAST(b AS INTEGER)) & 1) * 4 + ((xor(iy, t) >> CAST(b AS INTEGER)) & 1) * 2 + ((xor(iz, t) >> CAST(b AS INTEGER)) & 1)) * (1::BIGINT << CAST(3 * b AS INTEGER))) FROM range(21) r(b)) AS BIGINT) AS code FROM flipped"""
+register("hilbert", lambda s, d: spatial.bins(points(s, d)).select("vec_id", spatial.hilbert("ix", "iy", "iz").alias("code")), _HILBERT_SQL)
+
+
+def _decoded(encode, decode) -> Query:
+    """The cells read back from their codes."""
+
+    def query(s, d):
+        coded = spatial.bins(points(s, d)).select("vec_id", encode(*(F.col(c) for c in ("ix", "iy", "iz"))).alias("code"))
+        return coded.select("vec_id", *[c.cast("long").alias(n) for c, n in zip(decode(F.col("code")), ("ix", "iy", "iz"), strict=True)])
+
+    return query
+
+
+def _hilbert_cell(code):
+    found = spatial.hilbert_cell(code)
+    return tuple(found[i] for i in range(3))
+
+
+for _curve, _pair in (("morton", (spatial.morton, spatial.morton_cell)), ("nested", (spatial.nested, spatial.nested_cell)), ("hilbert", (spatial.hilbert, _hilbert_cell))):
+    register(f"{_curve}_cell", _decoded(*_pair), f"SELECT vec_id, ix, iy, iz FROM {_CELLS_SQL}")
 register(
     "sfc_order",
     lambda s, d: spatial.curve_order(_cloud(s, d), "nested").select("pid", "place"),
     f"SELECT vec_id AS pid, row_number() OVER (ORDER BY ix + iy * 2097152 + iz * 4398046511104, vec_id) - 1 AS place FROM {_CELLS_SQL}",
 )
-register("bounding_sphere", lambda s, d: spatial.bounding_spheres(_cloud(s, d).withColumn("g", F.col("pid") % 8), "g").select("g", *[r6(c).alias(c) for c in ("cx", "cy", "cz", "r")]))
+
+_FAR2 = "power(p.x - s.cx, 2) + power(p.y - s.cy, 2) + power(p.z - s.cz, 2)"
+register(
+    "bounding_sphere",
+    lambda s, d: spatial.bounding_spheres(_cloud(s, d).withColumn("g", F.col("pid") % 8), "g").select("g", *[r6(c).alias(c) for c in ("cx", "cy", "cz", "r")]),
+    f"""WITH RECURSIVE p AS (SELECT vec_id % 8 AS g, x, y, z, row_number() OVER (PARTITION BY vec_id % 8 ORDER BY vec_id) AS k FROM {POINTS_SQL}),
+    ends AS (SELECT g, n, a, b, power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) AS d2 FROM (
+      {' UNION ALL '.join(f"SELECT g, {n} AS n, arg_min({{'x': x, 'y': y, 'z': z}}, {a}) AS a, arg_max({{'x': x, 'y': y, 'z': z}}, {a}) AS b FROM p GROUP BY g" for n, a in enumerate("xyz"))})),
+    s AS (
+      SELECT g, CAST(0 AS BIGINT) AS k, (a.x + b.x) / 2 AS cx, (a.y + b.y) / 2 AS cy, (a.z + b.z) / 2 AS cz, sqrt(d2) / 2 AS r FROM (SELECT g, unnest(arg_max({{'a': a, 'b': b, 'd2': d2}}, d2)) FROM ends GROUP BY g)
+      UNION ALL
+      SELECT g, k, CASE WHEN d > r THEN cx + (x - cx) * (d - r) / (2 * d) ELSE cx END, CASE WHEN d > r THEN cy + (y - cy) * (d - r) / (2 * d) ELSE cy END, CASE WHEN d > r THEN cz + (z - cz) * (d - r) / (2 * d) ELSE cz END, greatest(r, (r + d) / 2)
+      FROM (SELECT s.g, p.k, s.cx, s.cy, s.cz, s.r, p.x, p.y, p.z, sqrt({_FAR2}) AS d FROM s JOIN p ON p.g = s.g AND p.k = s.k + 1))
+    SELECT g, {', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in ('cx', 'cy', 'cz'))}, round(1.01e0 * r, 6) + 0e0 AS r FROM (SELECT g, arg_max({{'cx': cx, 'cy': cy, 'cz': cz, 'r': r}}, k) AS e FROM s GROUP BY g) t, LATERAL (SELECT e.cx, e.cy, e.cz, e.r)""",
+)
 register(
     "octree_aabb",
     lambda s, d: spatial.octree_box(s, f.Sphere(), (-2.0, -2.0, -2.0), (2.0, 2.0, 2.0), 5).select(*[r6(c).alias(c) for c in (*spatial.LOW, *spatial.HIGH)]),
@@ -377,10 +482,33 @@ def _corners_sql(which: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") t(fid, place, src, dst))"
 
 
-def _triangles_sql(which: str) -> str:
-    rows = fixtures.triangle_rows(which)
-    names = ["tid", "meta", *[f'"{c}"' for c in mesh.TRIANGLE]]
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(r[0]), str(r[1]), *[f"{x!r}e0" if "e" not in repr(x) else repr(x) for x in r[2:]]]) + ")" for r in rows) + f") t({', '.join(names)}))"
+def _facets_sql(which: str) -> str:
+    """(fid, face, and the corners a, b, c of each triangle of each facet's fan)."""
+    vertices, facets = fixtures.MESHES[which]
+    rows = []
+    for fid, ids in enumerate(facets):
+        for i in range(1, len(ids) - 1):
+            corners = [f"{float(c)!r}e0" for v in (ids[0], ids[i], ids[i + 1]) for c in vertices[v]]
+            rows.append(f"({fid}, {', '.join(corners)})")
+    return "(SELECT * FROM (VALUES " + ", ".join(rows) + f") t(fid, {', '.join(f'c{s}{c}' for s in 'abc' for c in 'xyz')}))"
+
+
+def _solid_sql(which: str) -> str:
+    """(vec_id, fid, d2, outside): a point's squared distance to each facet of a convex solid, by barycentric coordinates,
+    and how far it lies outside the facet's plane."""
+    minus = lambda p, q: [f"({a} - {b})" for a, b in zip(p, q, strict=True)]
+    dot = lambda p, q: "(" + " + ".join(f"{a}*{b}" for a, b in zip(p, q, strict=True)) + ")"
+    p, a, b, c = list("xyz"), *([f"c{s}{k}" for k in "xyz"] for s in "abc")
+
+    def segment(q, r):
+        u = f"least(greatest({dot(minus(p, q), minus(r, q))} / {dot(minus(r, q), minus(r, q))}, 0e0), 1e0)"
+        return "(" + " + ".join(f"power({k} - {s} - {u} * ({e} - {s}), 2)" for k, s, e in zip(p, q, r, strict=True)) + ")"
+
+    e, g, v = minus(b, a), minus(c, a), minus(p, a)
+    n = [f"({e[i]}*{g[j]} - {e[j]}*{g[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+    inner = f"SELECT *, {dot(e, e)} AS ee, {dot(e, g)} AS eg, {dot(g, g)} AS gg, {dot(v, e)} AS ve, {dot(v, g)} AS vg, {dot(v, n)} / sqrt({dot(n, n)}) AS plane, least({segment(a, b)}, {segment(b, c)}, {segment(c, a)}) AS edge FROM {POINTS_SQL} CROSS JOIN {_facets_sql(which)}"
+    over = "gg*ve - eg*vg >= 0 AND ee*vg - eg*ve >= 0 AND gg*ve - eg*vg + ee*vg - eg*ve <= ee*gg - eg*eg"
+    return f"(SELECT vec_id, fid, min(CASE WHEN {over} THEN plane*plane ELSE edge END) AS d2, max(plane) AS outside FROM ({inner}) GROUP BY vec_id, fid)"
 
 
 register(
@@ -393,7 +521,22 @@ register(
     lambda s, d: mesh.compress(*_soup(s, "soup"))[1].select("fid", F.array_join("vids", "-").alias("vids")),
     f"SELECT fid, string_agg(CAST(n AS VARCHAR), '-' ORDER BY place) AS vids FROM {_corners_sql('soup')} JOIN (SELECT vid, dense_rank() OVER (ORDER BY x, y, z) - 1 AS n FROM {_vertices_sql('soup')}) ON vid = src GROUP BY fid",
 )
-register("mesh_degenerate", lambda s, d: mesh.degenerate(*_soup(s, "bad")).select("degenerate"), "SELECT TRUE AS degenerate")
+
+
+def _every_soup(s):
+    parts = [_soup(s, w) for w in ("tetra", "dodeca", "pentagons", "soup", "bad")]
+    return reduce(DataFrame.union, [p[0] for p in parts]), reduce(DataFrame.union, [p[1] for p in parts])
+
+
+def _all_corners_sql() -> str:
+    return "(" + " UNION ALL ".join(f"SELECT '{w}' AS mesh_id, c.*, v.x, v.y, v.z FROM {_corners_sql(w)} c JOIN {_vertices_sql(w)} v ON vid = src" for w in ("tetra", "dodeca", "pentagons", "soup", "bad")) + ")"
+
+
+register(
+    "mesh_degenerate",
+    lambda s, d: mesh.degenerate(*_every_soup(s)).select("mesh_id", "degenerate"),
+    f"SELECT mesh_id, bool_or(bad) AS degenerate FROM (SELECT mesh_id, fid, count(*) < 3 OR count(DISTINCT (x, y, z)) < count(*) AS bad FROM {_all_corners_sql()} GROUP BY mesh_id, fid) GROUP BY mesh_id",
+)
 register(
     "mesh_pairs",
     lambda s, d: mesh.half_edges(_soup(s, "dodeca")[1]).select("eid", "fid", "src", "dst", "next_eid", "pair_eid"),
@@ -445,10 +588,18 @@ _DOT = "((q.x-o.x)*(r.x-o.x) + (q.y-o.y)*(r.y-o.y) + (q.z-o.z)*(r.z-o.z))"
 _LEN = {s: f"sqrt(power({s}.x-o.x, 2) + power({s}.y-o.y, 2) + power({s}.z-o.z, 2))" for s in "qr"}
 register("mesh_vertex_normals", _vertex_normals("angle"), _vertex_sql(f"acos(least(1e0, greatest(-1e0, {_DOT} / ({_LEN['q']} * {_LEN['r']}))))"))
 register("mesh_vertex_normals_plain", _vertex_normals("none"), _vertex_sql("1e0"))
+_COUNTS = ("faces", "small_facets", "degenerate_faces", "vertices", "unused_vertices", "edges", "degenerate_edges", "border_edges", "repeated_edges")
 register(
     "mesh_sanity",
-    lambda s, d: mesh.sanity(*_soup(s, "dodeca")).select("faces", "vertices", "edges", "degenerate_edges", "border_edges", "repeated_edges", "watertight"),
-    "SELECT 36 AS faces, 20 AS vertices, 108 AS edges, 0 AS degenerate_edges, 0 AS border_edges, 0 AS repeated_edges, TRUE AS watertight",
+    lambda s, d: mesh.sanity(*_every_soup(s)).select("mesh_id", *_COUNTS, "watertight"),
+    f"""WITH corners AS (SELECT * FROM {_all_corners_sql()}),
+    v AS ({' UNION ALL '.join(f"SELECT '{w}' AS mesh_id, vid FROM {_vertices_sql(w)}" for w in ("tetra", "dodeca", "pentagons", "soup", "bad"))}),
+    f AS (SELECT mesh_id, fid, count(*) AS n, count(DISTINCT src) AS m FROM corners GROUP BY mesh_id, fid),
+    e AS (SELECT c.* FROM corners c JOIN f USING (mesh_id, fid) WHERE f.n >= 3),
+    ec AS (SELECT mesh_id, count(*) AS edges, count(*) FILTER (src = dst) AS degenerate_edges, count(*) FILTER (NOT EXISTS (SELECT 1 FROM e o WHERE o.mesh_id = e.mesh_id AND o.src = e.dst AND o.dst = e.src)) AS border_edges, count(*) - count(DISTINCT (src, dst)) AS repeated_edges FROM e GROUP BY mesh_id),
+    fc AS (SELECT mesh_id, count(*) FILTER (n >= 3) AS faces, count(*) FILTER (n < 3) AS small_facets, count(*) FILTER (m < n) AS degenerate_faces FROM f GROUP BY mesh_id),
+    vc AS (SELECT mesh_id, count(*) AS vertices, count(*) FILTER (NOT EXISTS (SELECT 1 FROM corners c WHERE c.mesh_id = v.mesh_id AND c.src = vid)) AS unused_vertices FROM v GROUP BY mesh_id)
+    SELECT mesh_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _COUNTS)}, border_edges = 0 AND faces > 0 AS watertight FROM fc JOIN vc USING (mesh_id) JOIN ec USING (mesh_id)""",
 )
 
 
@@ -456,33 +607,74 @@ def _mesh_triangles(s: SparkSession, which: str) -> DataFrame:
     return mesh.triangles(*_soup(s, which))
 
 
-_TRI = {k: tuple(Sql(f'"{k}{c}"') for c in "xyz") for k in ("n", "a", "b", "c", "va", "vb", "vc", "ea", "eb", "ec")}
+def _polygons(s: SparkSession, which: str) -> DataFrame:
+    return mesh.polygons(*_soup(s, which))
 
 
-def _nearest_sql(which: str) -> str:
-    d = mesh.triangle_distance(_TRI, (Sql("x"), Sql("y"), Sql("z")))
-    return f"(SELECT vec_id, tid, meta, {d} AS d FROM {POINTS_SQL} CROSS JOIN {_triangles_sql(which)})"
+def _signed_sql(which: str) -> str:
+    return f"SELECT vec_id, round(CASE WHEN max(outside) < 0 THEN -1e0 ELSE 1e0 END * sqrt(min(d2)), 6) + 0e0 AS d FROM {_solid_sql(which)} GROUP BY vec_id"
+
+
+def _d(found: DataFrame) -> DataFrame:
+    return found.select(F.col("qid").alias("vec_id"), r6("d").alias("d"))
+
+
+def _sure(found: DataFrame, name: str) -> DataFrame:
+    """The nearest facet and its meta, where the second is clearly farther."""
+    near = found.groupBy("qid").agg(F.min_by(F.struct(name, "meta"), "rank").alias("f"), F.min(F.abs("d")).alias("a"), F.max(F.abs("d")).alias("b"))
+    return near.where(F.col("b") - F.col("a") > 1e-6).select(F.col("qid").alias("vec_id"), F.col("f")[name].cast("long").alias("fid"), F.col("f.meta").alias("meta"))
+
+
+def _sure_sql(which: str) -> str:
+    return f"SELECT vec_id, CAST(fid AS BIGINT) AS fid, CAST(7 * fid + 3 AS BIGINT) AS meta FROM (SELECT vec_id, arg_min(fid, d2) AS fid, min(d2, 2) AS two FROM {_solid_sql(which)} GROUP BY vec_id) WHERE sqrt(two[2]) - sqrt(two[1]) > 1e-6"
+
+
+def _ranked_sql(which: str, k: int) -> str:
+    return f"SELECT vec_id, CAST(k AS INTEGER) AS rank, round(sqrt(d2), 6) + 0e0 AS d FROM (SELECT vec_id, d2, row_number() OVER (PARTITION BY vec_id ORDER BY d2, fid) AS k FROM {_solid_sql(which)}) WHERE k <= {k}"
+
+
+register("mesh_sdf", lambda s, d: _d(mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca"))), _signed_sql("dodeca"))
+register("mesh_sdf_tetra", lambda s, d: _d(mesh.distance(_asked(s, d), _mesh_triangles(s, "tetra"), build="cluster_sah")), _signed_sql("tetra"))
+register("mesh_sdf_scan", lambda s, d: _d(mesh.distance(_asked(s, d), _mesh_triangles(s, "tetra"), pruned=False)), _signed_sql("tetra"))
+register("closest_triangle", lambda s, d: _sure(mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca"), 2), "tid"), _sure_sql("dodeca"))
+register("closest_triangle_distances", lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca"), 4).select(F.col("qid").alias("vec_id"), "rank", r6(F.abs("d")).alias("d")), _ranked_sql("dodeca", 4))
+register("mesh_polygon_sdf", lambda s, d: _d(mesh.polygon_distance(_asked(s, d), _polygons(s, "pentagons"))), _signed_sql("pentagons"))
+register("mesh_closest_face", lambda s, d: _sure(mesh.polygon_distance(_asked(s, d), _polygons(s, "pentagons"), 2), "fid"), _sure_sql("pentagons"))
+register("mesh_closest_faces", lambda s, d: mesh.polygon_distance(_asked(s, d), _polygons(s, "pentagons"), 5).select(F.col("qid").alias("vec_id"), "rank", r6(F.abs("d")).alias("d")), _ranked_sql("pentagons", 5))
+register("mesh_polygon_scan", lambda s, d: _d(mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "pentagons"))), _signed_sql("pentagons"))
+register("mesh_polygon_scan_squared", lambda s, d: _d(mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "dodeca"), signed=False)), f"SELECT vec_id, round(min(d2), 6) + 0e0 AS d FROM {_solid_sql('dodeca')} GROUP BY vec_id")
+register("mesh_paint", lambda s, d: _d(mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca")).where(F.abs("d") <= 0.25)), f"SELECT * FROM ({_signed_sql('dodeca')}) WHERE abs(d) <= 0.25")
+register("mesh_flip", lambda s, d: _d(mesh.distance(_asked(s, d), mesh.flip(_mesh_triangles(s, "tetra")))), f"SELECT vec_id, -d + 0e0 AS d FROM ({_signed_sql('tetra')})")
+register("mesh_file_sdf", lambda s, d: _d(mesh.distance(_asked(s, d), mesh_files.read_triangles(s, *file_queries.written(s, "binary.vtk")))), _signed_sql("dodeca"))
+register("mesh_file_polygon_sdf", lambda s, d: _d(mesh.polygon_distance(_asked(s, d), mesh_files.read_polygons(s, *file_queries.written(s, "text.obj", which="pentagons")))), _signed_sql("pentagons"))
+
+
+def city(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The boxes of ``part`` as one mesh: eight corners and six quads each."""
+    b = boxes(spark, sf_dir)
+    corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    at = [F.when(F.col("o").bitwiseAND(F.lit(1 << i)) > 0, F.col(hi)).otherwise(F.col(lo)).alias(a) for i, (a, lo, hi) in enumerate(zip("xyz", spatial.LOW, spatial.HIGH, strict=True))]
+    vertices = b.withColumn("o", corner).select(F.lit("city").alias("mesh_id"), (F.col("id") * 8 + F.col("o")).cast("int").alias("vid"), *at)
+    quads = [(0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6)]
+    rings = F.posexplode(F.array(*[F.array(*map(F.lit, q)) for q in quads])).alias("n", "ring")
+    facets = b.select("id", rings).select(F.lit("city").alias("mesh_id"), (F.col("id") * 6 + F.col("n")).cast("int").alias("fid"), F.transform("ring", lambda o: (F.col("id") * 8 + o).cast("int")).alias("vids"), F.col("id").cast("long").alias("meta"))
+    return vertices, facets
+
+
+def _over_city(spark, sf_dir):
+    return _asked(spark, sf_dir).select("qid", (F.col("x") * 10.0 + 48.0).alias("x"), (F.col("y") * 10.0 + 44.0).alias("y"), (F.col("z") * 2.0 + 4.0).alias("z"))
+
+
+register("mesh_city", lambda s, d: mesh.polygon_distance(_over_city(s, d), mesh.polygons(*city(s, d))).select(F.col("qid").alias("vec_id"), r6(F.abs("d")).alias("d")), f"SELECT vec_id, round(min(abs(d)), 6) + 0e0 AS d FROM {_CITY} GROUP BY vec_id")
+register("mesh_city_triangles", lambda s, d: mesh.distance(_over_city(s, d), _city_triangles(s, d)).select(F.col("qid").alias("vec_id"), r6(F.abs("d")).alias("d")), ORACLE["mesh_city"])
+register("mesh_city_sanity", lambda s, d: mesh.sanity(*city(s, d)).select(*_COUNTS, "watertight"), "SELECT 6 * n AS faces, 0 AS small_facets, 0 AS degenerate_faces, 8 * n AS vertices, 0 AS unused_vertices, 24 * n AS edges, 0 AS degenerate_edges, 0 AS border_edges, 0 AS repeated_edges, TRUE AS watertight FROM (SELECT count(*) AS n FROM part)")
+
+
+def _city_triangles(spark, sf_dir):
+    vertices, facets = city(spark, sf_dir)
+    return mesh.triangles(vertices, mesh.triangulate(facets))
 
 
-register("mesh_sdf", lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca")).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), f"SELECT vec_id, round(arg_min(d, abs(d)), 6) + 0e0 AS d FROM {_nearest_sql('dodeca')} GROUP BY vec_id")
-register(
-    "mesh_sdf_tetra",
-    lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "tetra"), build="cluster_sah").select(F.col("qid").alias("vec_id"), r6("d").alias("d")),
-    f"SELECT vec_id, round(arg_min(d, abs(d)), 6) + 0e0 AS d FROM {_nearest_sql('tetra')} GROUP BY vec_id",
-)
-register(
-    "closest_triangle_distances",
-    lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca"), 4).select(F.col("qid").alias("vec_id"), "rank", r6(F.abs("d")).alias("d")),
-    f"SELECT vec_id, CAST(k AS INTEGER) AS rank, round(abs(d), 6) + 0e0 AS d FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY abs(d), tid) AS k FROM {_nearest_sql('dodeca')}) WHERE k <= 4",
-)
-register("mesh_sdf_scan", lambda s, d: mesh.scan_distance(_asked(s, d), _mesh_triangles(s, "tetra")).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _ORACLE["mesh_sdf_tetra"])
-register("mesh_polygon_scan", lambda s, d: mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "tetra")).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _ORACLE["mesh_sdf_tetra"])
-register(
-    "mesh_polygon_scan_squared",
-    lambda s, d: mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "dodeca"), signed=False).select(F.col("qid").alias("vec_id"), r6("d").alias("d")),
-    f"SELECT vec_id, round(min(d * d), 6) + 0e0 AS d FROM {_nearest_sql('dodeca')} GROUP BY vec_id",
-)
-register("mesh_paint", lambda s, d: mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca")).where(F.abs("d") <= 0.25).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), f"SELECT * FROM ({_ORACLE['mesh_sdf']}) WHERE abs(d) <= 0.25")
 register(
     "mesh_extent",
     lambda s, d: spatial.box_of_points(_soup(s, "dodeca")[0]).select(*[r6(c).alias(c) for c in (*spatial.LOW, *spatial.HIGH)]),
@@ -506,8 +698,8 @@ for _name in ("winding", "crossing", "angle"):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(ORACLE)

@@ -66,6 +66,8 @@ def parse_stl(content: bytes) -> dict:
 def parse_ply(content: bytes) -> dict:
     """ASCII, little and big endian; other scalar properties become named vertex and face values."""
     head_end = re.search(rb"end_header\r?\n", content)
+    if not head_end:
+        raise ValueError("a PLY header without its end")
     lines = content[: head_end.start()].decode("ascii", "replace").splitlines()
     fmt, elements = "ascii", []
     for line in lines:
@@ -210,13 +212,32 @@ _SCHEMA = (
 )
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row (mesh_id, points, facets) a file; mesh_id is its path."""
+def types(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, type, encoding) of each file, by its name and its first bytes."""
+
+    @F.arrow_udf("struct<type: string, encoding: string>")
+    def kind(names: pa.Array, heads: pa.Array) -> pa.Array:
+        return pa.array([{"type": file_type(n), "encoding": file_encoding(n, h)} for n, h in zip(names.to_pylist(), heads.to_pylist(), strict=True)], pa.struct([("type", pa.string()), ("encoding", pa.string())]))
+
+    files = spark.read.format("binaryFile").load(list(paths))
+    return files.select("path", kind("path", F.substring("content", 1, 4096)).alias("k")).select("path", "k.type", "k.encoding")
+
+
+def read(spark: SparkSession, *paths: str, malformed: str = "error") -> DataFrame:
+    """One row (mesh_id, points, facets) a file; mesh_id is its path.  A file that can't be parsed is an error that names it
+    or, with ``malformed="skip"``, gives no row."""
+    if malformed not in ("error", "skip"):
+        raise ValueError("malformed must be error or skip")
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = parse(name, content.as_py())
+                try:
+                    s = parse(name, content.as_py())
+                except (ValueError, IndexError, KeyError, StopIteration, TypeError, AttributeError) as e:
+                    if malformed == "skip":
+                        continue
+                    raise ValueError(f"{name}: not a readable mesh file: {e!r}") from e
                 props = lambda table, i: [(k, v[i]) for k, v in table.items() if i < len(v)]
                 points = [{"x": p[0], "y": p[1], "z": p[2], "props": props(s["vertex_props"], i)} for i, p in enumerate(s["points"].tolist())]
                 facets = [{"vids": f, "meta": a, "props": props(s["face_props"], i)} for i, (f, a) in enumerate(zip(s["facets"], s["metas"], strict=True))]
@@ -256,5 +277,17 @@ def read_soup(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_triangles(spark: SparkSession, *paths: str) -> DataFrame:
-    """The triangles of the files with their pseudonormals, ready for distances."""
+    """The triangles of the files with their pseudonormals, ready for ``mesh.distance``."""
     return mesh.triangles(*read_soup(spark, *paths))
+
+
+def read_polygons(spark: SparkSession, *paths: str) -> DataFrame:
+    """The facets of the files, whatever their corners, ready for ``mesh.polygon_distance``."""
+    return mesh.polygons(*read_soup(spark, *paths))
+
+
+def read_half_edges(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices with normals, faces with normals, centres and areas, and half-edges with their pairs and normals."""
+    vertices_of, facets_of = read_soup(spark, *paths)
+    face_rows = mesh.faces(vertices_of, facets_of)
+    return mesh.vertex_normals(vertices_of, facets_of, face_rows), face_rows, mesh.edge_normals(mesh.half_edges(facets_of), face_rows)
