@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from feldspar.operators.spatial import numbered
 
-from .common import BROADCAST_BYTES, broadcast_if_small, cut, give_back, small_batches
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, give_back, release, small_batches
 
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
@@ -360,14 +360,17 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("doc_id", "tag", F.col("seeds")[F.col("i")].alias("seed"), F.shiftright("at", _COUNT).alias("start"), (F.col("at").bitwiseAND(F.lit(_COUNT_MAX)) + (length - 1)).alias("size"), "body")
         .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
     )
-    fetched = cut(fetched)
-    # A run that is the same in many documents is looked at once.
-    runs = fetched.groupBy("seed", "bytes").agg(F.min("doc_id").alias("doc_id")).repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
+    release(tagged)
+    fetched = cut(fetched.withColumn("key", F.xxhash64("bytes")))
+    # A run that is the same in many documents is looked at once; the seed's 48 bits and the key's 64 tell runs apart.
+    runs = fetched.groupBy("seed", "key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bytes").alias("bytes"))
+    runs = runs.repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
     places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
-    windows = runs.select("seed", "bytes", "doc_id", F.expr(places).alias("i", "window"))
-    ranked = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window")))
-    limits = cut(ranked.groupBy("seed", "bytes").agg(F.collect_list(F.struct("i", "first")).alias("limits")).withColumnsRenamed({"seed": "_seed", "bytes": "_bytes"}))
-    met = fetched.join(limits, (F.col("seed") == F.col("_seed")) & (F.col("bytes") == F.col("_bytes")))
+    windows = runs.select("seed", "key", "doc_id", "last", F.expr(places).alias("i", "window"))
+    ranked = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window"))).where("first < last")
+    limits = cut(ranked.groupBy("seed", "key").agg(F.collect_list(F.struct("i", "first")).alias("limits")).withColumnsRenamed({"seed": "_seed", "key": "_key"}))
+    release(tagged)
+    met = fetched.select("seed", "key", "doc_id", "tag", "start").join(limits, (F.col("seed") == F.col("_seed")) & (F.col("key") == F.col("_key")))
     beyond = F.filter("limits", lambda x: x["first"] < F.col("doc_id"))
     spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + length).alias("until")))
     late = met.select("doc_id", "tag", spans.alias("spans")).where(F.size("spans") > 0)
