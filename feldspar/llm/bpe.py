@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-The pieces of a whole batch (after normalising and splitting) are laid out in one array of symbols.  An index maps each
-pair's rank to all its positions in the batch; a heap holds the active ranks.  The lowest active rank is applied at
+A partition's texts are read some million characters at a time; of each such part the distinct pieces (after normalising
+and splitting) that the partition hasn't met before are laid out in one array of symbols.  An index maps each pair's
+rank to all its positions there; a heap holds the active ranks.  The lowest active rank is applied at
 all its positions, and only the lists of the pairs at their borders are updated.  If a merge makes a pair of a still
 lower rank, the rest of that piece waits until the lower rank has been applied, so that each piece sees the merges in
 the order the reference library applies them: by rank, then from left to right.
@@ -222,7 +223,8 @@ def encode(docs: DataFrame, vocabulary: str, batch_chars: int = 1 << 20) -> Data
     """(doc_id, ids array<int>, decoded string) for each row; a null text counts as empty and has no ids.
 
     ``vocabulary`` names the file by its name in the installed package ``public_tokenizers`` or by a path that every
-    executor can read.  Rows that share a doc_id are encoded each on their own.
+    executor can read.  Rows that share a doc_id are encoded each on their own; texts of any length are encoded whole, some
+    million characters at a time between texts; other columns are ignored.
     """
 
     def run(batches):

@@ -112,7 +112,8 @@ def format_conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
     ``nodes`` has conv_id, node (unique in its conversation), parent, role, text and score; other columns are ignored.
     Null roles and texts are empty, null scores 0, null conv_ids one conversation.  Texts move once, to their
-    conversation, where the chosen nodes meet them.
+    conversation, where the chosen nodes meet them.  A conversation is one row of the result, so its texts, of whatever
+    length, must fit in a task together.
     """
     nodes = nodes.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)))
     chosen = chosen_paths(nodes, keep).groupBy("conv_id").agg(F.collect_list(F.struct("node", "branch", "place")).alias("chosen"))
@@ -144,7 +145,8 @@ def format_conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The digest columns of formatted conversations, read back from the output and its loss mask."""
+    """The digest columns of formatted conversations, read back from the output and its loss mask; one row for each of
+    ``formatted``, repeated or not, whose columns are never null."""
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,8 @@
 
 Each five-word shingle is hashed once; its high bits choose one of ``BINS`` bins, and each bin keeps the least of its
 hashes.  Empty bins are filled by optimal densification: every empty bin draws bins from a random sequence of its own
-until it meets one that isn't empty, and copies its value.  ``BITS`` bits of each bin are packed into the fingerprint.  Two fingerprints agree in a bin by chance with probability C = 2^-BITS, so their likeness is the share
+until it meets one that isn't empty, and copies its value.  The low-order ``BITS`` bits of each bin's value, hashed once
+more with the bin's number, are packed into the fingerprint.  Two fingerprints agree in a bin by chance with probability C = 2^-BITS, so their likeness is the share
 P of equal bins corrected for that bias, (P - C) / (1 - C), and 0 at least: an estimate of the Jaccard similarity of
 the shingle sets, with a standard error of about 0.02.
 """
@@ -60,6 +61,13 @@ def densify(bins: np.ndarray) -> np.ndarray:
     return out
 
 
+def low_bits(filled: np.ndarray) -> np.ndarray:
+    """The low-order bits of each bin's value mixed with its number."""
+    mixed = (filled + _BIN) * _MIX
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+
+
 def signatures(texts: list[str | None], block: int = 1 << 16, full: bool = False):
     """Packed fingerprints, one row of BINS * BITS / 8 bytes a text; all zero for a text without words.  With ``full``
     the filled bins besides."""
@@ -78,7 +86,7 @@ def signatures(texts: list[str | None], block: int = 1 << 16, full: bool = False
         filled = densify(bins)
         if full:
             whole[at : at + len(part)] = filled
-        low = ((filled + _BIN) * _MIX >> np.uint64(64 - BITS)).astype(np.uint8)
+        low = low_bits(filled)
         low[none] = 0
         packed[at : at + len(part)] = low[:, 0::2] << 4 | low[:, 1::2]
     return (whole, packed) if full else packed
@@ -95,7 +103,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint binary) for each row of ``docs``; a null text has no words."""
+    """(doc_id, fingerprint binary) for each row of ``docs``; a null text has no words, texts without words have the zero
+    fingerprint, and equal texts equal ones.  A text of any length is read whole, its shingles in blocks."""
 
     def run(batches):
         for batch in batches:
@@ -140,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     placed = rows.withColumn("rank", rank).withColumn("part", part_of("rank")).withColumn("also", also("rank"))
     places = F.array_compact(F.array(F.struct("part", F.lit(False).alias("ahead")), F.when(F.col("also") >= 0, F.struct(F.col("also").alias("part"), F.lit(True).alias("ahead")))))
     sent = placed.select("rank", "doc_id", "text", F.explode(places).alias("p")).select("p.part", "p.ahead", "rank", "doc_id", "text")
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc("rank"), F.col("doc_id").desc_nulls_last(), "text")
+    return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("rank"), F.col("doc_id").desc_nulls_last(), "text")
 
 
 def compare_edited(docs: DataFrame, chunk_chars: int = 4 << 20) -> DataFrame:
@@ -149,7 +158,8 @@ def compare_edited(docs: DataFrame, chunk_chars: int = 4 << 20) -> DataFrame:
 
     The edited text has the last third of the text (rounded down, in code points) replaced by as many first code
     points of the next document in descending doc_id (the first document follows the last).  Null texts are empty;
-    ties and null ids are ordered as ``with_next`` says; a single row is its own next.
+    ties and null ids are ordered as ``with_next`` says; a single row is its own next.  Texts of any length are read whole;
+    other columns are ignored.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from helpers import AWKWARD, PASSAGE, documents
 
 from feldspar.llm import decontaminate as d
@@ -39,12 +41,22 @@ def test_matches_brute_force(spark):
     assert all(r.n_items == len(r.item_ids) for r in found)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(PASSAGE.split()[i : i + 10])) for i in range(9)], "item_id long, text string")
-    docs = documents(spark, AWKWARD)
-    whole = sorted(map(str, d.decontaminate(docs, items).collect()))
-    monkeypatch.setattr(d, "BLOCK", 3)
-    assert sorted(map(str, d.decontaminate(docs, items).collect())) == whole
+@pytest.mark.parametrize("limit", [0, 900])
+def test_windows_that_are_not_broadcast(spark, monkeypatch, limit):
+    """Neither the windows nor their words fit, or only the words do."""
+    rnd = random.Random(3)
+    vocabulary = [c + str(i) for i in range(3) for c in ("a", "B", "é")]
+    items = [(i, " ".join(PASSAGE.split()[i : i + 10])) for i in range(9)] + [(20 + i, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 14)))) for i in range(20)]
+    texts = [*AWKWARD, *(" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 80))) for _ in range(60))]
+    monkeypatch.setattr(d, "LIMIT", limit)
+    found = d.decontaminate(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in found) == brute(list(enumerate(texts)), items)
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    text = "word " * 150_000 + PASSAGE + " word" * 150_000
+    (row,) = d.decontaminate(documents(spark, [text]), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")).collect()
+    assert (row.n_words, row.n_hit, row.n_items) == (300_000 + len(PASSAGE.split()), len(PASSAGE.split()), 1)
 
 
 def test_empty_tables(spark):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from helpers import AWKWARD, documents
 
 from feldspar.llm import minhash
@@ -46,6 +47,46 @@ def test_densification_fills_alike():
     assert (filled[2] == bins[2]).all() and (filled[3] == minhash._EMPTY).all()
 
 
+def plain(text):
+    """The fingerprint's low bits, bin by bin, with nothing of the module but its constants."""
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return [0] * minhash.BINS
+    grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    least = {}
+    for g in grams:
+        h = xxhash.xxh3_64_intdigest(g)
+        least[h >> 55] = min(h, least.get(h >> 55, h))
+    out = []
+    for i in range(minhash.BINS):
+        draws = sorted(range(minhash.BINS), key=lambda j: xxhash.xxh64_intdigest(f"{i}:{j}", 7))
+        value = least[i] if i in least else least[next(j for j in draws if j in least)]
+        mixed = (value + i * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64
+        out.append((mixed ^ mixed >> 32) & 15)
+    return out
+
+
+def test_fingerprints_equal_a_plain_form():
+    rnd = random.Random(2)
+    texts = [None, "", "one", "A b\tC é 漢字 ß", "x " * 3000, " ".join(rnd.choices(["ab", "CD", "é"], k=40)), " ".join(str(rnd.randrange(10**6)) for _ in range(4000))]
+    for text, packed in zip(texts, minhash.signatures(texts), strict=True):
+        assert [b for byte in packed.tolist() for b in (byte >> 4, byte & 15)] == plain(text)
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    long = " ".join(map(str, range(400_000)))
+    rows = minhash.compare_edited(documents(spark, [long, long[: len(long) // 2], "x"], [3, 2, 1])).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[3].n_chars == len(long) and 0.3 < by[3].near_next < 0.7 and by[3].near_edited > 0.4
+    assert bytes(by[3].fingerprint) == minhash.signatures([long], block=1 << 10)[0].tobytes()
+
+
+def test_parts_fill_their_partitions(spark):
+    spread = minhash.with_next(documents(spark, [str(i) for i in range(4000)])).groupBy(minhash.F.spark_partition_id().alias("p")).count().collect()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(spread) == n and max(r["count"] for r in spread) < 2 * 4000 / n
+
+
 def check_edited(spark, texts, ids, **options):
     found = minhash.compare_edited(documents(spark, texts, ids), **options).collect()
     rows = sorted(zip(ids, texts, strict=True), key=lambda r: (-(2**63) if r[0] is None else r[0], ), reverse=True)
