@@ -147,7 +147,8 @@ def word_vectors(texts: list[str], least: int = 2, window: int = 2) -> tuple[dic
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> tuple[tuple[np.ndarray, ...], float]:
-    """Weights of the network and its temperature; every fifth row is kept aside for the latter."""
+    """Weights of the network and its temperature; every fifth row is kept aside for the latter, and for an offset that the
+    output bias takes, as a temperature alone would draw uneven labels' probabilities to a half."""
     rng = np.random.default_rng(seed)
     aside = np.arange(len(x)) % _KEPT_ASIDE == _KEPT_ASIDE - 1
     center, scale = x[~aside].mean(0), x[~aside].std(0) + 1e-3
@@ -155,12 +156,9 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> tuple[tuple[np.ndarray
     a, t = x[~aside], y[~aside]
     first, second = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
     z0 = (a - center) / scale
-    # Both labels weigh the same in training; the threshold of 0.5 then parts them evenly.
-    share = np.clip(t.mean(), 1e-3, 1 - 1e-3)
-    weight = np.where(t > 0.5, 0.5 / share, 0.5 / (1 - share))
     for step in range(1, _STEPS + 1):
         h, z = forward(a, (center, scale, *w))
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t) * weight / len(t)
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t) / len(t)
         back = np.outer(d, w[2]) * (1 - h * h)
         grads = [z0.T @ back + 1e-4 * w[0], back.sum(0), h.T @ d + 1e-4 * w[2], np.array([d.sum()])]
         for i, g in enumerate(grads):
@@ -171,9 +169,15 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> tuple[tuple[np.ndarray
     if not aside.any():
         return weights, 1.0
     z, t = forward(x[aside], weights)[1], y[aside]
-    choices = np.exp(np.linspace(np.log(0.25), np.log(16), 121))
-    loss = [np.mean(np.logaddexp(0, -np.clip((2 * t - 1) * z / c, -50, 50))) for c in choices]
-    return weights, float(choices[int(np.argmin(loss))])
+    choices, offset = np.exp(np.linspace(np.log(0.25), np.log(16), 121)), 0.0
+    for _ in range(4):
+        loss = [np.mean(np.logaddexp(0, -np.clip((2 * t - 1) * (z / c + offset), -50, 50))) for c in choices]
+        temperature = float(choices[int(np.argmin(loss))])
+        for _ in range(20):  # the offset that gives the rows' mean probability their share of labels
+            p = 1 / (1 + np.exp(-np.clip(z / temperature + offset, -50, 50)))
+            offset = float(np.clip(offset + (np.sum(t - p) - 0.1 * offset) / (np.sum(p * (1 - p)) + 0.1), -3, 3))
+    w[3] = w[3] + offset * temperature
+    return (center, scale, *w), temperature
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model:
@@ -192,7 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row of ``docs``, scored on its whole text alone; null texts count as empty."""
+    """(doc_id, score) for each row of ``docs``, scored on its whole text alone, of whatever length; null texts count as
+    empty, rows are scored each on their own, repeated or not, and other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

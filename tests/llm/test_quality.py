@@ -3,7 +3,7 @@ import random
 import numpy as np
 from helpers import AWKWARD, documents
 
-from feldspar.llm import common, quality
+from feldspar.llm import common, quality, queries
 
 
 def rows(n=500, seed=2):
@@ -44,6 +44,30 @@ def test_temperature_calibrates():
     weights, t = quality.train(x, y)
     p = 1 / (1 + np.exp(-quality.forward(x, weights)[1] / t))
     assert np.mean((p > 0.5) == (y > 0.5)) > 0.65 and 0.25 < t <= 16
+    y = (rng.random(2000) < 0.9 / (1 + np.exp(-3 * x[:, 0] - 3))).astype(float)  # uneven labels
+    weights, t = quality.train(x, y)
+    p = 1 / (1 + np.exp(-quality.forward(x, weights)[1] / t))
+    assert abs(p.mean() - y.mean()) < 0.03
+    for lo, hi in ((0.2, 0.6), (0.6, 0.8), (0.8, 1.0)):
+        own = (p >= lo) & (p < hi)
+        assert own.sum() < 50 or abs(p[own].mean() - y[own].mean()) < 0.15
+
+
+def test_held_out_rows_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op7_quality(spark, sf).join(common.read(spark, sf, "labels"), "doc_id").where("held_out and quality is not null").collect()
+    assert len(rows) > 100 and np.mean([r.predicted == r.quality for r in rows]) >= 0.95
+    assert abs(np.mean([r.score for r in rows]) - np.mean([r.quality for r in rows])) < 0.05
+
+
+def test_a_very_long_text_is_read_whole():
+    texts = [t for _, t, _ in rows(60)]
+    index, v = quality.word_vectors(texts)
+    words = " ".join(texts).split()
+    long = quality.pool(" ".join(words * 40), index, v, {})
+    assert np.allclose(long[: quality.SIZE], quality.pool(" ".join(words), index, v, {})[: quality.SIZE], atol=1e-3)
+    other = quality.pool(" ".join(words * 40 + ["%%%%"] * 20_000), index, v, {})
+    assert not np.allclose(long[: quality.SIZE], other[: quality.SIZE], atol=1e-3)
 
 
 def test_vectors_follow_use():

@@ -4,7 +4,7 @@ import time
 import pytest
 from helpers import AWKWARD, documents
 
-from feldspar.llm import common, toxicity
+from feldspar.llm import common, queries, toxicity
 
 
 def labelled(spark, n=600, seed=3):
@@ -148,3 +148,11 @@ def test_stems_take_in_no_more_than_they_were_learnt_from():
     found = [("path", False, 100, 50.0), ("pathe", False, 100, 60.0), ("pathetic", True, 98, 60.0), ("vequ", False, 100, 50.0), ("vequa", False, 40, 50.0), ("bad", True, 9, 30.0)]
     stems = toxicity.choose_stems(found)
     assert set(stems) == {"pathetic", "vequ", "bad"} and stems["pathetic"][1] and not stems["vequ"][1]
+
+
+def test_held_out_rows_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op8_toxicity(spark, sf).join(common.read(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null").collect()
+    right = [r.predicted == r.toxic for r in rows]
+    assert len(rows) > 100 and sum(right) >= 0.95 * len(right)
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.7 * sum(r.toxic for r in rows)
