@@ -16,10 +16,10 @@ Consecutive windows with one representative, the seed, form a run.  The rounds,
    bytes, and removes the windows that have a smaller document.
 
 Rounds 1 and 2 share one exchange (the pairs of a seed lie in the seed's partition); a seed of very many rows is read
-on without holding them, and its runs go to round 3 unless a smaller document has them whole.  Round 3 ranks the
-windows of the distinct runs that are left, each of which stands for all places it occurs at.  Runs that repeat within
-one Arrow batch are resolved there, so a passage that stands in a third of all documents sends one row a batch,
-not one a document.
+on without holding them, and its runs go to round 3 unless a smaller document has them whole.  Round 3 has an exchange
+of the runs that are left, not of their windows; only the runs of a crowded seed are dealt out window by window, which
+are counted before they move.  Runs that repeat within one Arrow batch are resolved there, so a passage that stands
+in a third of all documents sends one row a batch, not one a document.
 
 ``double`` is the plain form, for any position: Spark sorts (rank, rank at the offset) pairs at offsets 1, 2, 4, ...,
 reranks them, and drops positions whose rank only one document has.  It finds the same bytes; what it moves at each
@@ -51,6 +51,8 @@ _HIGH = 16
 
 #: Rows of one seed held in memory; what goes beyond is read on.
 HELD = 1 << 20
+#: Runs of one seed from which round 3 deals its windows out one by one instead of keeping the seed together.
+CROWD = 1_000
 #: Round 3 has this many times the session's shuffle partitions, as each run becomes some twenty windows after the exchange.
 WINDOW_PARTS = 4
 
@@ -260,21 +262,19 @@ def _rank(rows: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     return tuple(x[keep] for x in (seed, doc, tag, _start(at), _until(at, length), out))
 
 
-def _read_on(rows: list[np.ndarray], state: tuple[int, int, int] | None, length: int):
-    """What ``_rank`` gives, for some of a seed's rows, sorted by run and document, without a look at the others: runs
-    that a smaller document has are out, all others are kept; and the state to go on with."""
+def _read_on(rows: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """What ``_rank`` gives, for some of a seed's rows without a look at the others: a run is out if these rows have it in a
+    smaller document, and kept for round 3 otherwise."""
     seed, run, doc, tag, at = rows
-    seed, run = seed >> _HIGH, run >> _HIGH
+    order = np.argsort(run >> _HIGH, kind="stable")
+    seed, run, doc, tag, at = (x[order] for x in (seed >> _HIGH, run >> _HIGH, doc, tag, at))
     first = _firsts(run)
-    least = doc[first]
-    if state and state[1] == run[0]:
-        least[0] = state[2]
-    out = doc > _each(least, first, len(doc))
-    return (seed, doc, tag, _start(at), _until(at, length), out), (int(seed[-1]), int(run[-1]), int(least[-1]))
+    out = doc > _each(np.minimum.reduceat(doc, first), first, len(doc))
+    return seed, doc, tag, _start(at), _until(at, length), out
 
 
 def _ranked(rows: DataFrame, length: int) -> DataFrame:
-    """Rounds 1 and 2 over rows sorted by seed, run and document within partitions."""
+    """Rounds 1 and 2 over rows sorted by seed and run within partitions."""
     names = ["seed", "doc_id", "tag", "start", "until", "out"]
 
     def emit(columns):
@@ -285,7 +285,7 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
 
     def rank(batches):
         carried: list[list[np.ndarray]] = []
-        giant = None  # (seed, run, its least document) where rows of one seed are read on
+        giant = None  # the seed whose rows are read on
         for batch in batches:
             done = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -295,11 +295,10 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
             columns = [c[~done] for c in columns]
             if not len(columns[0]):
                 continue
-            if giant:
-                upto = np.searchsorted(columns[0] >> _HIGH, giant[0], "right")
+            if giant is not None:
+                upto = np.searchsorted(columns[0] >> _HIGH, giant, "right")
                 if upto:
-                    kept, giant = _read_on([c[:upto] for c in columns], giant, length)
-                    yield emit(kept)
+                    yield emit(_read_on([c[:upto] for c in columns], length))
                 columns = [c[upto:] for c in columns]
                 if not len(columns[0]):
                     continue
@@ -315,9 +314,8 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
                 mixed = np.searchsorted(whole[0] >> _HIGH, whole[0][-1] >> _HIGH)
                 if mixed:
                     yield emit(_rank([c[:mixed] for c in whole], length))
-                kept, giant = _read_on([c[mixed:] for c in whole], None, length)
-                yield emit(kept)
-                carried = []
+                yield emit(_read_on([c[mixed:] for c in whole], length))
+                carried, giant = [], whole[0][-1] >> _HIGH
         if carried:
             yield emit(_rank(join(carried), length))
         give_back()
@@ -342,7 +340,7 @@ def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, spans array<struct<start,until>>): the byte ranges to be removed, merged."""
     sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
-    sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions(F.shiftright("seed", _HIGH), F.shiftright("run", _HIGH), "doc_id")
+    sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions("seed", "run")
     # One row a document: the spans removed so far, and the runs that go on to round 3 with their seeds.
     by_doc = cut(
         _ranked(sorted_rows, length)
@@ -361,19 +359,20 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("doc_id", "tag", "seed", "start", F.expr("substring(body, cast(start + 1 as int), cast(size as int))").alias("bytes"))
     )
     release(tagged)
-    fetched = cut(fetched.withColumn("key", F.xxhash64("bytes")))
-    # A run that is the same in many documents is looked at once; the seed's 48 bits and the key's 64 tell runs apart.
-    runs = fetched.groupBy("seed", "key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bytes").alias("bytes"))
-    runs = runs.repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
-    places = f"posexplode(transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length})))"
-    windows = runs.select("seed", "key", "doc_id", "last", F.expr(places).alias("i", "window"))
-    ranked = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window"))).where("first < last")
-    limits = cut(ranked.groupBy("seed", "key").agg(F.collect_list(F.struct("i", "first")).alias("limits")).withColumnsRenamed({"seed": "_seed", "key": "_key"}))
-    release(tagged)
-    met = fetched.select("seed", "key", "doc_id", "tag", "start").join(limits, (F.col("seed") == F.col("_seed")) & (F.col("key") == F.col("_key")))
-    beyond = F.filter("limits", lambda x: x["first"] < F.col("doc_id"))
-    spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + length).alias("until")))
-    late = met.select("doc_id", "tag", spans.alias("spans")).where(F.size("spans") > 0)
+    places = f"transform(sequence(1, length(bytes) - {length - 1}), i -> struct(cast(start + i - 1 as long) as start, substring(bytes, i, {length}) as window))"
+    crowded = cut(by_doc.select(F.explode("open.seed").alias("_seed")).groupBy("_seed").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("_seed"))
+    if not crowded.isEmpty():
+        fetched = cut(fetched)
+    known = broadcast_if_small(crowded, 24)
+    calm = fetched.join(known, F.col("seed") == F.col("_seed"), "left_anti").repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
+    windows = calm.select("seed", "doc_id", "tag", F.explode(F.expr(places)).alias("p")).select("seed", "doc_id", "tag", "p.start", "p.window")
+    late = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window"))).where("doc_id > first").select("doc_id", "tag", "start")
+    if not crowded.isEmpty():
+        # A window that very many runs hold is counted before the shuffle, and its rows are joined back.
+        windows = fetched.join(known, F.col("seed") == F.col("_seed"), "left_semi").select("doc_id", "tag", F.explode(F.expr(places)).alias("p")).select("doc_id", "tag", "p.start", "p.window")
+        first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        late = late.union(windows.join(first, "window").where("doc_id > first").select("doc_id", "tag", "start"))
+    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("until"))).alias("spans"))
     early = by_doc.where(F.size("spans") > 0).select("doc_id", "tag", "spans")
 
     def merged(batches):
