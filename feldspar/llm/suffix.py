@@ -51,8 +51,8 @@ _HIGH = 16
 
 #: Rows of one seed held in memory; what goes beyond is read on.
 HELD = 1 << 20
-#: Runs of one seed from which round 3 deals its windows out one by one instead of keeping the seed together.
-CROWD = 1_000
+#: A seed is crowded if it has more than this many times the runs that a partition of round 3 has on average.
+CROWD = 1.0
 #: Round 3 has this many times the session's shuffle partitions, as each run becomes some twenty windows after the exchange.
 WINDOW_PARTS = 4
 
@@ -360,11 +360,13 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     release(tagged)
     places = f"transform(sequence(1, length(bytes) - {length - 1}), i -> struct(cast(start + i - 1 as long) as start, substring(bytes, i, {length}) as window))"
-    crowded = cut(by_doc.select(F.explode("open.seed").alias("_seed")).groupBy("_seed").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("_seed"))
+    parts = WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = CROWD * (by_doc.agg(F.sum(F.size("open"))).first()[0] or 0) / parts
+    crowded = cut(by_doc.select(F.explode("open.seed").alias("_seed")).groupBy("_seed").agg(F.count("*").alias("n")).where(F.col("n") > share).select("_seed"))
     if not crowded.isEmpty():
         fetched = cut(fetched)
     known = broadcast_if_small(crowded, 24)
-    calm = fetched.join(known, F.col("seed") == F.col("_seed"), "left_anti").repartition(WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
+    calm = fetched.join(known, F.col("seed") == F.col("_seed"), "left_anti").repartition(parts, "seed")
     windows = calm.select("seed", "doc_id", "tag", F.explode(F.expr(places)).alias("p")).select("seed", "doc_id", "tag", "p.start", "p.window")
     late = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window"))).where("doc_id > first").select("doc_id", "tag", "start")
     if not crowded.isEmpty():
