@@ -110,20 +110,23 @@ BUILDS = (*PARTITIONERS, *CURVES, "cluster_sah")
 class Bvh:
     """Nodes in depth-first order: box, first child and end of subtree, and for leaves a range of ``ids``."""
 
-    def __init__(self, lo: np.ndarray, hi: np.ndarray, build: str = "sah", leaf: int = LEAF, branches: int = BRANCHES):
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, build: str = "sah", leaf: int | Callable[[np.ndarray], bool] = LEAF, branches: int = BRANCHES):
+        """``leaf`` is the most primitives of a leaf, or a predicate that tells of a node's primitives whether it is one."""
         if build not in BUILDS:
             raise ValueError(f"build must be one of {BUILDS}")
+        ends = leaf if callable(leaf) else lambda own, most=leaf: len(own) <= most
+        leaf = LEAF if callable(leaf) else leaf
         lo, hi = np.asarray(lo, float), np.asarray(hi, float)
         self.children: list[list[int]] = []
         self.ranges: list[tuple[int, int]] = []
         ids: list[np.ndarray] = []
         self._n = 0
 
-        def grow(own: np.ndarray, split: Callable, stop: int, unpack: Callable) -> int:
+        def grow(own: np.ndarray, split: Callable, stop: Callable[[np.ndarray], bool], unpack: Callable) -> int:
             node = len(self.children)
             self.children.append([])
             self.ranges.append((0, 0))
-            if len(own) <= stop:
+            if len(own) <= 1 or stop(own):
                 found = unpack(own)
                 ids.append(found)
                 self.ranges[node] = (self._n, self._n + len(found))
@@ -137,16 +140,16 @@ class Bvh:
             pass
         elif build in CURVES:
             order = every[np.lexsort((every, curve_codes(lo, hi, build)))]
-            grow(order, lambda own: equal_counts(own, branches), leaf, lambda own: own)
+            grow(order, lambda own: equal_counts(own, branches), ends, lambda own: own)
         elif build == "cluster_sah":
             order = every[np.lexsort((every, curve_codes(lo, hi, "morton")))]
             groups = [order[i : i + CLUSTER] for i in range(0, len(order), CLUSTER)]
             glo, ghi = np.array([lo[g].min(0) for g in groups]), np.array([hi[g].max(0) for g in groups])
             split = PARTITIONERS["sah"]
-            grow(np.arange(len(groups)), lambda own: split(own, glo, ghi, branches), max(1, leaf // CLUSTER), lambda own: np.concatenate([groups[g] for g in own]))
+            grow(np.arange(len(groups)), lambda own: split(own, glo, ghi, branches), lambda own: len(own) <= max(1, leaf // CLUSTER), lambda own: np.concatenate([groups[g] for g in own]))
         else:
             split = PARTITIONERS[build]
-            grow(every, lambda own: split(own, lo, hi, branches), leaf, lambda own: own)
+            grow(every, lambda own: split(own, lo, hi, branches), ends, lambda own: own)
         self.ids = np.concatenate(ids) if ids else np.empty(0, int)
         self.refit(lo, hi)
 
@@ -165,6 +168,36 @@ class Bvh:
         d = np.maximum(np.maximum(self.lo[node] - points, points - self.hi[node]), 0)
         return np.einsum("ij,ij->i", d, d)
 
+    def is_leaf(self, node: int) -> bool:
+        return not self.children[node]
+
+    def primitives(self, node: int) -> np.ndarray:
+        """The primitives of a leaf."""
+        a, b = self.ranges[node]
+        return self.ids[a:b]
+
+    def box(self, node: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        return self.lo[node], self.hi[node]
+
+    def packed(self, convert: Callable[[np.ndarray], object]) -> list:
+        """What ``convert`` makes of each leaf's primitives, by node (None for inner nodes): leaves in another form, such as
+        their coordinates side by side."""
+        return [convert(self.primitives(n)) if self.is_leaf(n) else None for n in range(len(self.children))]
+
+    def traverse(self, evaluate: Callable[[int, np.ndarray], None], enter: Callable[[int, object], bool], key: Callable[[int], object], order: Callable[[list[tuple[int, object]]], list[tuple[int, object]]] = list) -> None:
+        """A walk by the caller's rules: ``key(node)`` is made once for each node that is met, ``enter(node, key)`` tells
+        whether to go on into it when its turn comes, ``order`` sorts the (child, key) pairs of a node, and
+        ``evaluate(node, primitives)`` is called for the leaves that are entered."""
+        stack = [(0, key(0))] if self.children else []
+        while stack:
+            node, own = stack.pop()
+            if not enter(node, own):
+                continue
+            if self.is_leaf(node):
+                evaluate(node, self.primitives(node))
+            else:
+                stack += reversed(order([(c, key(c)) for c in self.children[node]]))
+
     def visit(self, points: np.ndarray, bound2: Callable[[np.ndarray], np.ndarray], leaf: Callable[[np.ndarray, np.ndarray], None]) -> None:
         """Calls ``leaf(rows of points, primitive ids)`` for each leaf that lies within the rows' current squared bound;
         near children come first, and ``leaf`` may lower the bounds."""

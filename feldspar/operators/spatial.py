@@ -140,23 +140,34 @@ def sphere_area(r, pi: float = np.pi):
     return 4.0 * pi * r * r
 
 
+#: Levels of the grids that boxes of different sizes lie on.
+LEVELS = 30
+
+
 def overlap_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes (id, lox..hiz) whose insides meet: (left_id, right_id).
 
-    Both sides are spread over the grid cells that they touch and meet by an equi-join on the cell, so no pair of far
-    boxes is ever made; a pair that meets in several cells is kept only in the cell of its overlap's lower corner.
+    Grids of cells of ``cell``, twice, four times that and so on hold the boxes, each on the first whose cells are at
+    least as wide as itself, so that it touches eight cells at most, however large it is.  Two boxes meet by an
+    equi-join on the coarser one's grid, to which the finer one is carried up; only levels that hold boxes count.  A
+    pair that meets in several cells is kept only in the cell of its overlap's lower corner.
     """
+    extent = F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in zip(LOW, HIGH, strict=True)])
+    own = F.greatest(F.least(F.ceil(F.log2(extent / cell)), F.lit(LEVELS)), F.lit(0)).cast("int")
+    own = F.coalesce(F.when(extent > 0, own), F.lit(0))
+    used = sorted({r[0] for side in (left, right) for r in side.select(own.alias("l")).distinct().collect()})
 
     def spread(boxes: DataFrame, side: str) -> DataFrame:
-        cells = [F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)) for lo, hi in zip(LOW, HIGH, strict=True)]
-        out = boxes.select("id", *LOW, *HIGH)
-        for axis, c in zip("ijk", cells, strict=True):
-            out = out.withColumn(axis, F.explode(c))
-        return out.select(*"ijk", *[F.col(c).alias(f"{side}_{c}") for c in ("id", *LOW, *HIGH)])
+        levels = F.filter(F.array(*map(F.lit, used)), lambda x: x >= F.col("own")) if used else F.array().cast("array<int>")
+        out = boxes.select("id", *LOW, *HIGH, own.alias("own")).withColumn("level", F.explode(levels)).withColumn("_w", cell * F.pow(F.lit(2.0), F.col("level")))
+        for axis, lo, hi in zip("ijk", LOW, HIGH, strict=True):
+            out = out.withColumn(axis, F.explode(F.sequence(F.floor(F.col(lo) / F.col("_w")), F.floor(F.col(hi) / F.col("_w")))))
+        return out.select("level", *"ijk", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "own", *LOW, *HIGH)])
 
-    pairs = spread(left, "a").join(spread(right, "b"), list("ijk"))
+    pairs = spread(left, "a").join(spread(right, "b"), ["level", *"ijk"]).where(F.greatest("a_own", "b_own") == F.col("level"))
     a, b = ((tuple(F.col(f"{s}_{c}") for c in LOW), tuple(F.col(f"{s}_{c}") for c in HIGH)) for s in "ab")
-    corner = [F.floor(F.greatest(p, q) / cell) == F.col(c) for p, q, c in zip(a[0], b[0], "ijk", strict=True)]
+    width = cell * F.pow(F.lit(2.0), F.col("level"))
+    corner = [F.floor(F.greatest(p, q) / width) == F.col(c) for p, q, c in zip(a[0], b[0], "ijk", strict=True)]
     return pairs.where(boxes_intersect(a, b) & corner[0] & corner[1] & corner[2]).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"))
 
 
@@ -282,22 +293,28 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 # Octrees.
 
 
-def octree(spark, low, high, depth: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Breadth-first: cells (level, lox..hiz) from one root; at each level ``keep`` marks the cells to split (column
-    ``flag``); returns the flagged cells of the last level."""
-    cells = spark.createDataFrame([(0, *map(float, low), *map(float, high))], "level int, lox double, loy double, loz double, hix double, hiy double, hiz double")
-    cells = keep(cells).where("flag").drop("flag")
+def octree(spark, low, high, depth: int, keep: Callable[[DataFrame], DataFrame], meta: tuple[str, ...] = (), children: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Cells (level, path, lox..hiz, meta) of an octree from one root; at each level ``keep`` marks the cells to split
+    (column ``flag``), and may set the columns named in ``meta``, which children inherit; returns the flagged cells of the
+    last level.
+
+    ``path`` is the array of octants from the root, so that ordering by it visits cells depth first, and by (level, path)
+    breadth first.  ``children`` gives an octant's place among its siblings in that order (its number by default).
+    """
+    cells = spark.createDataFrame([(0, [], *map(float, low), *map(float, high))], "level int, path array<int>, lox double, loy double, loz double, hix double, hiy double, hiz double")
+    cells = keep(cells).where("flag").select("level", "path", *LOW, *HIGH, *meta)
     for level in range(depth):
         corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
         split = cells.withColumn("o", corner)
-        out = [F.lit(level + 1).alias("level")]
+        place = F.col("o") if children is None else children(F.col("o"))
+        out = [F.lit(level + 1).alias("level"), F.concat("path", F.array(place.cast("int"))).alias("path")]
         for i, (lo, hi) in enumerate(zip(LOW, HIGH, strict=True)):
             mid, upper = 0.5 * (F.col(lo) + F.col(hi)), F.shiftright("o", i).bitwiseAND(F.lit(1)) == 1
             out += [F.when(upper, mid).otherwise(F.col(lo)).alias(lo), F.when(upper, F.col(hi)).otherwise(mid).alias(hi)]
-        cells = keep(split.select(*out)).where("flag").drop("flag")
+        cells = keep(split.select(*out, *meta)).where("flag").select("level", "path", *LOW, *HIGH, *meta)
         if level % 4 == 3:
             cells = cut(cells)
-    return cells.select("level", *LOW, *HIGH)
+    return cells
 
 
 def surface_cells(spark, field: Field, low, high, depth: int, safety: float = 0.0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feldspar.functions import fields as f
 from feldspar.functions import vectors as v
 from feldspar.operators import cloud, mesh, scene, spatial
+from feldspar.operators.bvh import BUILDS
 from feldspar.sources import mesh_files
 
 from . import file_queries, fixtures  # noqa: F401
@@ -269,6 +270,9 @@ def _smooth_sql(order: str, sign: str) -> str:
 
 
 register("scene_union", lambda s, d: scene.union(_asked(s, d), _scene(s, d)).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), f"SELECT vec_id, round(min(d), 6) + 0e0 AS d FROM {_ALL} GROUP BY vec_id")
+for _build in BUILDS:
+    register(f"scene_union_{_build}", lambda s, d, build=_build: scene.union(_asked(s, d), _scene(s, d), build=build).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), ORACLE["scene_union"])
+register("scene_union_scan", lambda s, d: scene.union(_asked(s, d), _scene(s, d), pruned=False).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), ORACLE["scene_union"])
 register("scene_smooth_union", lambda s, d: scene.smooth_union(_asked(s, d), _scene(s, d), 0.4).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _smooth_sql("ASC", "-"))
 register("scene_intersection", lambda s, d: scene.intersection(_asked(s, d), _scene(s, d)).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), f"SELECT vec_id, round(max(d), 6) + 0e0 AS d FROM {_ALL} GROUP BY vec_id")
 register("scene_smooth_intersection", lambda s, d: scene.smooth_intersection(_asked(s, d), _scene(s, d), 0.4).select(F.col("qid").alias("vec_id"), r6("d").alias("d")), _smooth_sql("DESC", "+"))
@@ -454,6 +458,29 @@ register(
       WHERE abs(sqrt(power((lox+hix)/2, 2) + power((loy+hiy)/2, 2) + power((loz+hiz)/2, 2)) - 1e0) <= 0.5e0 * sqrt(power(hix-lox, 2) + power(hiy-loy, 2) + power(hiz-loz, 2)))
     SELECT min(lox) AS lox, min(loy) AS loy, min(loz) AS loz, max(hix) AS hix, max(hiy) AS hiy, max(hiz) AS hiz FROM cells WHERE level = 5""",
 )
+
+
+def _surface(spark, sf_dir):
+    cells = spatial.surface_cells(spark, f.Sphere((0.1, 0.0, 0.0), 1.0), (-2.0, -2.0, -2.0), (2.0, 2.0, 2.0), 4)
+    return cells.select(F.array_join("path", "").alias("path"), "level", *[r6(c).alias(c) for c in (*spatial.LOW, *spatial.HIGH)])
+
+
+register(
+    "octree_cells",
+    _surface,
+    """WITH RECURSIVE cells AS (
+      SELECT '' AS path, 0 AS level, -2e0 AS lox, -2e0 AS loy, -2e0 AS loz, 4e0 AS w
+      UNION ALL
+      SELECT * FROM (SELECT path || CAST(o AS VARCHAR), level + 1, lox + (o & 1) * w / 2, loy + ((o >> 1) & 1) * w / 2, loz + (o >> 2) * w / 2, w / 2 AS w FROM cells, (SELECT CAST(range AS INTEGER) AS o FROM range(8)) WHERE level < 4) t(path, level, lox, loy, loz, w)
+      WHERE abs(sqrt(power(lox + w/2 - 0.1e0, 2) + power(loy + w/2, 2) + power(loz + w/2, 2)) - 1e0) <= w / 2 * sqrt(3e0))
+    SELECT path, level, round(lox, 6) + 0e0 AS lox, round(loy, 6) + 0e0 AS loy, round(loz, 6) + 0e0 AS loz, round(lox + w, 6) + 0e0 AS hix, round(loy + w, 6) + 0e0 AS hiy, round(loz + w, 6) + 0e0 AS hiz FROM cells WHERE level = 4""",
+)
+_GRID_SQL = "(SELECT range AS qid, -2e0 + (range % 128 + 0.5e0) / 32e0 AS x, -2e0 + ((range // 128) % 128 + 0.5e0) / 32e0 AS y, -2e0 + (range // 16384 + 0.5e0) / 32e0 AS z FROM range(2097152))"
+register(
+    "boundary_cells",
+    lambda s, d: f.Union((f.Torus(major=1.0, minor=0.4), f.Box((-0.3, -0.3, -1.2), (0.3, 0.3, 1.2)))).evaluate(scene.grid(s, (-2.0, -2.0, -2.0), (2.0, 2.0, 2.0), 128)).where(F.abs("d") <= 1.0 / 64.0).select("qid", r6("d").alias("d")),
+    f"SELECT qid, round(d, 6) + 0e0 AS d FROM (SELECT qid, least(sqrt(power(sqrt(x*x + y*y) - 1e0, 2) + z*z) - 0.4e0, least(greatest(abs(x) - 0.3e0, abs(y) - 0.3e0, abs(z) - 1.2e0), 0e0) + sqrt(power(greatest(abs(x) - 0.3e0, 0e0), 2) + power(greatest(abs(y) - 0.3e0, 0e0), 2) + power(greatest(abs(z) - 1.2e0, 0e0), 2))) AS d FROM {_GRID_SQL}) WHERE abs(d) <= 1e0 / 64e0",
+)
 register(
     "grid_field",
     lambda s, d: f.Torus(major=1.0, minor=0.4).evaluate(scene.grid(s, (-2.0, -2.0, -2.0), (2.0, 2.0, 2.0), 32)).select("qid", r6("d").alias("d")),
@@ -493,7 +520,7 @@ def _facets_sql(which: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + f") t(fid, {', '.join(f'c{s}{c}' for s in 'abc' for c in 'xyz')}))"
 
 
-def _solid_sql(which: str) -> str:
+def _solid_sql(which: str, points: str = POINTS_SQL) -> str:
     """(vec_id, fid, d2, outside): a point's squared distance to each facet of a convex solid, by barycentric coordinates,
     and how far it lies outside the facet's plane."""
     minus = lambda p, q: [f"({a} - {b})" for a, b in zip(p, q, strict=True)]
@@ -506,7 +533,7 @@ def _solid_sql(which: str) -> str:
 
     e, g, v = minus(b, a), minus(c, a), minus(p, a)
     n = [f"({e[i]}*{g[j]} - {e[j]}*{g[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
-    inner = f"SELECT *, {dot(e, e)} AS ee, {dot(e, g)} AS eg, {dot(g, g)} AS gg, {dot(v, e)} AS ve, {dot(v, g)} AS vg, {dot(v, n)} / sqrt({dot(n, n)}) AS plane, least({segment(a, b)}, {segment(b, c)}, {segment(c, a)}) AS edge FROM {POINTS_SQL} CROSS JOIN {_facets_sql(which)}"
+    inner = f"SELECT *, {dot(e, e)} AS ee, {dot(e, g)} AS eg, {dot(g, g)} AS gg, {dot(v, e)} AS ve, {dot(v, g)} AS vg, {dot(v, n)} / sqrt({dot(n, n)}) AS plane, least({segment(a, b)}, {segment(b, c)}, {segment(c, a)}) AS edge FROM {points} CROSS JOIN {_facets_sql(which)}"
     over = "gg*ve - eg*vg >= 0 AND ee*vg - eg*ve >= 0 AND gg*ve - eg*vg + ee*vg - eg*ve <= ee*gg - eg*eg"
     return f"(SELECT vec_id, fid, min(CASE WHEN {over} THEN plane*plane ELSE edge END) AS d2, max(plane) AS outside FROM ({inner}) GROUP BY vec_id, fid)"
 
@@ -611,8 +638,8 @@ def _polygons(s: SparkSession, which: str) -> DataFrame:
     return mesh.polygons(*_soup(s, which))
 
 
-def _signed_sql(which: str) -> str:
-    return f"SELECT vec_id, round(CASE WHEN max(outside) < 0 THEN -1e0 ELSE 1e0 END * sqrt(min(d2)), 6) + 0e0 AS d FROM {_solid_sql(which)} GROUP BY vec_id"
+def _signed_sql(which: str, points: str = POINTS_SQL) -> str:
+    return f"SELECT vec_id, round(CASE WHEN max(outside) < 0 THEN -1e0 ELSE 1e0 END * sqrt(min(d2)), 6) + 0e0 AS d FROM {_solid_sql(which, points)} GROUP BY vec_id"
 
 
 def _d(found: DataFrame) -> DataFrame:
@@ -644,6 +671,16 @@ register("mesh_closest_faces", lambda s, d: mesh.polygon_distance(_asked(s, d),
 register("mesh_polygon_scan", lambda s, d: _d(mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "pentagons"))), _signed_sql("pentagons"))
 register("mesh_polygon_scan_squared", lambda s, d: _d(mesh.polygon_scan_distance(_asked(s, d), *_soup(s, "dodeca"), signed=False)), f"SELECT vec_id, round(min(d2), 6) + 0e0 AS d FROM {_solid_sql('dodeca')} GROUP BY vec_id")
 register("mesh_paint", lambda s, d: _d(mesh.distance(_asked(s, d), _mesh_triangles(s, "dodeca")).where(F.abs("d") <= 0.25)), f"SELECT * FROM ({_signed_sql('dodeca')}) WHERE abs(d) <= 0.25")
+_COARSE_SQL = "(SELECT range AS vec_id, -2e0 + (range % 32 + 0.5e0) / 8e0 AS x, -2e0 + ((range // 32) % 32 + 0.5e0) / 8e0 AS y, -2e0 + (range // 1024 + 0.5e0) / 8e0 AS z FROM range(32768))"
+
+
+def _painted(spark, sf_dir):
+    cells = scene.grid(spark, (-2.0, -2.0, -2.0), (2.0, 2.0, 2.0), 32)
+    near = mesh.polygon_distance(cells, _polygons(spark, "pentagons")).select("qid", "d", F.col("fid").alias("prim_id"))
+    return scene.paint(cells, near, 0.0625).select(F.col("qid").alias("vec_id"), r6("d").alias("d"))
+
+
+register("painted_cells", _painted, f"SELECT * FROM ({_signed_sql('pentagons', _COARSE_SQL)}) WHERE abs(d) <= 0.0625e0")
 register("mesh_flip", lambda s, d: _d(mesh.distance(_asked(s, d), mesh.flip(_mesh_triangles(s, "tetra")))), f"SELECT vec_id, -d + 0e0 AS d FROM ({_signed_sql('tetra')})")
 register("mesh_file_sdf", lambda s, d: _d(mesh.distance(_asked(s, d), mesh_files.read_triangles(s, *file_queries.written(s, "binary.vtk")))), _signed_sql("dodeca"))
 register("mesh_file_polygon_sdf", lambda s, d: _d(mesh.polygon_distance(_asked(s, d), mesh_files.read_polygons(s, *file_queries.written(s, "text.obj", which="pentagons")))), _signed_sql("pentagons"))

@@ -235,3 +235,23 @@ def test_two_meshes_with_the_same_ids(spark):
     polys = mesh.polygons(a[0].union(b[0]), a[1].union(b[1]))
     found = mesh.polygon_distance(points(spark, [(-1, 0.5, 0.5), (7, 0.5, 0.5)]), polys).orderBy("qid").collect()
     assert [(r.mesh_id, r.d) for r in found] == [("a", pytest.approx(1.0)), ("b", pytest.approx(1.0))]
+
+
+def test_every_defect_is_counted(spark):
+    v = spark.createDataFrame([("m", i, *map(float, p)) for i, p in enumerate(V)] + [("m", 4, None, 0.0, 0.0), ("m", 5, 9.0, 9.0, 9.0)], "mesh_id string, vid int, x double, y double, z double")
+    bad = [[*f] for f in T] + [[0, 1], None, [1, 2, 1], [0, 1, 99], [0, None, 2], [0, 0, 1], [4, 1, 2]]
+    f = spark.createDataFrame([("m", i, ids, 0) for i, ids in enumerate(bad)], "mesh_id string, fid int, vids array<int>, meta long")
+    r = mesh.sanity(v, f).first()
+    assert (r.null_faces, r.small_facets, r.degenerate_faces) == (1, 1, 2)
+    assert (r.null_edges, r.edges_without_next, r.edges_without_vertex, r.edges_without_face) == (1, 1, 1, 0)
+    assert (r.degenerate_edges, r.bad_vertices, r.unused_vertices, r.watertight) == (1, 1, 1, False)
+
+
+def test_malformed_files(spark, tmp_path):
+    (tmp_path / "good.obj").write_bytes(obj(V, T).encode())
+    for name, content in (("a.ply", b"ply\nformat ascii 1.0\nelement vertex 3"), ("b.vtk", b"# vtk"), ("c.ply", b"ply\nformat ascii 1.0\nelement vertex 3\nproperty double x\nend_header\n1"), ("d.obj", b"v 1 x 2\n")):
+        (tmp_path / name).write_bytes(content)
+    assert files.read(spark, str(tmp_path), malformed="skip").count() == 1
+    with pytest.raises(Exception, match="not a readable mesh file"):
+        files.read(spark, str(tmp_path)).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.type, r.encoding) for r in files.types(spark, str(tmp_path)).collect()} >= {("good.obj", "OBJ", "ASCII"), ("a.ply", "PLY", "ASCII")}

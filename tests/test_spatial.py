@@ -153,6 +153,63 @@ def test_overlap_join_equals_brute_force(spark):
     assert rows(spatial.overlap_join(boxes, boxes, 1.7)) == expected
 
 
+def test_overlap_join_of_boxes_of_all_sizes(spark):
+    """Sizes from nothing to a million cells: each box touches few cells of its own grid."""
+    lo = RNG.random((150, 3)) * 1000 - 500
+    hi = lo + 10.0 ** RNG.uniform(-3, 6, (150, 1)) * RNG.random((150, 3))
+    hi[:5] = lo[:5]
+    boxes = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(lo, hi, strict=True))], "id long, lox double, loy double, loz double, hix double, hiy double, hiz double")
+    expected = sorted((i, j) for i in range(150) for j in range(150) if (lo[i] < hi[j]).all() and (lo[j] < hi[i]).all())
+    assert rows(spatial.overlap_join(boxes, boxes, 1.0)) == expected
+    assert spatial.overlap_join(boxes.where("false"), boxes, 1.0).collect() == []
+
+
+def test_octree_orders_and_inherited_columns(spark):
+    def keep(cells):
+        return cells.withColumn("flag", F.col("lox") + F.col("loy") < 1.0).withColumn("born", F.coalesce("born", F.col("level"))) if "born" in cells.columns else cells.withColumn("flag", F.lit(True)).withColumn("born", F.lit(0))
+
+    cells = spatial.octree(spark, (0.0,) * 3, (2.0,) * 3, 3, keep, meta=("born",))
+    found = [(r.path, r.lox, r.loy, r.loz) for r in cells.orderBy("path").collect()]
+    assert {r.born for r in cells.collect()} == {0} and all(len(p) == 3 for p, *_ in found)
+
+    def walk(path, low, size):  # depth first
+        if sum(low[:2]) >= 1.0 and path:
+            return
+        if len(path) == 3:
+            yield (path, *low)
+            return
+        for o in range(8):
+            yield from walk([*path, o], tuple(c + size / 2 * (o >> i & 1) for i, c in enumerate(low)), size / 2)
+
+    assert found == list(walk([], (0.0, 0.0, 0.0), 2.0))
+    turned = spatial.octree(spark, (0.0,) * 3, (2.0,) * 3, 1, lambda c: c.withColumn("flag", F.lit(True)), children=lambda o: 7 - o).orderBy("path").collect()
+    assert [(r.path, r.lox) for r in turned][0] == ([0], 1.0) and len(turned) == 8
+
+
+def test_hierarchies_by_the_caller_s_rules():
+    lo = RNG.random((200, 3))
+    hi = lo + 0.05
+    for build in bvh.BUILDS:
+        tree = bvh.Bvh(lo, hi, build, leaf=lambda own: len(own) < 5)
+        leaves = [n for n in range(len(tree.children)) if tree.is_leaf(n)]
+        assert sorted(np.concatenate([tree.primitives(n) for n in leaves]).tolist()) == list(range(200))
+        assert build == "cluster_sah" or max(len(tree.primitives(n)) for n in leaves) < 5
+        assert (tree.box()[0] == lo.min(0)).all() and (tree.box()[1] == hi.max(0)).all()
+        packed = tree.packed(lambda own: lo[own].sum(0))
+        assert np.allclose(sum(p for p in packed if p is not None), lo.sum(0)) and all((p is None) != tree.is_leaf(n) for n, p in enumerate(packed))
+        p, best, seen = np.array([0.3, 0.6, 0.2]), [np.inf, -1], []
+
+        def evaluate(node, own):
+            seen.append(node)
+            d = np.linalg.norm(np.maximum(np.maximum(lo[own] - p, p - hi[own]), 0), axis=1)
+            if d.min() < best[0]:
+                best[:] = [d.min(), own[d.argmin()]]
+
+        tree.traverse(evaluate, lambda node, d: d < best[0], lambda node: tree.distance2(node, p[None])[0] ** 0.5, lambda pairs: sorted(pairs, key=lambda c: c[1]))
+        every = np.linalg.norm(np.maximum(np.maximum(lo - p, p - hi), 0), axis=1)
+        assert best[0] == every.min() and len(seen) < len(leaves) / 2
+
+
 def test_curves(spark):
     cells = np.concatenate([RNG.integers(0, spatial.SPAN + 1, (300, 3)), [[0, 0, 0], [spatial.SPAN] * 3]])
     assert (spatial.hilbert_cells(spatial.hilbert_codes(cells)) == cells).all()
