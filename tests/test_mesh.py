@@ -244,7 +244,7 @@ def test_every_defect_is_counted(spark):
     r = mesh.sanity(v, f).first()
     assert (r.null_faces, r.small_facets, r.degenerate_faces) == (1, 1, 2)
     assert (r.null_edges, r.edges_without_next, r.edges_without_vertex, r.edges_without_face) == (1, 1, 1, 0)
-    assert (r.degenerate_edges, r.bad_vertices, r.unused_vertices, r.watertight) == (1, 1, 1, False)
+    assert (r.degenerate_edges, r.bad_vertices, r.unused_vertices, r.watertight) == (2, 1, 1, False)
 
 
 def test_malformed_files(spark, tmp_path):
