@@ -30,6 +30,11 @@ def test_odd_texts(both):
     same(both, [t or "" for t in AWKWARD] + ODD)
 
 
+def test_a_very_long_text_is_encoded_whole(both):
+    rnd = random.Random(7)
+    same(both, [" ".join("".join(rnd.choices("abcdeé' <|", k=rnd.randint(1, 9))) for _ in range(200_000)), "x" * 300_000])
+
+
 @pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyzABCZ  \t\n\x0b\x1c\x1f\x7f'’0123456789!?#$*éÉßÿ×÷ªº²½ÀÖçsttrevmld<|>", "abéÉß'sreve !", "aabbab a"])
 def test_random_texts(both, alphabet):
     rnd = random.Random(5)

@@ -68,3 +68,14 @@ def test_chains_of_awkward_rows(spark):
     assert digests[1].n_turns == 4 and digests[None].loss_chars == 1 and digests[2].loss_chars == 0
     none = said.where("false")
     assert chat.format_conversations(chat.reply_chain(none)).collect() == []
+
+
+def test_long_conversations_and_texts(spark):
+    long = "\\### x</turn>" * 100_000
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"{i} \\###") for i in range(3_000)] + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_conversations(chat.reply_chain(said)).collect()}
+    assert chat.read_turns(found[1].formatted) == [(role, text) for conv, _, role, text in rows if conv == 1]
+    assert chat.read_turns(found[2].formatted) == [("user", long), ("assistant", long)]
+    (mask,) = found[2].loss
+    assert chat.unescape(found[2].formatted[mask.start : mask.end]) == long

@@ -1,11 +1,14 @@
 """The whole pipeline over the small tables against a plain Python version of each stage."""
 
 import itertools
+import random
 import re
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feldspar.llm import toxicity
@@ -68,15 +71,36 @@ def clean(rows, items):
     return [(d, t) for d, t in rows if not any(tuple(w[s : s + n]) in windows for w in [words(t)] for n in sizes for s in range(len(w) - n + 1))]
 
 
-def test_pipeline_equals_its_plain_form(spark):
+def crowd(n=2_000):
+    """Copies of one text with up to 9 of its 140 words changed: very many pairs lie close to the threshold."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base = rnd.choices(words, k=140)
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for i in rnd.sample(range(len(copy)), rnd.randint(0, 9)):
+            copy[i] = rnd.choice(words)
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 2_000])
+def test_pipeline_equals_its_plain_form(spark, tmp_path, copies):
+    sf = str(tmp_path)
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    group = spark.createDataFrame([(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(crowd(copies))], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.unionByName(group.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).write.parquet(f"{sf}/documents.parquet")
+    for table in ("labels", "benchmark"):
+        read(spark, SF, table).write.parquet(f"{sf}/{table}.parquet")
+    docs = read(spark, sf, "documents")
     grammar = toxicity.learn(docs, labels)
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     rows = [(d, t) for d, t in rows if grammar.score(t) < corpus_pipeline.TOXIC]
-    rows = clean(without_repeats(one_of_each(rows)), [r.text for r in read(spark, SF, "benchmark").collect()])
+    rows = clean(without_repeats(one_of_each(rows)), [r.text for r in read(spark, sf, "benchmark").collect()])
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
     encoded = library.encode_batch([t for _, t in rows], add_special_tokens=False)
     expected = {d: e.ids for (d, _), e in zip(rows, encoded, strict=True)}
-    found = corpus_pipeline.run(spark, SF).collect()
+    found = corpus_pipeline.run(spark, sf).collect()
     assert len(found) == len(expected) and {r.doc_id: list(r.ids) for r in found} == expected
     assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) for r in found)

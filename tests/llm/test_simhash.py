@@ -65,6 +65,13 @@ def test_fingerprint_by_definition():
     assert simhash.fingerprint("É a b") != simhash.fingerprint("é a b")
 
 
+def test_a_very_long_text_is_read_whole():
+    words = [str(i % 977) for i in range(400_000)]
+    whole = simhash.fingerprint(" ".join(words))
+    assert whole == simhash.fingerprint(" ".join(words), block=1000)
+    assert whole != simhash.fingerprint(" ".join(words[:100_000] + ["other"] * 300_000))
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD + AWKWARD, [*range(9), None, 1, 1, *range(30, 36)])
     rows = [(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()]
