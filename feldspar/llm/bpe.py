@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def _is_plain(spec: dict) -> bool:
 
 
 #: Pieces kept per Python worker with their ids; a full store is emptied, so results don't depend on it.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 400_000
 
 
 class Bpe:
@@ -76,16 +77,27 @@ class Bpe:
         self.ids: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._special_ids = set(self.special.values())
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        #: (left id, right id), packed: (rank, merged id)
-        self.merges: dict[int, tuple[int, int]] = {}
+        #: (left id, right id), packed: rank
+        self.merges: dict[int, int] = {}
         self.rank_pairs: list[tuple[int, int, int]] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             a, b, ab = self.ids[left], self.ids[right], self.ids[left + right]
-            self.merges[a << 32 | b] = (rank, ab)
+            self.merges[a << 32 | b] = rank
             self.rank_pairs.append((a, b, ab))
+        # The ranks of pairs of single symbols, as a table: what an unmerged piece begins with.
+        single = sorted(i for t, i in self.ids.items() if len(t.removesuffix(self.end) if self.end else t) <= 1)
+        self._first_place = np.zeros(max(self.ids.values()) + 1, np.int32)
+        self._first_place[single] = np.arange(len(single))
+        self._first_ranks = np.full((len(single), len(single)), -1, np.int32)
+        known = set(single)
+        for pair, rank in self.merges.items():
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            if a in known and b in known:
+                self._first_ranks[self._first_place[a], self._first_place[b]] = rank
         self._plain = _is_plain(spec)
         self._chars = _byte_chars()
         #: by piece as the text has it (plain texts), and by piece in byte characters (others, marked by a leading NUL)
@@ -117,7 +129,7 @@ class Bpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Each piece's ids, by the occurrence index over all of them."""
-        ids, merges, end = self.ids, self.merges, self.end
+        ids, rank_of, end, push = self.ids, self.merges.get, self.end, heapq.heappush
         symbols: list[int] = []
         starts = [0]
         for piece in pieces:
@@ -136,10 +148,7 @@ class Bpe:
         for e in starts[1:]:
             if e:
                 after[e - 1] = -1
-        where: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (m := merges.get(symbols[i] << 32 | symbols[j])):
-                where.setdefault(m[0], []).append(i)
+        where = self._index(symbols, starts)
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -162,46 +171,65 @@ class Bpe:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if m := merges.get(merged << 32 | symbols[k]):
-                        self._note(m[0], i, where, active)
-                        if m[0] < rank:
+                    new = rank_of(merged << 32 | symbols[k])
+                    if new is not None:
+                        if new in where:
+                            where[new].append(i)
+                        else:
+                            where[new] = [i]
+                            push(active, new)
+                        if new < rank:
                             waiting.add(owner[i])
                 h = before[i]
-                if h >= 0 and (m := merges.get(symbols[h] << 32 | merged)):
-                    self._note(m[0], h, where, active)
-                    if m[0] < rank:
-                        waiting.add(owner[i])
-            for i in rest:
-                self._note(rank, i, where, active)
+                if h >= 0:
+                    new = rank_of(symbols[h] << 32 | merged)
+                    if new is not None:
+                        if new in where:
+                            where[new].append(h)
+                        else:
+                            where[new] = [h]
+                            push(active, new)
+                        if new < rank:
+                            waiting.add(owner[i])
+            if rest:  # they go on with this rank once the lower one has been applied
+                where.setdefault(rank, []).extend(rest)
+                push(active, rank)
         left_over = [[x for x in symbols[a:b] if x >= 0] for a, b in zip(starts, starts[1:])]
         return [tuple(x) for x in left_over]
 
-    @staticmethod
-    def _note(rank: int, at: int, where: dict[int, list[int]], active: list[int]) -> None:
-        if rank in where:
-            where[rank].append(at)
-        else:
-            where[rank] = [at]
-            heapq.heappush(active, rank)
+    def _index(self, symbols: list[int], starts: list[int]) -> dict[int, list[int]]:
+        """By rank, the positions of all pairs that can be merged."""
+        if len(symbols) < 2:
+            return {}
+        s = np.array(symbols, np.int64)
+        ranks = self._first_ranks[self._first_place[s[:-1]], self._first_place[s[1:]]]
+        border = np.array(starts[1:-1], np.int64)
+        ranks[border[(border > 0) & (border < len(s))] - 1] = -1  # no pair across two pieces
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        ranks = ranks[at]
+        first = np.flatnonzero(np.diff(ranks, prepend=-1))
+        if not len(first):
+            return {}
+        places = at.tolist()
+        return {r: places[a:b] for r, a, b in zip(ranks[first].tolist(), first.tolist(), [*first[1:].tolist(), len(places)], strict=True)}
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.pieces(t) for t in texts]
         known = self._known
-        new = list({p for s in split for p in s if p.__class__ is str and p not in known})
+        every = set(chain.from_iterable(split))
+        special = every & self._special_ids
+        every -= special
+        new = list(every.difference(known))
         if len(known) + len(new) > PIECES_KEPT:
             known.clear()
-            new = list({p for s in split for p in s if p.__class__ is str})
+            new = list(every)
         known.update(zip(new, self.encode_pieces([self.byte_piece(p) for p in new]), strict=True))
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for p in s:
-                if p.__class__ is str:
-                    ids += known[p]
-                else:
-                    ids.append(p)
-            out.append(ids)
-        return out
+        ids_of = known.__getitem__
+        if special:
+            own = {p: (p,) for p in special}
+            ids_of = lambda p: own[p] if p.__class__ is int else known[p]
+        return [list(chain.from_iterable(map(ids_of, s))) for s in split]
 
     def forget(self) -> None:
         """Drops the store and gives its memory back to the system."""
