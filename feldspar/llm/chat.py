@@ -64,7 +64,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def reply_chain(messages: DataFrame) -> DataFrame:
     """(conv_id, node, parent, role, text, score) of rows (conv_id, turn, role, text) in which each turn replies to the
     one before it: by turn, null turns first, then role, then the text's hash.  Null roles and texts count as empty;
-    rows without a conv_id are one conversation, whose id is null."""
+    rows without a conv_id are one conversation, whose id is null.  A conversation is ordered in one task."""
     rows = messages.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("_hash", F.xxhash64("text"))

@@ -181,8 +181,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> tuple[tuple[np.ndarray
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model:
-    """A model of at most ``bound`` labelled rows outside the evaluation fold, fitted on the driver.  Without labels of
-    both kinds it scores every text 0.5."""
+    """A model of at most ``bound`` labelled rows outside the evaluation fold, whose whole texts it is fitted on, on the
+    driver.  Without labels of both kinds it scores every text 0.5."""
     rows = training_rows(docs, labels, "quality", bound).select("doc_id", "text", "label").toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first", kind="stable")
     texts, y = [t or "" for t in rows["text"]], (rows["label"].to_numpy() > 0).astype(float)
