@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -302,29 +303,33 @@ class _Polygons:
         self.normal = blocks.coordinates(table, ("nx", "ny", "nz"))
         edges = table.column("edges").combine_chunks()
         flat = edges.flatten() if len(edges) else None
-        self.begin = np.concatenate(([0], np.cumsum([len(e) for e in edges]))).astype(int)
+        self.begin = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(edges).to_numpy(zero_copy_only=False)))).astype(int)
         self.edge = {s: np.stack([flat.field(s + c).to_numpy() for c in "xyz"], axis=1) if flat is not None else np.empty((0, 3)) for s in ("a", "b", "an", "bn", "e")}
         self.tree = Bvh(blocks.coordinates(table, LOW), blocks.coordinates(table, HIGH), build if len(table) else "centroid")
 
     def distances(self, at: np.ndarray, prims: np.ndarray) -> np.ndarray:
         """(points, facets): over a face the plane's distance, else that of the nearest edge (ties: the first)."""
         out = np.empty((len(at), len(prims)))
-        p = tuple(at[:, None, i] for i in range(3))
-        for j, f in enumerate(prims.tolist()):
-            own = slice(self.begin[f], self.begin[f + 1])
-            e = {s: tuple(v[own][None, :, i] for i in range(3)) for s, v in self.edge.items()}
+        sizes = self.begin[prims + 1] - self.begin[prims]
+        p = tuple(at[:, None, None, i] for i in range(3))
+        for size in np.unique(sizes).tolist():  # facets of as many edges go together
+            own = np.flatnonzero(sizes == size)
+            f = prims[own]
+            places = self.begin[f][:, None] + np.arange(size)
+            e = {s: tuple(v[places, i][None] for i in range(3)) for s, v in self.edge.items()}
             edge = edge_distance(p, e["a"], e["b"], e["e"], e["an"], e["bn"])
             n = self.normal[f]
-            plane = (at - self.edge["a"][own][0]) @ n
-            drop = int(np.argmax(np.abs(n)))
-            u, v = [i for i in range(3) if i != drop]
-            foot = at - plane[:, None] * n
-            fu, fv = foot[:, u, None], foot[:, v, None]
-            left = (e["b"][u] - e["a"][u]) * (fv - e["a"][v]) - (fu - e["a"][u]) * (e["b"][v] - e["a"][v])
-            up, down = (e["a"][v] <= fv) & (e["b"][v] > fv), (e["a"][v] > fv) & (e["b"][v] <= fv)
-            over = ((up & (left > 0)) | (down & (left < 0))).sum(1) % 2 == 1
-            nearest = np.abs(edge).argmin(1)
-            out[:, j] = np.where(over, plane, edge[np.arange(len(at)), nearest])
+            plane = np.einsum("mfi,fi->mf", at[:, None, :] - self.edge["a"][self.begin[f]][None], n)
+            foot = at[:, None, :] - plane[:, :, None] * n
+            drop = np.abs(n).argmax(1)
+            u, v, every = np.where(drop == 0, 1, 0), np.where(drop == 2, 1, 2), np.arange(len(f))
+            fu, fv = foot[:, every, u][:, :, None], foot[:, every, v][:, :, None]
+            au, av, bu, bv = (self.edge[s][places, axis[:, None]][None] for s in "ab" for axis in (u, v))
+            left = (bu - au) * (fv - av) - (fu - au) * (bv - av)
+            up, down = (av <= fv) & (bv > fv), (av > fv) & (bv <= fv)
+            over = ((up & (left > 0)) | (down & (left < 0))).sum(2) % 2 == 1
+            nearest = np.take_along_axis(edge, np.abs(edge).argmin(2)[:, :, None], 2)[:, :, 0]
+            out[:, own] = np.where(over, plane, nearest)
         return out
 
 
@@ -370,7 +375,8 @@ def _nearest(points: DataFrame, rows: DataFrame, name: str, kind, k: int, build:
 
     asked = blocks.known(points).select("qid", *[F.col(a).cast("double").alias(a) for a in "xyz"])
     schema = f"qid {dict(asked.dtypes)['qid']}, rank int, d double, mesh_id string, {name} long, meta long"
-    found, whole = blocks.search(asked, rows, key, index, look, schema, k, block=BLOCK, pruned=pruned)
+    # What a facet needs comes from several joins, which the search would go through again and again.
+    found, whole = blocks.search(asked, cut(rows), key, index, look, schema, k, block=BLOCK, pruned=pruned)
     if whole:
         return found
     w = Window.partitionBy("qid").orderBy(F.abs("d"), *key)
