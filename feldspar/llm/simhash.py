@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import broadcast_if_small, components, cut, give_back, release, sized, small_batches
+from .common import broadcast_hashed, components, cut, give_back, release, sized, small_batches
 from .words import shingles
 
 RADIUS = 3
@@ -111,7 +111,7 @@ def similar_fingerprints(distinct: DataFrame) -> DataFrame:
     star = met.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("fp") != F.col("p")) & _within("ring", "hub_ring"))
     found = sized(star.select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
     roots = sized(components(found))
-    grouped = met.where("n > 2").join(broadcast_if_small(roots, 32), F.col("fp") == F.col("node"), "left").select("key", "ring", "fp", F.coalesce("root", "fp").alias("root"))
+    grouped = met.where("n > 2").join(broadcast_hashed(roots, 32), F.col("fp") == F.col("node"), "left").select("key", "ring", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = sized(grouped.join(mixed, "key", "left_semi"))
     a, b = (left.select(*[F.col(c).alias(c + s) for c in left.columns]) for s in "ab")
@@ -131,10 +131,10 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     rows = cut(fingerprints(docs, size))
     least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = similar_fingerprints(least.select("fp"))
-    named = least.join(broadcast_if_small(roots, 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = least.join(broadcast_hashed(roots, 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(named.join(groups, "root").select(F.col("fp").alias("own"), "component_id"))
-    return rows.join(broadcast_if_small(named, 32), F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+    return rows.join(broadcast_hashed(named, 32), F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -190,7 +190,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["h", "s"])
         give_back()
 
-    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, 48), "h", "left_semi")
+    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_hashed(wanted, 48), "h", "left_semi")
     return small_batches(texts).mapInArrow(run, "h binary, s array<long>").groupBy("h").agg(F.first("s").alias("s"))
 
 
@@ -219,8 +219,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: floa
     def other(column: str, s: str) -> DataFrame:
         return nodes.select(F.col("h").alias(s), F.col(column).alias(column + s))
 
-    half = sized(broadcast_if_small(sized(pairs.distinct()), 64).join(other("sketch", "a"), "a"))
-    both = broadcast_if_small(half, 64 + minhash.BINS * minhash.BITS // 8).join(other("sketch", "b"), "b")
+    half = sized(broadcast_hashed(sized(pairs.distinct()), 64).join(other("sketch", "a"), "a"))
+    both = broadcast_hashed(half, 64 + minhash.BINS * minhash.BITS // 8).join(other("sketch", "b"), "b")
     judged = both.select("a", "b", estimate("sketcha", "sketchb").alias("s")).where(F.col("s") >= similarity - MARGIN)
     judged = sized(judged.select("a", "b", (F.col("s") >= similarity + MARGIN).alias("clear")))
     close = judged.where("not clear").select("a", "b")
@@ -265,7 +265,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     rows = cut(sketches(docs, size))
     nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
     rings = similar_fingerprints(nodes.select("fp").distinct())
-    ringed = nodes.select("h", "fp").join(broadcast_if_small(rings, 32), F.col("fp") == F.col("node"), "left").select("h", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
+    ringed = nodes.select("h", "fp").join(broadcast_hashed(rings, 32), F.col("fp") == F.col("node"), "left").select("h", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
     banded = nodes.select("h", F.posexplode("keys").alias("band", "key")).union(ringed)
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = sized(banded.join(shared, ["band", "key"]))
@@ -276,7 +276,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     release(docs)
     roots = sized(components(found))
 
-    grouped = met.where("n > 2").join(broadcast_if_small(roots, 64), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"))
+    grouped = met.where("n > 2").join(broadcast_hashed(roots, 64), F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"))
     mixed = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
     undecided = sized(grouped.join(mixed, ["band", "key"], "left_semi").select("h", "root").distinct())
     if not undecided.isEmpty():
@@ -285,7 +285,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             release(docs)
             roots = sized(components(found.union(more)))
     named = roots.select(F.col("node").alias("_h"), "root")
-    return rows.select("doc_id", "h").join(broadcast_if_small(named, 64), F.col("h") == F.col("_h"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
+    return rows.select("doc_id", "h").join(broadcast_hashed(named, 64), F.col("h") == F.col("_h"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("group"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -298,7 +298,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     kept = cut(counted.groupBy("group").agg(best, F.max("n").alias("n")).select(F.col("b.doc_id").alias("_id"), F.col("b.h").alias("_h"), "n"))
 
     def among(keys: DataFrame) -> DataFrame:
-        keys = broadcast_if_small(keys.select("_id", "_h"), 64)
+        keys = broadcast_hashed(keys.select("_id", "_h"), 64)
         return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h")), "left_semi")
 
     repeated = kept.where("n > 1")

@@ -25,3 +25,17 @@ def test_folds(spark):
     rows = spark.range(200).selectExpr("id", "id as doc_id").select("id", common.held_out(common.F.col("id")).alias("h")).collect()
     assert all(r.h == common.is_held_out(r.id) for r in rows) and 40 < sum(r.h for r in rows) < 100
     assert spark.sql("select cast(null as long) as i").select(common.held_out(common.F.col("i"))).first()[0] is False
+
+
+def test_the_driver_s_garbage_goes_between_steps(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(common, "release", released.append)
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    assert common.sized(spark.range(3)).count() == 3 and not released
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    assert common.sized(spark.range(3)).count() == 3 and len(released) == 1
+
+
+def test_a_broadcast_counts_what_the_driver_hashes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.broadcast_hashed(spark.range(200_000), 64)) and not hinted(common.broadcast_hashed(spark.range(1_000_000), 64))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from helpers import AWKWARD, documents
 
-from feldspar.llm import simhash
+from feldspar.llm import common, simhash
 from feldspar.llm.words import shingles
 
 
@@ -179,3 +179,16 @@ def test_one_of_each_of_awkward_rows(spark):
 def test_same_text_in_many_rows(spark):
     kept = simhash.one_of_each(documents(spark, ["some words that are the same in all rows"] * 7, [None, None, 5, 5, 6, 7, None]))
     assert [r.doc_id for r in kept.collect()] == [5]
+
+
+def test_joins_that_are_too_large_to_broadcast(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rnd.randint(1, 12))) for _ in range(60)]
+    docs = documents(spark, texts + [t + " end" for t in texts] + [None, ""])
+
+    def found():
+        return sorted(simhash.near_duplicates(docs).collect()), sorted((r.doc_id, r.text or "") for r in simhash.one_of_each(docs, 2, 0.6).collect())
+
+    expected = found()
+    monkeypatch.setattr(common, "HASHED_BYTES", -1)
+    assert found() == expected
