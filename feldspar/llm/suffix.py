@@ -12,8 +12,8 @@ Consecutive windows with one representative, the seed, form a run.  The rounds,
 2. rank pairs at offset 16: a window reaches at least 16 bytes beyond its seed on one side, so a run goes on only if
    another document shares the pair (rank at the seed, rank 16 bytes after it) or (rank 16 bytes before it, rank at
    it).  A run that stands, whole, in a smaller document is past the threshold and removed;
-3. of the runs that are left, the bytes are fetched, and Spark ranks (seed, 50 bytes) window by window, on the real
-   bytes, and removes the windows that have a smaller document.
+3. of the runs that are left, the bytes are fetched, Spark sorts them by seed, and their windows are ranked by doubling and
+   compared, on the real bytes; those that have a smaller document are removed.
 
 Rounds 1 and 2 share one exchange (the pairs of a seed lie in the seed's partition); a seed of very many rows is read
 on without holding them, and its runs go to round 3 unless a smaller document has them whole.  Round 3 has an exchange
@@ -43,9 +43,9 @@ LENGTH, SEED = 50, 16
 BLOCK = 1 << 17
 #: Bytes of text whose runs are held and resolved among themselves at once.
 PART = 2 << 20
-#: A run is sent as three longs: seed rank (48 bits) and a code of the rank before it (12), run hash (48) and a code of
-#: the rank after the seed (12), and its place: start and number of windows (7).
-_COUNT, _CODE = 7, 12
+#: A run is sent as three longs: seed rank (48 bits) and a code of the rank before it (16), run hash (48) and a code of
+#: the rank after the seed (16), and its place: start and number of windows (7).
+_COUNT, _CODE = 7, 16
 _COUNT_MAX, _CODE_MAX = (1 << _COUNT) - 1, (1 << _CODE) - 1
 _HIGH = 16
 
@@ -337,6 +337,83 @@ def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
     return keyed.join(broadcast_if_small(tags, 32), ["doc_id", "h"], "left").withColumn("tag", F.coalesce("tag", F.lit(0))).drop("h")
 
 
+def _late_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, text: pa.Array, length: int):
+    """(doc_id, tag, start, until) of the windows in whole seeds' runs that a smaller document of these has, those that follow
+    each other joined.  Windows are sorted by their hash and then compared byte by byte."""
+    bounds = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset)
+    data = np.frombuffer(text.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    at = (bounds[:-1] - bounds[0]).astype(np.int64)
+    count = np.diff(bounds) - (length - 1)
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    where = at[row] + place
+    key = ranks(data, length)[where]
+    order = np.argsort(key, kind="stable")
+    first = _firsts(key[order])
+    docs = doc[row[order]]
+    least = np.minimum.reduceat(docs, first)
+    several = _each(least < np.maximum.reduceat(docs, first), first, len(docs))
+    out = docs > _each(least, first, len(docs))
+    some, model = where[order][several], where[order][_each(first, first, len(docs))[several]]
+    if any((data[some + i] != data[model + i]).any() for i in range(length)):  # two windows of one hash
+        body, seen = data.tobytes(), {}
+        windows = [body[a : a + length] for a in where[order].tolist()]
+        for w, d in zip(windows, docs.tolist(), strict=True):
+            seen[w] = min(d, seen.get(w, d))
+        out = docs > np.array([seen[w] for w in windows])
+    late = np.zeros(len(row), bool)
+    late[order] = out
+    late = np.flatnonzero(late)
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(late) > 1) | (np.diff(row[late]) > 0)))) if len(late) else late
+    begin, end = late[new], late[np.append(new[1:], len(late)) - 1] if len(late) else late
+    own = row[begin]
+    return doc[own], tag[own], start[own] + place[begin], start[own] + place[end] + length
+
+
+def _late(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, tag, start, until): what ``_late_windows`` gives, over rows sorted by seed within partitions."""
+    names = ["doc_id", "tag", "start", "until"]
+
+    def late(batches):
+        def found(part):
+            columns = _late_windows(*(part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)), part.column(4), length)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        carried = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            carried.append(batch)
+            seed = batch.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(seed, seed[-1]))
+            if not last and (len(carried) == 1 or carried[-2].column(0)[-1].as_py() == seed[-1]):
+                continue  # one seed so far, or one that goes on
+            yield found(pa.concat_batches([*carried[:-1], batch.slice(0, last)]))
+            carried = [batch.slice(last)]
+        if carried:
+            yield found(pa.concat_batches(carried))
+        give_back()
+
+    return rows.select("seed", "doc_id", "tag", "start", "bytes").mapInArrow(late, "doc_id long, tag long, start long, until long")
+
+
+def _merged(spans: pa.Array) -> pa.Array:
+    """``merge`` of each row's lists of spans."""
+    parts = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+    row = np.repeat(row, parts.value_lengths().to_numpy(zero_copy_only=False))
+    start, until = (c.to_numpy(zero_copy_only=False) for c in parts.flatten().flatten())
+    order = np.lexsort((start, row))
+    row, start, until = row[order], start[order], until[order]
+    apart = row * (until.max(initial=0) + 2)  # spans of different rows don't touch
+    end = np.maximum.accumulate(until + apart)
+    first = np.flatnonzero(np.concatenate(([True], start[1:] + apart[1:] > end[:-1]))) if len(row) else row
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(spans))))).astype(np.int32)
+    merged = pa.StructArray.from_arrays([pa.array(start[first], pa.int64()), pa.array(end[last] - apart[last], pa.int64())], names=["start", "until"])
+    return pa.ListArray.from_arrays(pa.array(offsets), merged)
+
+
 def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, spans array<struct<start,until>>): the byte ranges to be removed, merged."""
     sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
@@ -367,21 +444,18 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
         fetched = cut(fetched)
     known = broadcast_if_small(crowded, 24)
     calm = fetched.join(known, F.col("seed") == F.col("_seed"), "left_anti").repartition(parts, "seed")
-    windows = calm.select("seed", "doc_id", "tag", F.explode(F.expr(places)).alias("p")).select("seed", "doc_id", "tag", "p.start", "p.window")
-    late = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("seed", "window"))).where("doc_id > first").select("doc_id", "tag", "start")
+    late = _late(calm.sortWithinPartitions("seed"), length)
     if not crowded.isEmpty():
         # A window that very many runs hold is counted before the shuffle, and its rows are joined back.
         windows = fetched.join(known, F.col("seed") == F.col("_seed"), "left_semi").select("doc_id", "tag", F.explode(F.expr(places)).alias("p")).select("doc_id", "tag", "p.start", "p.window")
         first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        late = late.union(windows.join(first, "window").where("doc_id > first").select("doc_id", "tag", "start"))
-    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("until"))).alias("spans"))
+        late = late.union(windows.join(first, "window").where("doc_id > first").select("doc_id", "tag", "start", (F.col("start") + length).alias("until")))
+    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "until")).alias("spans"))
     early = by_doc.where(F.size("spans") > 0).select("doc_id", "tag", "spans")
 
     def merged(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64())]))
         for batch in batches:
-            spans = [[{"start": s, "until": e} for s, e in merge([(x["start"], x["until"]) for part in row for x in part])] for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "tag", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _merged(batch.column(2))], names=["doc_id", "tag", "spans"])
 
     both = early.union(late).groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
     return both.mapInArrow(merged, "doc_id long, tag long, spans array<struct<start: long, until: long>>")

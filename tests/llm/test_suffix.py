@@ -107,3 +107,43 @@ def test_windows_share_their_seed():
     value, start, count, before, after = suffix.runs(data)
     assert count.sum() == len(data) - suffix.LENGTH + 1 and (start == np.concatenate(([0], np.cumsum(count)[:-1]))).all()
     assert ((before == 0) | (before <= suffix._CODE_MAX)).all() and (before + after > 0).any()
+
+
+def test_late_windows_and_merged_spans_without_spark(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(13)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(suffix, "ranks", lambda data, size: np.zeros(len(data) - size + 1, np.uint64))
+        runs = [(rnd.randrange(9), 100 * i, bytes(rnd.choices(b"ab", k=rnd.randint(6, 15)))) for i in range(60)]
+        first = {}
+        for d, _, b in runs:
+            for s in range(len(b) - 5):
+                first[b[s : s + 6]] = min(d, first.get(b[s : s + 6], d))
+        expected = {}
+        for d, a, b in runs:
+            expected.setdefault(d, []).extend((a + s, a + s + 6) for s in range(len(b) - 5) if first[b[s : s + 6]] < d)
+        doc, start = (np.array([r[i] for r in runs]) for i in (0, 1))
+        text = pa.array([b"skipped", *(r[2] for r in runs)], pa.binary()).slice(1)
+        found = {}
+        for d, _, a, b in zip(*(c.tolist() for c in suffix._late_windows(doc, doc, start, text, 6)), strict=True):
+            found.setdefault(d, []).append((a, b))
+        assert {d: suffix.merge(x) for d, x in found.items()} == {d: suffix.merge(x) for d, x in expected.items() if x} and found
+    kind = pa.list_(pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64())])))
+    rows = [[[(a, a + rnd.randint(1, 9)) for a in rnd.choices(range(60), k=rnd.randint(0, 5))] for _ in range(rnd.randint(0, 3))] for _ in range(40)]
+    as_arrow = pa.array([[[{"start": a, "until": b} for a, b in part] for part in row] for row in rows], kind)
+    for cut in (0, 7, 40):
+        found = [[(x["start"], x["until"]) for x in row] for row in suffix._merged(as_arrow.slice(cut)).to_pylist()]
+        assert found == [suffix.merge([x for part in row for x in part]) for row in rows[cut:]]
+
+
+def test_a_code_tells_most_of_a_common_seed_s_runs_apart():
+    """Runs of one seed go to round 3 only if another document shares a code; few do by chance."""
+    import numpy as np
+
+    n, rnd = 4000, np.random.default_rng(5)
+    rank = rnd.integers(0, 1 << 63, (4, n)).astype(np.uint64)
+    rows = [suffix._pack(np.full(n, 1 << 40, np.uint64), suffix._codes(rank[0])), suffix._pack(rank[1], suffix._codes(rank[2])), np.arange(n), np.zeros(n, np.int64), np.full(n, 5)]
+    assert len(suffix._rank(rows, suffix.LENGTH)[0]) < n // 4
