@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from feldspar.operators.spatial import numbered
 
-from .common import BROADCAST_BYTES, broadcast_if_small, cut, give_back, release, small_batches
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, cut_clear, give_back, release, small_batches
 
 LENGTH, SEED = 50, 16
 #: Bytes hashed at once, which bounds the kernel's memory; a run that a border cuts is resolved in round 3.
@@ -328,11 +328,11 @@ def _tagged(docs: DataFrame, *columns: str) -> DataFrame:
     ``docs`` come along in the struct ``_row``."""
     row = [F.struct(*columns).alias("_row")] if columns else []
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"), *row)
-    shared = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    shared = cut_clear(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if shared.isEmpty():
         return rows.withColumn("tag", F.lit(0).cast("long"))
     texts = rows.join(broadcast_if_small(shared, 16), "doc_id", "left_semi").select("doc_id", F.xxhash64("body").alias("h")).distinct()
-    tags = cut(texts.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("long").alias("tag")))
+    tags = cut_clear(texts.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("long").alias("tag")))
     keyed = rows.withColumn("h", F.xxhash64("body"))
     return keyed.join(broadcast_if_small(tags, 32), ["doc_id", "h"], "left").withColumn("tag", F.coalesce("tag", F.lit(0))).drop("h")
 
@@ -419,7 +419,7 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     sorted_rows = _scan(tagged.where("doc_id is not null").select("doc_id", "tag", "body"), length)
     sorted_rows = sorted_rows.repartition(F.shiftright("seed", _HIGH)).sortWithinPartitions("seed", "run")
     # One row a document: the spans removed so far, and the runs that go on to round 3 with their seeds.
-    by_doc = cut(
+    by_doc = cut_clear(
         _ranked(sorted_rows, length)
         .groupBy("doc_id", "tag")
         .agg(
@@ -439,9 +439,9 @@ def removed_spans(tagged: DataFrame, length: int = LENGTH) -> DataFrame:
     places = f"transform(sequence(1, length(bytes) - {length - 1}), i -> struct(cast(start + i - 1 as long) as start, substring(bytes, i, {length}) as window))"
     parts = WINDOW_PARTS * int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = CROWD * (by_doc.agg(F.sum(F.size("open"))).first()[0] or 0) / parts
-    crowded = cut(by_doc.select(F.explode("open.seed").alias("_seed")).groupBy("_seed").agg(F.count("*").alias("n")).where(F.col("n") > share).select("_seed"))
+    crowded = cut_clear(by_doc.select(F.explode("open.seed").alias("_seed")).groupBy("_seed").agg(F.count("*").alias("n")).where(F.col("n") > share).select("_seed"))
     if not crowded.isEmpty():
-        fetched = cut(fetched)
+        fetched = cut_clear(fetched)
     known = broadcast_if_small(crowded, 24)
     calm = fetched.join(known, F.col("seed") == F.col("_seed"), "left_anti").repartition(parts, "seed")
     late = _late(calm.sortWithinPartitions("seed"), length)
@@ -511,7 +511,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doc_id and text are read.
     """
     tagged = _tagged(docs).select("doc_id", "tag", "body")
-    spans = cut(removed_spans(tagged, length))
+    spans = cut_clear(removed_spans(tagged, length))
     joined = tagged.join(_by_size(spans, "spans", 16), ["doc_id", "tag"], "left").select("doc_id", "body", "spans")
 
     def keep(batches):
@@ -539,7 +539,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     there is such a column).  A character that a cut divides goes whole.  Rows of which nothing is left go; null and
     empty texts stay as they are."""
     tagged = _tagged(docs, *docs.columns)
-    spans = cut(removed_spans(tagged.select("doc_id", "tag", "body"), length))
+    spans = cut_clear(removed_spans(tagged.select("doc_id", "tag", "body"), length))
     joined = tagged.join(_by_size(spans, "spans", 16).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "spans": "_spans"}), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
 
     def kept(bodies: pa.Array, spans: pa.Array) -> pa.Array:

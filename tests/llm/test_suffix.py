@@ -1,7 +1,8 @@
 import random
+import time
 
 import pytest
-from helpers import AWKWARD, documents
+from helpers import AWKWARD, PASSAGE, documents
 
 from feldspar.llm import suffix
 
@@ -147,3 +148,29 @@ def test_a_code_tells_most_of_a_common_seed_s_runs_apart():
     rank = rnd.integers(0, 1 << 63, (4, n)).astype(np.uint64)
     rows = [suffix._pack(np.full(n, 1 << 40, np.uint64), suffix._codes(rank[0])), suffix._pack(rank[1], suffix._codes(rank[2])), np.arange(n), np.zeros(n, np.int64), np.full(n, 5)]
     assert len(suffix._rank(rows, suffix.LENGTH)[0]) < n // 4
+
+
+def test_shuffle_files_of_finished_rounds_go_though_their_plans_are_kept(spark, monkeypatch):
+    """Nothing that still refers to a round's plan keeps its exchange on disk."""
+    plans, frame = [], type(spark.range(1))
+    checkpoint = frame.checkpoint
+
+    def kept(self, *args, **options):
+        plans.append(self)
+        return checkpoint(self, *args, **options)
+
+    monkeypatch.setattr(frame, "checkpoint", kept)
+    rows = check(spark, [PASSAGE, "before " + PASSAGE, PASSAGE + " after", "another text of the same doc_id"], [1, 2, 3, 3])
+    assert sum(bool(r.removed) for r in rows) == 2
+    plans = [p._jdf.queryExecution().executedPlan() for p in plans]
+    ids = {i for p in plans if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec" for i in p.context().shuffleIds()}
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def left():
+        names = [f.rsplit("/", 1)[-1].split("_") for f in disk.getAllFiles().mkString("\n").split("\n")]
+        return {int(n[1]) for n in names if n[0] == "shuffle"} & ids
+
+    until = time.time() + 20
+    while left() and time.time() < until:
+        time.sleep(0.2)
+    assert len(ids) > 4 and not left()
