@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import broadcast_hashed, components, cut, give_back, release, sized, small_batches
+from .common import broadcast_hashed, components, cut, give_back, multiplied, release, sized, small_batches
 from .words import shingles
 
 RADIUS = 3
@@ -85,7 +85,7 @@ def links(distinct: DataFrame) -> DataFrame:
     groups come from ``similar_fingerprints``, which doesn't list them."""
     rows = chain_keys(distinct)
     a, b = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in "ab")
-    met = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("fpa") < F.col("fpb")) & _within("ringa", "ringb"))
+    met = multiplied(a).join(multiplied(b), (F.col("keya") == F.col("keyb")) & (F.col("fpa") < F.col("fpb")) & _within("ringa", "ringb"))
     return met.select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct()
 
 
@@ -104,7 +104,7 @@ def similar_fingerprints(distinct: DataFrame) -> DataFrame:
     """
     rows = chain_keys(distinct)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = sized(rows.join(shared, "key"))
+    met = sized(multiplied(rows).join(shared, "key"))
     hub = _hubs(met, ["key"], "fp").withColumnRenamed("key", "hub_key")
     ring = met.select(F.col("key").alias("hub_key"), F.col("fp").alias("p"), F.col("ring").alias("hub_ring"))
     hub = sized(hub.join(ring, ["hub_key", "p"]))
@@ -239,7 +239,7 @@ def similar_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataF
     """
     rows = sets.join(roots, "h").select("h", "root", F.size("s").alias("n"), F.explode("s").alias("s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("s", "_s")
-    rows = rows.join(shared, F.col("s") == F.col("_s"))
+    rows = multiplied(rows).join(shared, F.col("s") == F.col("_s"))
     # A shingle of one set only comes before all others, so the places from the end are those among the shared ones.
     rest = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("df"), F.desc("s")))
     rows = rows.withColumn("rest", rest).where(F.col("rest") >= F.ceil(F.col("n") * similarity - 1e-9)).select("s", "h", "root", "n", "rest")
@@ -268,7 +268,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     ringed = nodes.select("h", "fp").join(broadcast_hashed(rings, 32), F.col("fp") == F.col("node"), "left").select("h", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
     banded = nodes.select("h", F.posexplode("keys").alias("band", "key")).union(ringed)
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = sized(banded.join(shared, ["band", "key"]))
+    met = sized(multiplied(banded).join(shared, ["band", "key"]))
     release(docs)
     hub = sized(_hubs(met, ["band", "key"], "h"))
     star = met.join(hub, ["band", "key"]).where("h <> p").select(F.col("p").alias("a"), F.col("h").alias("b"))

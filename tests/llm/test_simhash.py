@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import AWKWARD, documents
+from pyspark.sql import functions as F
 
 from feldspar.llm import common, simhash
 from feldspar.llm.words import shingles
@@ -192,3 +194,26 @@ def test_joins_that_are_too_large_to_broadcast(spark, monkeypatch):
     expected = found()
     monkeypatch.setattr(common, "HASHED_BYTES", -1)
     assert found() == expected
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows to be as large as before the explode, and would have the driver hash all of them."""
+
+    class Planned(Exception):
+        pass
+
+    def planned(df):
+        raise Planned(df._jdf.queryExecution().executedPlan().toString())
+
+    def first_plan(run, *args):
+        with pytest.raises(Planned) as e:
+            run(*args)
+        return str(e.value)
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 20")
+    fps = docs.select(F.col("doc_id").alias("fp"))
+    monkeypatch.setattr(simhash, "sized", planned)
+    plans = [simhash.links(fps)._jdf.queryExecution().executedPlan().toString(), first_plan(simhash.similar_fingerprints, fps)]
+    assert all("SortMergeJoin [key" in p and "BroadcastHashJoin" not in p for p in plans)
+    monkeypatch.setattr(simhash, "similar_fingerprints", lambda distinct: distinct.select(F.col("fp").alias("node"), F.col("fp").alias("root")))
+    assert "SortMergeJoin [band" in first_plan(simhash.near_copies, docs)
